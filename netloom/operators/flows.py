@@ -169,6 +169,8 @@ def split_hot(packets: DataFrame, config: FlowConfig) -> tuple[DataFrame, DataFr
     At most rows / hot_rows keys can be hot; they are broadcast only when counted
     to be few, otherwise Catalyst joins them with its adaptive skew handling.
     """
+    if packets.count() <= config.hot_rows:
+        return packets, None
     keys = cut_lineage(hot_keys(packets, config))
     count = keys.count()
     if count == 0:

@@ -26,13 +26,19 @@ class Running:
     def aggregate(self, value: Column) -> Column:
         if self.kind == "last":
             return F.last(value, ignorenulls=True)
-        if self.kind == "gather":
-            return F.flatten(F.collect_list(value))
         return {"sum": F.sum, "max": F.max, "min": F.min}[self.kind](value)
 
+    def over(self, value: Column, frame) -> Column:
+        if self.kind == "gather":
+            return F.flatten(F.collect_list(value).over(frame))
+        return self.aggregate(value).over(frame)
+
     def total(self, order: str) -> Column:
         if self.kind == "last":
             return F.max_by(self.value, F.when(self.value.isNotNull(), F.col(order)))
+        if self.kind == "gather":
+            rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), self.value.alias("value"))))
+            return F.flatten(F.transform(rows, lambda row: row["value"]))
         return self.aggregate(self.value)
 
     def combine(self, here: Column, before: Column) -> Column:
@@ -55,7 +61,7 @@ def running(df: DataFrame, key: list[str], order: str, columns: dict[str, Runnin
         False: window.rowsBetween(Window.unboundedPreceding, -1),
     }
     local = df.select("*", *[
-        run.aggregate(run.value).over(frames[run.inclusive]).alias(name)
+        run.over(run.value, frames[run.inclusive]).alias(name)
         for name, run in columns.items()
     ])
     if slice_column is None:
@@ -63,7 +69,7 @@ def running(df: DataFrame, key: list[str], order: str, columns: dict[str, Runnin
     totals = df.groupBy(*part).agg(*[run.total(order).alias(name) for name, run in columns.items()])
     earlier = Window.partitionBy(*key).orderBy(slice_column).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*part, *[
-        run.aggregate(F.col(name)).over(earlier).alias(f"_before_{name}")
+        run.over(F.col(name), earlier).alias(f"_before_{name}")
         for name, run in columns.items()
     ])
     joined = local.join(carried, part, "inner")
