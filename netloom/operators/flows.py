@@ -189,7 +189,9 @@ def _with_flow(labels: DataFrame, config: FlowConfig, sliced: bool) -> DataFrame
         return running(df, KEY, "seq", columns, slice_column)
 
     starts = F.coalesce(F.col("before")["epoch"] != F.col("epoch"), F.lit(True))
-    df = labels.filter(~F.col("dropped")).withColumn("starts", starts)
+    open_before = F.coalesce(F.col("before")["epoch"] == F.col("epoch") - F.col("expired").cast("int"), F.lit(False))
+    df = labels.filter(~F.col("dropped")).withColumns({
+        "starts": starts, "after_open": F.col("expired") & open_before})
     has_payload = "payload" in df.columns
     if has_payload:
         df = run(df, bytes_before=Running("sum", F.length("payload").cast("bigint"), inclusive=False))
@@ -248,7 +250,7 @@ def flow_packets(packets: DataFrame, config: FlowConfig) -> DataFrame:
     """One row per accepted packet: ``flow_seq`` (first packet), position, direction."""
     parts = [part for part, _ in assign(packets, config)]
     columns = [*KEY, "seq", "ts_us", "flow_seq", "position", "forward", "closes", "closed_by_fin",
-               "expired", "starts"]
+               "expired", "starts", "after_open"]
     out = parts[0].select(*columns)
     for part in parts[1:]:
         out = out.unionByName(part.select(*columns))

@@ -22,6 +22,7 @@ class Running:
     kind: str
     value: Column
     inclusive: bool = True
+    whole: bool = False   # the key's total instead of a running value
 
     def aggregate(self, value: Column) -> Column:
         if self.kind == "last":
@@ -60,20 +61,26 @@ def running(df: DataFrame, key: list[str], order: str, columns: dict[str, Runnin
         True: window.rowsBetween(Window.unboundedPreceding, Window.currentRow),
         False: window.rowsBetween(Window.unboundedPreceding, -1),
     }
+    if slice_column is None:
+        everything = Window.partitionBy(*key)
+        return df.select("*", *[
+            run.over(run.value, everything if run.whole else frames[run.inclusive]).alias(name)
+            for name, run in columns.items()
+        ])
     local = df.select("*", *[
         run.over(run.value, frames[run.inclusive]).alias(name)
-        for name, run in columns.items()
+        for name, run in columns.items() if not run.whole
     ])
-    if slice_column is None:
-        return local
     totals = df.groupBy(*part).agg(*[run.total(order).alias(name) for name, run in columns.items()])
     earlier = Window.partitionBy(*key).orderBy(slice_column).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*key)
     carried = totals.select(*part, *[
-        run.over(F.col(name), earlier).alias(f"_before_{name}")
+        run.over(F.col(name), everything if run.whole else earlier).alias(f"_before_{name}")
         for name, run in columns.items()
     ])
     joined = local.join(carried, part, "inner")
     return joined.select(*df.columns, *[
-        run.combine(F.col(name), F.col(f"_before_{name}")).alias(name)
+        (F.col(f"_before_{name}") if run.whole
+         else run.combine(F.col(name), F.col(f"_before_{name}"))).alias(name)
         for name, run in columns.items()
     ])

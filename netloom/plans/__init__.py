@@ -1 +1,8 @@
+"""Registered queries."""
 
+
+def all_queries():
+    """Every registered query by name (importing the modules registers them)."""
+    from netloom.plans import flow_queries  # noqa: F401
+    from netloom.plans.registry import QUERIES
+    return QUERIES
