@@ -151,7 +151,10 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
     schema = "i int, j int, left string, right string, r double"
     if len(columns) <= 12:
-        row = df.agg(*[F.corr(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs])
+        row = df.agg(*[F.stddev_pop(c).alias(f"s_{k}") for k, c in enumerate(columns)],
+                     *[F.covar_pop(columns[i], columns[j]).alias(f"c_{i}_{j}") for i, j in pairs])
+        row = row.select(*[F.try_divide(F.col(f"c_{i}_{j}"), F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"r_{i}_{j}")
+                           for i, j in pairs])
         items = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(columns[i]).alias("left"),
                           F.lit(columns[j]).alias("right"), F.abs(f"r_{i}_{j}").alias("r")) for i, j in pairs]
         long = row.select(F.inline(F.array(*items)))
