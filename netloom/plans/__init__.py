@@ -3,6 +3,7 @@
 
 def all_queries():
     """Every registered query by name (importing the modules registers them)."""
-    from netloom.plans import dataset_queries, flow_queries, log_queries, score_queries  # noqa: F401
+    from netloom.plans import (  # noqa: F401
+        dataset_queries, flow_queries, live_queries, log_queries, score_queries)
     from netloom.plans.registry import QUERIES
     return QUERIES
