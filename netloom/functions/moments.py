@@ -7,11 +7,6 @@ from pyspark.sql import Column, functions as F
 WIDE = "decimal(38,0)"
 
 
-def square(value: Column) -> Column:
-    """value² as an exact decimal (microsecond gaps overflow 64 bits when squared)."""
-    return value.cast("decimal(19,0)") * value.cast("decimal(19,0)")
-
-
 def sample_variance(count: Column, total: Column, squares: Column) -> Column:
     """Variance of ``count`` integers given their sum and sum of squares; 0 below two.
 

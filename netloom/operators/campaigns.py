@@ -33,11 +33,11 @@ def first_errors(events: DataFrame, group: list[str], order: str, keep: int = ER
 
     A group may be huge, so 64 hash shares are cut to ``keep`` rows first.
     """
-    failed = events.filter(~F.col("success")).withColumn("share", F.pmod(F.xxhash64(order), F.lit(64)))
-    near = Window.partitionBy(*group, "share").orderBy(order)
-    some = failed.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= keep)
-    top = some.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(order))).filter(
-        F.col("n") <= keep)
+    failed = events.filter(~F.col("success")).withColumn("_share", F.pmod(F.xxhash64(order), F.lit(64)))
+    near = Window.partitionBy(*group, "_share").orderBy(order)
+    some = failed.withColumn("_place", F.row_number().over(near)).filter(F.col("_place") <= keep)
+    top = some.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy(order))).filter(
+        F.col("_place") <= keep)
     return top.groupBy(*group).agg(F.transform(
         F.array_sort(F.collect_list(F.struct(order, F.col("action")))), lambda e: e["action"]).alias("errors"))
 
@@ -74,11 +74,11 @@ def budget_breaches(events: DataFrame, group: list[str], order: str, actions_cap
 
     Actions are counted one per event, bytes from ``response_bytes``, time since
     the campaign's first event in the unit of ``started``."""
-    keyed = events.withColumn("share", F.floor(F.col(order) / slice_rows))
+    keyed = events.withColumn("_share", F.floor(F.col(order) / slice_rows))
     totals = running(keyed, group, order, {
         "actions": Running("sum", F.lit(1).cast("bigint")),
         "bytes": Running("sum", F.col("response_bytes")),
-        "begun": Running("min", F.col(started), whole=True)}, "share")
+        "begun": Running("min", F.col(started), whole=True)}, "_share")
     elapsed = F.col(started) - F.col("begun")
     reason = (F.when(elapsed >= elapsed_cap, "deadline").when(F.col("actions") > actions_cap, "actions")
               .when(F.col("bytes") > bytes_cap, "bytes"))
@@ -115,7 +115,8 @@ def label_snapshots(snapshots: DataFrame, campaigns: DataFrame, key: list[str],
 
 
 def profile_violations(profiles: DataFrame) -> DataFrame:
-    """(mode, rule) for every broken profile rule. Parameters hold JSON text."""
+    """(mode, rule) for every broken profile rule. Limits and parameters hold JSON text,
+    so a quoted "3" is not the number 3."""
     p = F.col("parameters")
     integer = r"^-?\d+\z"
 
@@ -148,16 +149,14 @@ def profile_violations(profiles: DataFrame) -> DataFrame:
     botnet, scan, ssh = mode.startswith("botnet"), mode.startswith("scan"), mode.startswith("ssh_bruteforce")
     rules.append(("botnet delay", botnet & over("delay_ms", 500)))
     rules.append(("botnet response", botnet & over("response_bytes", 256)))
-    ports = F.from_json(p["ports"], "array<string>")
-    port_ok = F.forall(ports, lambda port: F.coalesce(
-        port.rlike(integer) & port.try_cast("bigint").between(1, 65535), F.lit(False)))
+    ports = F.when(p["ports"].rlike(r"^\[-?\d+(,-?\d+)*\]\z"), F.from_json(p["ports"], "array<string>"))
+    port_ok = F.forall(ports, lambda port: F.coalesce(port.try_cast("bigint").between(1, 65535), F.lit(False)))
     rules.append(("scan ports", scan & ~F.coalesce(
         (F.size(ports) > 0) & (F.size(ports) <= whole(F.col("max_actions"))) & port_ok, F.lit(False))))
-    technique = F.regexp_replace(p["technique"], '"', "")
-    rules.append(("scan technique", scan & bad(p["technique"], technique.isin("syn", "connect"))))
+    rules.append(("scan technique", scan & bad(p["technique"], p["technique"].isin('"syn"', '"connect"'))))
     rules.append(("scan timing", scan & bad(p["timing_template"], whole(p["timing_template"]).isin(2, 3, 4))))
     rules.append(("ssh count", ssh & over("count", 10)))
-    user = F.regexp_replace(p["username"], '"', "")
+    user = F.regexp_extract(p["username"], r'^"(.*)"\z', 1)
     rules.append(("ssh username", ssh & bad(p["username"], user.rlike(USER_PATTERN))))
     packets = whole(p["flows"]) * whole(p["packets_per_flow"])
     udp = mode == "ddos_udp"

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from netloom.operators.flows import FlowConfig
 from netloom.operators.packets import FIN, KEY, has_flag
+from netloom.operators.pieces import piece_schema, piece_sums
 from netloom.session import cut_lineage
 
 # Why a snapshot was emitted (index = code).
@@ -76,8 +77,8 @@ def _arrays(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def _walk(batches: Iterator[pa.RecordBatch], after_us: int, packets: int) -> Iterator[pa.RecordBatch]:
-    """Add ``piece`` (emissions so far in this run of rows) and ``emit`` (reason code)."""
-    last_ts, count, emitted, piece = 0, 0, False, 0
+    """Mark emissions (reason codes) and sum each batch's packets up to the next one."""
+    last_ts, count, emitted = 0, 0, False
     for batch in batches:
         n = batch.num_rows
         ts, position, fin, closes, begins, entry_ts, entry_count = _arrays(
@@ -92,10 +93,8 @@ def _walk(batches: Iterator[pa.RecordBatch], after_us: int, packets: int) -> Ite
         # A close ends the flow, so only the last row of a run may be one.
         jumps, reasons = jump.tolist(), why.tolist()
         emit = np.zeros(n, dtype=np.int8)
-        pieces = np.zeros(n, dtype=np.int64)
         for head, end in zip(heads[:-1].tolist(), heads[1:].tolist()):
             if begins[head]:
-                piece = 0
                 if position[head] == 0:
                     last_ts, count, emitted = int(ts[head]), 0, False
                 else:
@@ -109,16 +108,11 @@ def _walk(batches: Iterator[pa.RecordBatch], after_us: int, packets: int) -> Ite
             if closes[end - 1]:
                 emit[end - 1] = 1
                 last = end - 1
-            done = np.cumsum(emit[head:end] != 0)
-            pieces[head:end] = piece + done - (emit[head:end] != 0)
-            piece += int(done[-1])
             if last >= 0:
                 last_ts, count, emitted = int(ts[last]), end - 1 - last, True
             else:
                 count += end - head
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(pieces), pa.array(emit.astype(np.int32))],
-            names=[*batch.schema.names, "piece", "emit"])
+        yield piece_sums(batch, emit)
 
 
 def _summarise(batches: Iterator[pa.RecordBatch], after_us: int, packets: int) -> Iterator[pa.RecordBatch]:
@@ -181,6 +175,7 @@ def _carried(packets: DataFrame) -> DataFrame:
 def mark(packets: DataFrame, config: FlowConfig) -> DataFrame:
     """Ordinary keys: rows of a key share a partition, sorted by arrival."""
     rows = _carried(packets).withColumns({
+        "is_tcp": F.col("protocol") == "TCP",
         "is_fin": (F.col("protocol") == "TCP") & has_flag(FIN),
         "begins": F.col("position") == 0,
         "entry_ts": F.lit(0).cast("bigint"), "entry_count": F.lit(0).cast("bigint"),
@@ -191,8 +186,7 @@ def mark(packets: DataFrame, config: FlowConfig) -> DataFrame:
 
 def _apply(rows: DataFrame, config: FlowConfig) -> DataFrame:
     after_us, limit = config.emit_after_us, config.emit_packets
-    schema = StructType(rows.schema.fields + [StructField("piece", LongType()), StructField("emit", rows.schema["side"].dataType)])
-    return rows.mapInArrow(lambda batches: _walk(batches, after_us, limit), schema)
+    return rows.mapInArrow(lambda batches: _walk(batches, after_us, limit), piece_schema("payload" in rows.columns))
 
 
 def mark_sliced(packets: DataFrame, config: FlowConfig) -> DataFrame:
@@ -201,6 +195,7 @@ def mark_sliced(packets: DataFrame, config: FlowConfig) -> DataFrame:
     after_us = config.emit_after_us
     flow = [*KEY, "flow_seq"]
     rows = cut_lineage(_carried(packets).withColumns({
+        "is_tcp": F.col("protocol") == "TCP",
         "is_fin": (F.col("protocol") == "TCP") & has_flag(FIN),
         "part": F.floor(F.col("position") / size).cast("bigint"),
     }).drop("first"))

@@ -1,8 +1,7 @@
 """Cumulative flow snapshots: sums per piece, running sums over a flow's pieces,
 then the feature formulas.
 
-A piece is the run of packets up to and including one emission. Only integer
-sums, minima, maxima and last values are carried, so partial aggregation, slices
+Only integer sums, minima, maxima and last values are carried, so batches, slices
 and streaming state all give the same numbers.
 """
 
@@ -11,110 +10,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netloom.functions.constants import STAGE1_FEATURES, STAGE2_FEATURES
-from netloom.functions.moments import WIDE, mean, sample_variance, square
+from netloom.functions.moments import WIDE, mean, sample_variance
 from netloom.operators import emission
 from netloom.operators.flows import FlowConfig, assign
-from netloom.operators.packets import ACK, FIN, KEY, PSH, RST, SYN, URG, has_flag
+from netloom.operators.packets import KEY
+from netloom.operators.pieces import CONSTANTS, FLOW, KINDS, joined_squares
 from netloom.operators.running import Running, running
-
-FLOW = [*KEY, "flow_seq"]
-CONSTANTS = ["first_ts", "first_side", "first_len", "first_win", "first_psh"]
-FLAGS = {"fin": FIN, "syn": SYN, "rst": RST, "psh": PSH, "ack": ACK, "urg": URG}
-
-
-def _sums() -> dict[str, tuple[str, Column]]:
-    """Accumulator -> (how it combines, its value at one packet)."""
-    tcp, forward = F.col("protocol") == "TCP", F.col("forward")
-    length, gap = F.col("pkt_len"), F.col("gap_us")
-    out: dict[str, tuple[str, Column]] = {}
-    for name, here in (("f", forward), ("b", ~forward)):
-        size, side_gap = F.when(here, length), F.when(here, F.col("side_gap_us"))
-        out |= {
-            f"{name}_n": ("sum", here.cast("bigint")),
-            f"{name}_len": ("sum", size), f"{name}_len2": ("sum", size * size),
-            f"{name}_min": ("min", size), f"{name}_max": ("max", size),
-            f"{name}_header": ("sum", F.when(here, F.col("header_len"))),
-            f"{name}_gap": ("sum", side_gap), f"{name}_gap2": ("sum", square(side_gap)),
-            f"{name}_gap_min": ("min", side_gap), f"{name}_gap_max": ("max", side_gap),
-        }
-    out |= {
-        "gap": ("sum", gap), "gap2": ("sum", square(gap)),
-        "gap_min": ("min", gap), "gap_max": ("max", gap),
-        "end_ts": ("max", F.col("ts_us")),
-        "f_data": ("sum", F.when(forward & (F.col("payload_len") > 0), 1).cast("bigint")),
-        "f_segment": ("min", F.when(forward, F.when(F.col("header_len") > 0, F.col("header_len")).otherwise(20))),
-        "b_win": ("last", F.when(tcp & ~forward, F.col("win_size"))),
-        "last_seq": ("max", F.col("seq")),
-    }
-    out |= {f"n_{name}": ("sum", (tcp & has_flag(bit)).cast("bigint")) for name, bit in FLAGS.items()}
-    for name in ("active", "idle"):
-        value = F.col(f"{name}_us")
-        out |= {
-            f"{name}_n": ("sum", F.when(value.isNotNull(), 1).cast("bigint")),
-            f"{name}": ("sum", value), f"{name}2": ("sum", square(value)),
-            f"{name}_min": ("min", value), f"{name}_max": ("max", value),
-        }
-    return out
-
-
-ACCUMULATORS = [
-    *[f"{d}_{x}" for d in "fb" for x in ("n", "len", "len2", "min", "max", "header",
-                                         "gap", "gap2", "gap_min", "gap_max")],
-    "gap", "gap2", "gap_min", "gap_max", "end_ts", "f_data", "f_segment", "b_win", "last_seq",
-    *[f"n_{name}" for name in FLAGS],
-    *[f"{x}{y}" for x in ("active", "idle") for y in ("_n", "", "2", "_min", "_max")],
-]
-DECIMAL_SUMS = ["f_gap2", "b_gap2", "gap2", "active2", "idle2"]
-
-
-def _pieces(marked: DataFrame) -> DataFrame:
-    """One row per piece; combines on the map side before any shuffle."""
-    def combine(kind: str, value: Column, name: str) -> Column:
-        if kind == "last":
-            return F.max_by(value, F.when(value.isNotNull(), F.col("position"))).alias(name)
-        return {"sum": F.sum, "min": F.min, "max": F.max}[kind](value).alias(name)
-
-    payload = []
-    if "payload" in marked.columns:
-        parts = F.collect_list(F.when(F.col("payload").isNotNull(), F.struct("position", "payload")))
-        payload = [F.transform(F.array_sort(parts), lambda p: p["payload"]).alias("sample")]
-    return marked.groupBy(*FLOW, "part", "piece").agg(
-        F.max("emit").alias("emit"), F.max("position").alias("last_position"),
-        *[F.max(name).alias(name) for name in CONSTANTS],
-        *[combine(kind, value, name) for name, (kind, value) in _sums().items()],
-        *payload,
-    ).withColumn("step", F.col("part") * F.lit(1 << 40) + F.col("piece"))
+from netloom.session import cut_lineage
 
 
 def _accumulate(pieces: DataFrame, sliced: bool) -> DataFrame:
     """Running totals at the end of every piece that yields a snapshot."""
-    columns = {name: Running(kind, F.col(name)) for name, (kind, _) in _sums().items()}
-    if "sample" in pieces.columns:
-        columns["sample"] = Running("gather", F.col("sample"))
-    part = [*FLOW] + (["part"] if sliced else [])
     if sliced:
-        last = pieces.groupBy(*part).agg(F.max("last_position").alias("m")).select(
-            *part, F.max("m").over(Window.partitionBy(*FLOW)).alias("flow_end"))
-        pieces = pieces.join(last, part)
-        ends = F.col("flow_end") == F.col("last_position")
+        last = pieces.groupBy(*FLOW, "part").agg(F.max("position").alias("m")).select(
+            *FLOW, "part", F.max("m").over(Window.partitionBy(*FLOW)).alias("flow_end"))
+        pieces = pieces.join(last, [*FLOW, "part"])
+        ends = F.col("flow_end") == F.col("position")
     else:
-        ends = F.lead("step").over(Window.partitionBy(*FLOW).orderBy("step")).isNull()
-    kept = pieces.select(*FLOW, "part", "step", "emit", *CONSTANTS, ends.alias("is_last"),
-                         *[run.value.alias(f"_{name}") for name, run in columns.items()])
-    runs = {name: Running(run.kind, F.col(f"_{name}")) for name, run in columns.items()}
-    out = running(kept, FLOW, "step", runs, "part" if sliced else None)
-    return out.filter((F.col("emit") > 0) | F.col("is_last")).select(
-        *FLOW, *CONSTANTS, "step", "emit", "is_last", *columns)
+        ends = F.lead("position").over(Window.partitionBy(*FLOW).orderBy("position")).isNull()
+    columns = dict(KINDS) | ({"sample": "gather"} if "sample" in pieces.columns else {})
+    kept = joined_squares(pieces).select(
+        *FLOW, "part", "position", "emit", *CONSTANTS, ends.alias("is_last"),
+        *[F.col(name).alias(f"_{name}") for name in columns])
+    runs = {name: Running(kind, F.col(f"_{name}")) for name, kind in columns.items()}
+    out = running(kept, FLOW, "position", runs, "part" if sliced else None)
+    return out.filter((F.col("emit") > 0) | F.col("is_last")).select(*FLOW, *CONSTANTS, "emit", *columns)
 
 
 def accumulated(packets: DataFrame, config: FlowConfig) -> DataFrame:
     """Cumulative accumulators, one row per snapshot."""
     out = None
     for part, sliced in assign(packets, config):
-        marked = (emission.mark_sliced if sliced else emission.mark)(part, config)
-        pieces = _pieces(marked)
+        pieces = (emission.mark_sliced if sliced else emission.mark)(part, config)
         if sliced:
-            from netloom.session import cut_lineage
             pieces = cut_lineage(pieces)
         rows = _accumulate(pieces, sliced)
         out = rows if out is None else out.unionByName(rows)

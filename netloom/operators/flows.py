@@ -73,18 +73,16 @@ def label(packets: DataFrame, config: FlowConfig, sliced: bool) -> DataFrame:
     rst = tcp & has_flag(RST)
     fin = tcp & has_flag(FIN) & ~rst
     mark = F.when(rst, -1).when(fin, side).when(F.col("expired"), -1)
-    df = run(df, fin_before=Running("last", mark, inclusive=False))
+    df = run(df, fin_before=Running("last", mark, inclusive=False),
+             fins=Running("sum", fin.cast("bigint")),
+             expiries=Running("sum", F.col("expired").cast("bigint")))
     fresh = F.col("expired") | F.coalesce(F.col("fin_before") == -1, F.lit(True))
-    df = df.withColumns({
-        "fin_starts": fin & (fresh | (F.col("fin_before") == side) | F.col("self_connection")),
-        "fin_toggles": fin & ~fresh & (F.col("fin_before") != side) & ~F.col("self_connection"),
-    })
-    df = run(df, toggles=Running("sum", F.col("fin_toggles").cast("bigint")))
-    df = run(df, toggles_at_start=Running("last", F.when(F.col("fin_starts"), F.col("toggles"))))
-    odd = (F.col("toggles") - F.col("toggles_at_start")) % 2 == 1
-    df = df.withColumns({
-        "closed_by_fin": F.col("fin_toggles") & F.coalesce(odd, F.lit(False)),
-    }).withColumn("closes", rst | F.col("closed_by_fin"))
+    begins = fin & (fresh | (F.col("fin_before") == side) | F.col("self_connection"))
+    df = run(df, fins_at_start=Running("last", F.when(begins, F.col("fins"))))
+    # Every FIN since that start toggles the state; an odd count closes.
+    closed_by_fin = fin & ((F.col("fins") - F.col("fins_at_start")) % 2 == 1)
+    df = df.withColumn("closed_by_fin", F.coalesce(closed_by_fin, F.lit(False))).withColumn(
+        "closes", rst | F.col("closed_by_fin")).drop("fin_before", "fins", "fins_at_start")
 
     # Teardown ACKs: a FIN/FIN close arms the direction opposite to its last FIN.
     arm = F.struct(seq.alias("seq"), (ts + config.grace_us).alias("until"))
@@ -92,7 +90,6 @@ def label(packets: DataFrame, config: FlowConfig, sliced: bool) -> DataFrame:
         df,
         arm_0=Running("last", F.when(F.col("closed_by_fin") & (side == 1), arm), inclusive=False),
         arm_1=Running("last", F.when(F.col("closed_by_fin") & (side == 0), arm), inclusive=False),
-        expiries=Running("sum", F.col("expired").cast("bigint")),
         closings=Running("sum", F.col("closes").cast("bigint"), inclusive=False),
     )
     armed = F.when(side == 0, F.col("arm_0")).otherwise(F.col("arm_1"))
@@ -111,15 +108,15 @@ def label(packets: DataFrame, config: FlowConfig, sliced: bool) -> DataFrame:
     # Context of the accepted packets within the key.
     accepted = ~F.col("dropped")
     seen = F.struct("epoch", ts.alias("ts"), F.col("expiries").alias("expiries"))
-    df = run(
-        df.drop("stop_0", "stop_1", "toggles", "toggles_at_start", "fin_before", "closings"),
+    return run(
+        df.drop("stop_0", "stop_1", "closings", "droppable"),
         before=Running("last", F.when(accepted, seen), inclusive=False),
         before_0=Running("last", F.when(accepted & (side == 0), seen), inclusive=False),
         before_1=Running("last", F.when(accepted & (side == 1), seen), inclusive=False),
+        flow_clock=Running("max", F.when(accepted, F.struct("epoch", ts.alias("ts"))), inclusive=False),
         accepted_clock=Running("max", F.when(accepted, ts), inclusive=False),
         accepted_no=Running("sum", accepted.cast("bigint")),
     )
-    return df
 
 
 def _hidden_gap(config: FlowConfig):
@@ -196,19 +193,28 @@ def _with_flow(labels: DataFrame, config: FlowConfig, sliced: bool) -> DataFrame
     if has_payload:
         df = run(df, bytes_before=Running("sum", F.length("payload").cast("bigint"), inclusive=False))
         df = df.withColumn("bytes_before", F.coalesce("bytes_before", F.lit(0)))
+    # Active periods, measured on the flow's clock, which never runs back.
+    same_flow = F.col("flow_clock")["epoch"] == F.col("epoch")
+    df = df.withColumn("clock_us", F.when(same_flow, F.col("flow_clock")["ts"]))
+    silence = F.col("ts_us") - F.col("clock_us")
+    df = df.withColumn("idle_us", F.when(silence > config.active_gap_us, silence))
     first = F.struct(
         F.col("accepted_no").alias("no"), "seq", "ts_us", "side", "pkt_len", "win_size",
         has_flag(PSH).alias("psh"), *(["bytes_before"] if has_payload else []),
     )
-    df = run(df, first=Running("last", F.when(F.col("starts"), first)))
+    island = F.when(F.col("starts") | F.col("idle_us").isNotNull(), F.col("ts_us"))
+    df = run(df, first=Running("last", F.when(F.col("starts"), first)),
+             active_from=Running("last", island, inclusive=False))
     if has_payload:
         room = F.lit(PAYLOAD_SAMPLE) - (F.col("bytes_before") - F.col("first")["bytes_before"])
         df = df.withColumn("payload", F.when(
             (room > 0) & (F.length("payload") > 0),
             F.substring("payload", F.lit(1), room.cast("int")))).drop("bytes_before")
     same_side = F.when(F.col("side") == 0, F.col("before_0")).otherwise(F.col("before_1"))
-    df = df.select(
-        "*",
+    active = F.col("clock_us") - F.col("active_from")
+    return df.select(
+        *[name for name in df.columns if name not in (
+            "before", "before_0", "before_1", "flow_clock", "accepted_clock", "first", "clock_us", "active_from")],
         F.col("first")["seq"].alias("flow_seq"),
         F.col("first")["ts_us"].alias("first_ts"),
         F.col("first")["side"].alias("first_side"),
@@ -221,18 +227,8 @@ def _with_flow(labels: DataFrame, config: FlowConfig, sliced: bool) -> DataFrame
                F.col("ts_us") - F.col("before")["ts"]).alias("gap_us"),
         F.when(same_side["epoch"] == F.col("epoch"),
                F.col("ts_us") - same_side["ts"]).alias("side_gap_us"),
+        F.when(F.col("idle_us").isNotNull() & (active > 0), active).alias("active_us"),
     )
-    # Active periods: the flow's clock never runs back, so the clock of an
-    # earlier flow of the key is cut off at this flow's start.
-    df = run(df.drop("before", "before_0", "before_1", "accepted_clock", "first"),
-             flow_clock=Running("max", F.struct("flow_seq", "ts_us"), inclusive=False))
-    clock = F.when(F.col("flow_clock")["flow_seq"] == F.col("flow_seq"), F.col("flow_clock")["ts_us"])
-    df = df.withColumn("idle_us", F.when(
-        F.col("ts_us") - clock > config.active_gap_us, F.col("ts_us") - clock)).withColumn("clock_us", clock)
-    island = F.when(F.col("starts") | F.col("idle_us").isNotNull(), F.col("ts_us"))
-    df = run(df.drop("flow_clock"), active_from=Running("last", island, inclusive=False))
-    active = F.col("clock_us") - F.col("active_from")
-    return df.withColumn("active_us", F.when(F.col("idle_us").isNotNull() & (active > 0), active))
 
 
 def assign(packets: DataFrame, config: FlowConfig) -> list[tuple[DataFrame, bool]]:

@@ -289,13 +289,13 @@ def ranked(df: DataFrame, stratum: str, key: list[str], seed: int = 42) -> DataF
     A stratum may hold most of the rows, so it is ranked in 65,536 hash ranges.
     """
     digest = shuffle_key(seed, *key)
-    keyed = df.withColumn("order", F.struct(digest.alias("digest"), *key)).withColumn(
-        "range", F.substring(digest, 1, 4))
-    out = running(keyed, [stratum], "order", {
+    keyed = df.withColumn("_order", F.struct(digest.alias("digest"), *key)).withColumn(
+        "_range", F.substring(digest, 1, 4))
+    out = running(keyed, [stratum], "_order", {
         "rank": Running("sum", F.lit(1).cast("bigint")),
         "stratum_rows": Running("sum", F.lit(1).cast("bigint"), whole=True),
-    }, "range")
-    return out.drop("order", "range")
+    }, "_range")
+    return out.drop("_order", "_range")
 
 
 def balanced_sample(df: DataFrame, label: str, key: list[str], size: int, keep: int = 10_000,

@@ -257,7 +257,7 @@ UNION ALL SELECT mode, 'ssh count' FROM d WHERE kind = 2 AND n > 10""")(
 
 @query("profile_scan", "customer", sql=f"""
 WITH {_profile_sql.strip()}
-SELECT mode, 'lab-a' AS scenario_label, n::VARCHAR AS "count" FROM d WHERE k % 22 <> 0""")
+SELECT mode, 'lab-a' AS scenario_label, '"' || n || '"' AS "count" FROM d WHERE k % 22 <> 0""")
 def profile_scan(customer: DataFrame) -> DataFrame:
     """Profiles written as version-1 documents (100 modes each) and read back."""
     path = scratch(customer.sparkSession)

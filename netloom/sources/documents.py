@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, MapType, StringType,
-                               StructField, StructType)
+                               StructField, StructType, VariantType)
 
 from netloom.operators.prepare import require_columns
 
@@ -24,10 +24,10 @@ MANIFEST = _struct(
     status=StringType(), actions_attempted=LongType(), actions_succeeded=LongType(),
     estimated_outbound_bytes=LongType(), application_response_bytes=LongType(), header_pad_bytes=LongType(),
     limits=LIMITS, events=ArrayType(EVENT), errors=ArrayType(StringType()))
-# Parameters keep their JSON text, so "7", "7.0" and "\"7\"" stay different.
+# Limits and parameters of any JSON type; the reader turns them into their JSON text.
 PROFILE = _struct(class_label=StringType(), reference_label=StringType(), scenario_label=StringType(),
-                  max_seconds=StringType(), max_actions=StringType(), max_outbound_bytes=StringType(),
-                  parameters=MapType(StringType(), StringType()))
+                  max_seconds=VariantType(), max_actions=VariantType(), max_outbound_bytes=VariantType(),
+                  parameters=MapType(StringType(), VariantType()))
 PROFILES = _struct(schema_version=LongType(), profiles=MapType(StringType(), PROFILE))
 SPLIT = _struct(parquet=StringType(), parquet_sha256=StringType(), usable_rows=LongType(),
                 campaign_ids=ArrayType(StringType()), connection_ids=ArrayType(StringType()))
@@ -59,7 +59,10 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     version = F.coalesce(F.col("schema_version"), F.lit(-1))
     checked = raw.withColumn("profiles", F.when(version == 1, F.col("profiles")).otherwise(
         F.raise_error(F.lit("unsupported campaign profile schema")).cast(raw.schema["profiles"].dataType)))
-    return checked.select(F.explode("profiles").alias("mode", "p")).select("mode", "p.*")
+    rows = checked.select(F.explode("profiles").alias("mode", "p")).select("mode", "p.*")
+    return rows.withColumns({
+        **{name: F.to_json(name) for name in ("max_seconds", "max_actions", "max_outbound_bytes")},
+        "parameters": F.transform_values("parameters", lambda _, value: F.to_json(value))})
 
 
 def read_split_plan(spark: SparkSession, path: str) -> DataFrame:

@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from netloom.operators.features import ACCUMULATORS, DECIMAL_SUMS, FLOW, features
+from netloom.operators.features import features
 from netloom.operators.flows import PAYLOAD_SAMPLE, FlowConfig
+from netloom.operators.pieces import ACCUMULATORS, DECIMAL_SUMS
 from netloom.operators.packets import ACK, FIN, KEY, PSH, RST, SYN, URG, with_key
 
 # Squares can pass 64 bits, so they travel as decimal text.

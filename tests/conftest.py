@@ -6,13 +6,8 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-from pyspark import cloudpickle  # noqa: E402
-
-import netloom  # noqa: E402
 from netloom.session import local_session  # noqa: E402
 
-cloudpickle.register_pickle_by_value(netloom)
-
 
 @pytest.fixture(scope="session")
 def spark():
