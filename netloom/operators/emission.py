@@ -199,12 +199,13 @@ def mark_sliced(packets: DataFrame, config: FlowConfig) -> DataFrame:
         "is_fin": (F.col("protocol") == "TCP") & has_flag(FIN),
         "part": F.floor(F.col("position") / size).cast("bigint"),
     }).drop("first"))
-    unit = F.xxhash64(*flow, "part")
 
-    # Slices that have a successor are full; only those need a table.
-    last_part = F.max("part")
-    long_flows = rows.groupBy(*flow).agg(last_part.alias("parts")).filter("parts > 0")
-    narrow = rows.select(*flow, "part", "position", "ts_us", "is_fin", "closes").join(long_flows, flow)
+    # Slices that have a successor are full; only those need a table. Slices are
+    # counted first, so the join below is on (flow, slice) and never on a hot flow.
+    slices = rows.groupBy(*flow, "part").agg(F.count("*").alias("rows_in_slice"))
+    parts = F.max("part").over(Window.partitionBy(*flow))
+    long_slices = slices.select(*flow, "part", parts.alias("parts")).filter("parts > 0")
+    narrow = rows.select(*flow, "part", "position", "ts_us", "is_fin", "closes").join(long_slices, [*flow, "part"])
     context = narrow.filter(F.col("position") % size >= size - limit).withColumns({
         "part": F.col("part") + 1, "context": F.lit(True)})
     full = narrow.withColumn("context", F.lit(False)).unionByName(context).filter("part < parts")

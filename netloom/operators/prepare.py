@@ -191,19 +191,21 @@ def exact_percentiles(df: DataFrame, columns: list[str], percents: tuple[float,
     """
     spark = df.sparkSession
     margin = 2.0 / accuracy
-    wanted = [(c, p) for c in columns for p in percents]
-    edges = [F.expr(
-        f"percentile_approx(`{c}`, array({max(p / 100 - margin, 0.0)}D, {min(p / 100 + margin, 1.0)}D), {accuracy})"
-    ).alias(f"e{n}") for n, (c, p) in enumerate(wanted)]
-    sketch = df.agg(*[F.count(c).alias(f"n_{k}") for k, c in enumerate(columns)], *edges).first()
+    edges = sorted({edge for p in percents for edge in (max(p / 100 - margin, 0.0), min(p / 100 + margin, 1.0))})
+    listed = ", ".join(f"{edge!r}D" for edge in edges)
+    sketch = df.agg(*[column.alias(f"{name}_{k}") for k, c in enumerate(columns) for name, column in (
+        ("n", F.count(c)), ("low", F.min(c)), ("high", F.max(c)),
+        ("edges", F.expr(f"percentile_approx(`{c}`, array({listed}), {accuracy})")))]).first()
     counts = {c: sketch[f"n_{k}"] for k, c in enumerate(columns)}
+    span = {c: (sketch[f"low_{k}"], sketch[f"high_{k}"]) for k, c in enumerate(columns)}
     brackets = {}
-    for n, (c, p) in enumerate(wanted):
-        if not counts[c]:
-            continue
-        rank = (counts[c] - 1) * p / 100
-        # numpy's linear rule: between 0-based ranks floor(rank) and floor(rank) + 1.
-        brackets[c, p] = (*sketch[f"e{n}"], int(rank), rank - int(rank))
+    for k, c in enumerate(columns):
+        for p in percents if counts[c] else ():
+            rank = (counts[c] - 1) * p / 100
+            low, high = (sketch[f"edges_{k}"][edges.index(e)]
+                         for e in (max(p / 100 - margin, 0.0), min(p / 100 + margin, 1.0)))
+            # Linear rule: between the 0-based ranks floor(rank) and floor(rank) + 1.
+            brackets[c, p] = (low, high, int(rank), rank - int(rank))
     checks = []
     for (c, p), (low, high, *_rest) in brackets.items():
         checks += [F.count_if(F.col(c) < low), F.count_if(F.col(c) <= high)]
@@ -213,10 +215,10 @@ def exact_percentiles(df: DataFrame, columns: list[str], percents: tuple[float,
         below, upto = seen[f"c{2 * n}"], seen[f"c{2 * n + 1}"]
         last = min(rank + 1, counts[c] - 1)
         if not (below <= rank and last < upto):
-            low, high, below = None, None, 0
-        inside = F.col(c).isNotNull() if low is None else F.col(c).between(low, high)
-        width = 1.0 if low is None or high == low else (high - low) / 1000
-        slot = F.lit(0) if low is None else F.floor((F.col(c) - F.lit(low)) / width)
+            (low, high), below = span[c], 0
+        inside = F.col(c).between(low, high)
+        width = (high - low) / 1000 if high > low else 1.0
+        slot = F.floor((F.col(c) - F.lit(low)) / width)
         items.append(F.when(inside, F.struct(
             F.lit(n).alias("bracket"), F.col(c).cast("double").alias("value"), slot.cast("bigint").alias("slot"))))
         plan.append((n, c, float(p), below, rank, last, part))

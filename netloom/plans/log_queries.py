@@ -184,15 +184,16 @@ GROUP BY 1, 2""")(
 
 
 def _manifests(events: DataFrame) -> DataFrame:
-    """One nested document per campaign worker, as the runner writes them."""
+    """One nested document per campaign worker and 100,000 arrivals."""
     event = F.struct("event_id", "action", (F.col("started_us") / 1e6).alias("started_epoch"),
                      (F.col("ended_us") / 1e6).alias("ended_epoch"), "success",
                      F.when(F.col("success"), 1).otherwise(0).cast("bigint").alias("actions_completed"),
                      "response_bytes", F.lit("").alias("detail"))
-    return events.groupBy("campaign_id", "worker_id", "source_ip").agg(
+    share = F.floor(F.col("event_id") / 100_000).alias("share")   # bounds a document's events
+    return events.groupBy("campaign_id", "worker_id", "source_ip", share).agg(
         F.array_sort(F.collect_list(event)).alias("events"), F.count("*").alias("actions_attempted")).select(
         F.col("campaign_id").cast("string").alias("campaign_id"), F.col("worker_id").cast("string").alias("worker_id"),
-        "source_ip", "events", "actions_attempted", F.lit(1).alias("schema_version"))
+        "source_ip", "events", "actions_attempted", "share", F.lit(1).alias("schema_version"))
 
 
 @query("manifest_scan", "campaign_events", sql="""
@@ -202,7 +203,8 @@ FROM campaign_events GROUP BY 1, 2""")
 def manifest_scan(events: DataFrame) -> DataFrame:
     path = scratch(events.sparkSession)
     # Eight campaigns' documents per file, as a JSON array.
-    texts = _manifests(events).withColumn("file", F.floor(F.col("campaign_id").cast("bigint") / 8)).groupBy("file").agg(
+    texts = _manifests(events).withColumn(
+        "file", F.concat_ws("-", F.floor(F.col("campaign_id").cast("bigint") / 8), "share")).groupBy("file").agg(
         F.to_json(F.collect_list(F.struct("campaign_id", "worker_id", "source_ip", "events", "actions_attempted",
                                           "schema_version"))).alias("value"))
     texts.repartition("file").write.partitionBy("file").text(path)
