@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from netloom.operators.flows import FlowConfig
@@ -222,24 +222,7 @@ def mark_sliced(packets: DataFrame, config: FlowConfig) -> DataFrame:
 
     sums = full.sortWithinPartitions(*flow, "part", "position").mapInArrow(
         summarise, StructType(names.fields + table_schema.fields))
-    # Compose a flow's tables in order: slot = place of the last emission among
-    # the N packets before the slice. One small row per slice is collected.
-    folded = cut_lineage(sums).groupBy(*flow).agg(
-        F.array_sort(F.collect_list(F.struct("unit", "table", "tail"))).alias("slices"))
-    start = F.struct(F.lit(0).cast("bigint").alias("slot"),
-                     F.array().cast("array<bigint>").alias("slots"))
-    slots = F.aggregate(
-        "slices", start,
-        lambda state, item: F.struct(
-            F.element_at(item["table"], (state["slot"] + 1).cast("int")).alias("slot"),
-            F.concat(state["slots"], F.array(
-                F.element_at(item["table"], (state["slot"] + 1).cast("int")))).alias("slots")),
-        lambda state: state["slots"])
-    entries = folded.withColumn("slots", slots).select(
-        *flow, F.explode(F.arrays_zip("slices", "slots")).alias("e")).select(
-        *flow, (F.col("e.slices.unit") + 1).alias("part"),
-        F.element_at(F.col("e.slices.tail"), (F.col("e.slots") + 1).cast("int")).alias("entry_ts"),
-        (F.lit(limit - 1) - F.col("e.slots")).cast("bigint").alias("entry_count"))
+    entries = compose(cut_lineage(sums), flow, limit, config.slices_per_group)
     ready = rows.join(entries, [*flow, "part"], "left").withColumns({
         "entry_ts": F.coalesce("entry_ts", F.lit(0).cast("bigint")),
         "entry_count": F.coalesce("entry_count", F.lit(0).cast("bigint")),
@@ -248,6 +231,43 @@ def mark_sliced(packets: DataFrame, config: FlowConfig) -> DataFrame:
     return _apply(ready, config)
 
 
+def compose(tables: DataFrame, flow: list[str], packets: int, group_size: int) -> DataFrame:
+    """Entry state of every slice but a flow's first, from the slices' tables.
+
+    A slot is the place of the last emission among the N packets before a slice.
+    Tables are composed within groups of slices, the groups in order, and then the
+    slices of each group from the slot it starts with, so no row grows with the flow
+    beyond its number of groups.
+    """
+    def follow(slot: Column, item: Column) -> Column:
+        return F.get(item["table"], slot.cast("int"))
+
+    def slots_after(items: Column, first: Column) -> Column:
+        begin = F.struct(first.cast("bigint").alias("slot"), F.array().cast("array<bigint>").alias("slots"))
+        return F.aggregate(
+            items, begin,
+            lambda state, item: F.struct(
+                follow(state["slot"], item).alias("slot"),
+                F.concat(state["slots"], F.array(follow(state["slot"], item))).alias("slots")),
+            lambda state: state["slots"])
+
+    grouped = cut_lineage(tables.withColumn("group", F.floor(F.col("unit") / group_size)).groupBy(*flow, "group").agg(
+        F.array_sort(F.collect_list(F.struct("unit", "table", "tail"))).alias("slices")))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.lit(packets - 1).cast("bigint"))
+    composed = grouped.select(*flow, "group", F.transform(
+        starts, lambda slot: F.aggregate("slices", slot, follow)).alias("table"))
+    chains = composed.groupBy(*flow).agg(F.array_sort(F.collect_list(F.struct("group", "table"))).alias("groups"))
+    before = F.concat(F.array(F.lit(0).cast("bigint")), slots_after(F.col("groups"), F.lit(0)))
+    begun = chains.select(*flow, F.explode(F.arrays_zip("groups", F.slice(before, 1, F.size("groups")).alias("slot"))).alias("g")).select(
+        *flow, F.col("g.groups.group").alias("group"), F.col("g.slot").alias("slot"))
+    walked = grouped.join(begun, [*flow, "group"]).withColumn("slots", slots_after(F.col("slices"), F.col("slot")))
+    ends = walked.select(*flow, F.explode(F.arrays_zip("slices", "slots")).alias("e"))
+    return ends.select(
+        *flow, (F.col("e.slices.unit") + 1).alias("part"),
+        F.get(F.col("e.slices.tail"), F.col("e.slots").cast("int")).alias("entry_ts"),
+        (F.lit(packets - 1) - F.col("e.slots")).cast("bigint").alias("entry_count"))
+
+
 def _summarise_with_flow(batches, after_us: int, limit: int, flow: list[str]):
     """Attach the flow columns of each slice to its table."""
     heads: list[pa.RecordBatch] = []

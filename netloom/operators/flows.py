@@ -34,7 +34,8 @@ class FlowConfig:
     grace_us: int = 1_000_000
     active_gap_us: int = 5_000_000
     hot_rows: int = 4_000_000             # packets per key before it is sliced
-    slice_rows: int = 4_000_000           # arrival numbers / packets per slice
+    slice_rows: int = 1_000_000           # arrival numbers / packets per slice
+    slices_per_group: int = 1_024         # slices whose emission tables are composed together
     broadcast_keys: int = 50_000          # hot keys that may be broadcast
 
 

@@ -88,7 +88,7 @@ def test_hot_keys_in_slices_match_plain_fold(spark, mode):
 def test_one_hot_flow_without_any_break(spark):
     """A single long flow: the packet rule never resynchronises by itself."""
     rows = [packet(i, i * 1_000, *((C, S) if i % 3 else (S, C)), flags=24, pkt_len=i % 90) for i in range(600)]
-    config = FlowConfig(emit_packets=7, hot_rows=50, slice_rows=32)
+    config = FlowConfig(emit_packets=7, hot_rows=50, slice_rows=32, slices_per_group=4)
     want, _ = compare(spark, rows, config)
     assert len(want) > 80
 
