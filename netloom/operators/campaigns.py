@@ -99,19 +99,21 @@ def label_snapshots(snapshots: DataFrame, campaigns: DataFrame, key: list[str],
     """
     buckets = F.sequence(F.floor(F.col("started_us") / bucket_us), F.floor(F.col("ended_us") / bucket_us))
     spans = campaigns.filter(F.col("ended_us") >= F.col("started_us")).withColumn("bucket", F.explode(buckets))
-    spans = spans.withColumn("ends", F.array_sort(F.array("source_ip", "target_ip"))).select(
-        "ends", "bucket", "campaign_id", "started_us", "ended_us", "class_label",
-        F.col("protocol").alias("campaign_protocol"))
+    spans = spans.select(
+        F.array_sort(F.array("source_ip", "target_ip")).alias("_c_ends"), F.col("bucket").alias("_c_bucket"),
+        F.col("started_us").alias("_c_start"), F.col("ended_us").alias("_c_end"), F.col("protocol").alias("_c_protocol"),
+        "campaign_id", F.col("class_label").alias("ground_truth"))
     keyed = snapshots.withColumns({
-        "ends": F.array_sort(F.array("source_ip", "destination_ip")),
-        "bucket": F.floor(F.col(start) / bucket_us)})
-    matched = keyed.join(spans, ["ends", "bucket"]).filter(
-        F.col(start).between(F.col("started_us"), F.col("ended_us"))
-        & (F.col("campaign_protocol").isNull() | (F.col("campaign_protocol") == F.col("protocol"))))
-    best = matched.groupBy(*key).agg(
-        F.min(F.struct("started_us", "campaign_id", "class_label")).alias("m")).select(
-        *key, F.col("m.campaign_id").alias("campaign_id"), F.col("m.class_label").alias("ground_truth"))
-    return snapshots.join(best, key, "left")
+        "_ends": F.array_sort(F.array("source_ip", "destination_ip")),
+        "_bucket": F.floor(F.col(start) / bucket_us)})
+    joined = keyed.join(
+        spans, (F.col("_ends") == F.col("_c_ends")) & (F.col("_bucket") == F.col("_c_bucket"))
+        & F.col(start).between(F.col("_c_start"), F.col("_c_end"))
+        & (F.col("_c_protocol").isNull() | (F.col("_c_protocol") == F.col("protocol"))), "left")
+    # A snapshot meets a handful of campaigns at most, so this window sorts tiny groups.
+    earliest = Window.partitionBy(*key).orderBy("_c_start", "campaign_id")
+    return joined.withColumn("_place", F.row_number().over(earliest)).filter("_place = 1").drop(
+        "_place", "_ends", "_bucket", "_c_ends", "_c_bucket", "_c_start", "_c_end", "_c_protocol")
 
 
 def profile_violations(profiles: DataFrame) -> DataFrame:

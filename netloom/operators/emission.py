@@ -92,14 +92,19 @@ def _walk(batches: Iterator[pa.RecordBatch], after_us: int, packets: int) -> Ite
         jump, why = jump_table(ts, ends, after_us, packets)
         # A close ends the flow, so only the last row of a run may be one.
         jumps, reasons = jump.tolist(), why.tolist()
+        fins = np.where(fin, np.arange(n), n)
+        next_fin = np.minimum.accumulate(fins[::-1])[::-1].tolist()
         emit = np.zeros(n, dtype=np.int8)
         for head, end in zip(heads[:-1].tolist(), heads[1:].tolist()):
-            if begins[head]:
-                if position[head] == 0:
-                    last_ts, count, emitted = int(ts[head]), 0, False
-                else:
+            if begins[head] and position[head] == 0:
+                # A new flow: its first packet counts as packet one and starts the clock.
+                last_ts, count, emitted = int(ts[head]), 0, False
+                at = min(next_fin[head], head + packets - 1, jumps[head] if reasons[head] == 4 else end, end)
+                reason = 2 if at < end and fin[at] else 3 if at == head + packets - 1 else 4
+            else:
+                if begins[head]:
                     last_ts, count, emitted = int(entry_ts[head]), int(entry_count[head]), True
-            at, reason = first_emission(ts, fin, closes, end, head, last_ts, count, emitted, after_us, packets)
+                at, reason = first_emission(ts, fin, closes, end, head, last_ts, count, emitted, after_us, packets)
             last = -1
             while at < end:
                 emit[at] = reason
@@ -186,6 +191,8 @@ def mark(packets: DataFrame, config: FlowConfig) -> DataFrame:
 
 def _apply(rows: DataFrame, config: FlowConfig) -> DataFrame:
     after_us, limit = config.emit_after_us, config.emit_packets
+    if after_us <= 0 or limit < 1:
+        raise ValueError("emission limits must be positive")
     return rows.mapInArrow(lambda batches: _walk(batches, after_us, limit), piece_schema("payload" in rows.columns))
 
 

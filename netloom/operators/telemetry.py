@@ -88,6 +88,15 @@ def session_summary(log: DataFrame, latency: str = "latency_ms", limit_ms: float
         .otherwise("FAIL").alias("latency_status"))
 
 
+def session_counters(packets: DataFrame, errors: DataFrame, error_key: list[str]) -> DataFrame:
+    """Packets read, packets dropped (rate limits replace drops: none) and rows that
+    could not be classified; ``errors`` is the table of contract violations."""
+    read = packets.agg(F.count("*").alias("packets_sniffed"), F.lit(1).alias("one"))
+    bad = errors.select(*error_key).distinct().agg(F.count("*").alias("classification_errors"), F.lit(1).alias("one"))
+    return read.join(bad, "one").select(
+        "packets_sniffed", F.lit(0).cast("bigint").alias("packets_dropped"), "classification_errors")
+
+
 def attacks_by_type(log: DataFrame) -> DataFrame:
     return saved_verdicts(log).filter(is_attack()).groupBy("attack_type").agg(F.count("*").alias("rows"))
 

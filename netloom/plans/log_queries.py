@@ -62,6 +62,12 @@ SELECT count(*) AS flows, count(*) FILTER (NOT is_attack) AS benign, count(*) FI
 query("attacks_by_type", "alerts", sql=f"""
 WITH {_saved} SELECT attack_type, count(*) AS "rows" FROM v WHERE is_attack GROUP BY 1""")(tel.attacks_by_type)
 
+query("session_counters", "packets", "flows", sql="""
+SELECT (SELECT count(*) FROM packets) AS packets_sniffed, 0 AS packets_dropped, count(*) AS classification_errors
+FROM flows WHERE f_tax IS NULL OR isnan(f_tax) OR isinf(f_tax)""")(
+    lambda packets, flows: tel.session_counters(
+        packets, prep.contract_violations(flows, ["flow_id", "h"], ["f_qty", "f_tax"]), ["flow_id", "h"]))
+
 query("record_search", "alerts", sql="""
 SELECT id, source_ip, attack_type, latency_ms FROM alerts
 WHERE contains(lower(concat_ws(' ', source_ip, destination_ip, attack_type)), '10.1.0.7')
