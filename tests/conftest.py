@@ -12,7 +12,7 @@ from netloom.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, "netloom-tests")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 
