@@ -214,7 +214,7 @@ def manifest_scan(events: DataFrame) -> DataFrame:
         F.to_json(F.collect_list(F.struct("campaign_id", "worker_id", "source_ip", "events", "actions_attempted",
                                           "schema_version"))).alias("value"))
     texts.repartition("file").write.partitionBy("file").text(path)
-    found = docs.read_manifests(events.sparkSession, f"{path}/file=*")
+    found = docs.read_manifests(events.sparkSession, path)
     rows = camp.events_of(found).groupBy("campaign_id", "worker_id").agg(
         F.count("*").alias("events"), F.count_if("success").alias("succeeded"), F.sum("response_bytes").alias("response_bytes"))
     pads = found.groupBy("campaign_id", "worker_id").agg(F.max("header_pad_bytes").alias("header_pad_bytes"))
@@ -274,7 +274,7 @@ def profile_scan(customer: DataFrame) -> DataFrame:
         "mode", F.struct("class_label", "scenario_label", "max_seconds", "max_actions", "max_outbound_bytes", "parameters")
     ))).alias("profiles")).select(F.lit(1).alias("schema_version"), "profiles", "doc").repartition("doc").write.partitionBy(
         "doc").json(path)
-    found = docs.read_profiles(customer.sparkSession, f"{path}/doc=*")
+    found = docs.read_profiles(customer.sparkSession, path)
     return found.filter("scenario_label = 'lab-a'").select("mode", "scenario_label", F.col("parameters")["count"].alias("count"))
 
 
@@ -391,7 +391,7 @@ def metric_report_scan(flows: DataFrame) -> DataFrame:
         F.regexp_replace("class_label", " ", "_").alias("name"),
         F.concat(F.lit('{"macro_f1": '), F.col("score").cast("string"), F.lit("}")).alias("value"))
     reports.repartition("name").write.partitionBy("name").text(path)
-    found = docs.read_metric(flows.sparkSession, f"{path}/name=*/*.txt")
+    found = docs.read_metric(flows.sparkSession, path)
     name = F.regexp_replace(F.regexp_extract("path", "name=([^/]*)", 1), "_", " ")
     return found.select(name.alias("class_label"), "macro_f1")
 
@@ -403,7 +403,7 @@ def file_digests(flows: DataFrame) -> DataFrame:
     texts = flows.groupBy("domain").agg(F.count("*").alias("n")).select(
         "domain", F.concat("domain", F.lit(":"), F.col("n").cast("string")).alias("value"))
     texts.repartition("domain").write.partitionBy("domain").text(path)
-    found = docs.file_digests(flows.sparkSession, f"{path}/domain=*/*.txt")
+    found = docs.file_digests(flows.sparkSession, path)
     return found.select(F.regexp_extract("path", "domain=([^/]*)", 1).alias("domain"), "sha256")
 
 
