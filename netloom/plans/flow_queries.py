@@ -90,7 +90,7 @@ WITH h AS (SELECT *, seq % 17 = 0 AS odd, protocol = 'TCP' AS tcp FROM packets W
 SELECT seq, ts_us, src_ip, dst_ip,
        CASE WHEN odd THEN 0 ELSE src_port END AS src_port, CASE WHEN odd THEN 0 ELSE dst_port END AS dst_port,
        CASE WHEN odd THEN 'OTHER' ELSE protocol END AS protocol,
-       CASE WHEN NOT odd AND tcp THEN flags ELSE 0 END AS flags,
+       CAST(CASE WHEN NOT odd AND tcp THEN flags ELSE 0 END AS BIGINT) AS flags,
        CASE WHEN odd THEN 0 ELSE pkt_len END AS pkt_len,
        CASE WHEN odd THEN 20 WHEN tcp THEN CASE WHEN seq % 5 = 0 THEN 20 ELSE header_len END ELSE 8 END AS header_len,
        CASE WHEN NOT odd AND tcp THEN win_size ELSE 0 END AS win_size,

@@ -63,7 +63,7 @@ query("attacks_by_type", "alerts", sql=f"""
 WITH {_saved} SELECT attack_type, count(*) AS "rows" FROM v WHERE is_attack GROUP BY 1""")(tel.attacks_by_type)
 
 query("session_counters", "packets", "flows", sql="""
-SELECT (SELECT count(*) FROM packets) AS packets_sniffed, 0 AS packets_dropped, count(*) AS classification_errors
+SELECT (SELECT count(*) FROM packets) AS packets_sniffed, 0::BIGINT AS packets_dropped, count(*) AS classification_errors
 FROM flows WHERE f_tax IS NULL OR isnan(f_tax) OR isinf(f_tax)""")(
     lambda packets, flows: tel.session_counters(
         packets, prep.contract_violations(flows, ["flow_id", "h"], ["f_qty", "f_tax"]), ["flow_id", "h"]))
@@ -443,7 +443,7 @@ def _octets(address: str) -> str:
 
 query("capture_scan", "packets", sql=f"""
 SELECT 'cap-' || lpad((seq // 1000)::VARCHAR, 9, '0') AS path, seq % 1000 AS frame, ts_us,
-       {_octets('src_ip')} AS src_ip, {_octets('dst_ip')} AS dst_ip, src_port, dst_port, protocol, flags, pkt_len,
+       {_octets('src_ip')} AS src_ip, {_octets('dst_ip')} AS dst_ip, src_port, dst_port, protocol, flags::BIGINT AS flags, pkt_len,
        header_len, win_size, pkt_len AS payload_len FROM packets""")(
     lambda packets: _capture_scan(packets))
 
