@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from netloom.plans.fixtures import duck, table
+from netloom.session import new_folder
 
 
 @dataclass(frozen=True)
@@ -61,6 +60,5 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for data a query writes and reads back (shared where configured)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{folder}/netloom-{uuid4().hex}" if folder else tempfile.mkdtemp(prefix="netloom-scratch-")
+    """A new folder for data a query writes and reads back."""
+    return new_folder(spark)

@@ -1,8 +1,9 @@
-"""Session helpers: local sessions for tests and reliable lineage cuts."""
+"""Session helpers: local sessions for tests, shared folders and reliable lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +24,34 @@ def local_session(cores: int | str = 8, app: str = "netloom") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder (``spark.checkpoint.dir``).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests, a scratch folder is chosen.
+    Where it is unset, a local session (one process, as in tests) gets a folder of its own;
+    on a cluster that would be the driver's disk, so there it is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    given = spark.sparkContext.getCheckpointDir()
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="netloom-shared-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new path below the shared folder, for data that a query writes and reads back."""
+    return f"{shared_folder(spark)}/netloom-{uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="netloom-checkpoint-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
