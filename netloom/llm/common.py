@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but a space and the five ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,3 +23,36 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 def lower_ascii(text: str | Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
+    """Rows made by ``start()(*row)`` in Arrow batches; ``start`` runs once a task, rows are few at a time."""
+    out = StructType.fromDDL(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, make = to_arrow_schema(out), start()
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+        rows: list[tuple] = []
+        for given in batches:
+            for at in range(0, given.num_rows, 64):
+                part = given.slice(at, 64)
+                for row in zip(*[c.to_pylist() for c in part.columns]):
+                    for made in make(*row):
+                        rows.append(made)
+                        if len(rows) >= 4096:
+                            yield batch(rows)
+                            rows = []
+                if rows and sum(len(x) for r in rows for x in r if isinstance(x, (str, bytes))) > 1 << 22:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
+
+    return df.mapInArrow(run, out)

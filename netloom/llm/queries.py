@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import secrets, sharding
+from netloom.llm import bpe, secrets, sharding
 from netloom.llm.common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,13 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def tokenizer() -> str:
+    """Place of the public vocabulary file of the queries (a parameter of the operator)."""
+    from public_tokenizers import path
+
+    return path("byte_bpe_50k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_sharding, op8_secret_scans)}
+    f.__name__: f for f in (op1_bpe, op7_sharding, op8_secret_scans)}
 ORACLES: dict[str, str] = {}
