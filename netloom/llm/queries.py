@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, quality, secrets, sharding, toxicity as toxic
+from netloom.llm import bpe, html, quality, secrets, sharding, toxicity as toxic
 from netloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,5 +42,5 @@ def tokenizer() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_quality_rules, op5_toxicity, op7_sharding, op8_secret_scans)}
+    f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_html_extraction, op5_toxicity, op7_sharding, op8_secret_scans)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle_sql()}
