@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, html, quality, secrets, sharding, toxicity as toxic
+from netloom.llm import bpe, decontaminate, html, quality, secrets, sharding, toxicity as toxic
 from netloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def tokenizer() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_html_extraction, op5_toxicity, op7_sharding, op8_secret_scans)}
+    f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_html_extraction, op5_toxicity, op6_benchmark_decontamination, op7_sharding, op8_secret_scans)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle_sql()}
