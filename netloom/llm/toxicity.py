@@ -189,20 +189,21 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.slice(w, i, 3))))
     given = rows.select("toxic", words.alias("words")).where(F.size("words") > 0).select(
         "toxic", F.array_distinct("words").alias("words"), F.array_min(triple(F.col("words"))).alias("clump"))
-    terms = F.array_distinct(F.concat(
-        F.transform("words", lambda w: F.struct(F.lit(False).alias("stem"), w.alias("term"))),
-        *[F.transform(F.filter("words", lambda w, n=n: F.length(w) > n),
-                      lambda w, n=n: F.struct(F.lit(True).alias("stem"), F.substring(w, 1, n).alias("term")))
-          for n in STEM_LETTERS]))
-    sizes = {r["toxic"]: r["n"] for r in given.groupBy("toxic").agg(F.countDistinct("clump").alias("n")).collect()}
+    given = cut_lineage(given.groupBy("toxic", "clump").agg(F.min("words").alias("words")))
+    sizes = {r["toxic"]: r["n"] for r in given.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not other:
         return Lexicon((), ())
-    found = (given.select("toxic", "clump", F.explode(terms).alias("x")).select("toxic", "clump", "x.*")
-             .distinct().groupBy("stem", "term")
+    # strings, since only they are made distinct by hash: "=word" and "^stem"
+    terms = F.array_distinct(F.concat(
+        F.transform("words", lambda w: F.concat(F.lit("="), w)),
+        *[F.transform(F.filter("words", lambda w, n=n: F.length(w) > n),
+                      lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEM_LETTERS]))
+    found = (given.select("toxic", F.explode(terms).alias("x")).groupBy("x")
              .agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
              .where(F.col("p") >= max(MIN_TEXTS, MIN_SHARE * toxic))
-             .where(F.col("n") / other <= IMPURITY * F.col("p") / toxic).collect())
+             .where(F.col("n") / other <= IMPURITY * F.col("p") / toxic)
+             .select(F.expr("x like '^%'").alias("stem"), F.expr("substr(x, 2)").alias("term")).collect())
     stems = {r["term"] for r in found if r["stem"]}
     return Lexicon({r["term"] for r in found if not r["stem"]},
                    {s for s in stems if not any(s[:n] in stems for n in STEM_LETTERS if n < len(s))})
