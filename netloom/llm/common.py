@@ -56,3 +56,21 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Itera
             yield batch(rows)
 
     return df.mapInArrow(run, out)
+
+
+def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[..., tuple]], rows: int = 64) -> DataFrame:
+    """Columns made by ``start()(*columns)`` from lists of at most ``rows`` rows of the input's columns."""
+    out = StructType.fromDDL(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, make = to_arrow_schema(out), start()
+        for given in batches:
+            for at in range(0, given.num_rows, rows):
+                made = make(*[c.to_pylist() for c in given.slice(at, rows).columns])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(made, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, out)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, decontaminate, html, quality, secrets, sharding, toxicity as toxic
+from netloom.llm import bpe, decontaminate, html, neardup, quality, secrets, sharding, toxicity as toxic
 from netloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.document_classes(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,6 @@ def tokenizer() -> str:
     return path("byte_bpe_50k.json")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_html_extraction, op5_toxicity, op6_benchmark_decontamination, op7_sharding, op8_secret_scans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_bpe, op2_quality_rules, op3_html_extraction, op4_minhash_near_dedup, op5_toxicity, op6_benchmark_decontamination, op7_sharding, op8_secret_scans)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle_sql()}
