@@ -54,7 +54,8 @@ def seeds(df: DataFrame, short: bool) -> DataFrame:
     df = _with_next(df, "_r2", "_q2", 7)
     masks = ["_r", "_r2", "_q"] if short else ["_r", "_r2"]
     df = df.select(*others, F.size("_r").alias("_a"), F.size("_r2").alias("_b"), F.concat(*masks).alias("_all"))
-    df = df.select(*others, "_a", "_b", F.posexplode("_all").alias("_i", "seed"))
+    # outer: else a filter on the size is inferred and carried below, where it computes all of this again
+    df = df.select(*others, "_a", "_b", F.posexplode_outer("_all").alias("_i", "seed"))
     place = (F.when(F.col("_i") < F.col("_a"), F.col("_i"))
              .when(F.col("_i") < F.col("_a") + F.col("_b"), F.col("_i") - F.col("_a"))
              .otherwise(F.col("_i") - F.col("_a") - F.col("_b")))
@@ -74,7 +75,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of_items = (seeds(items.select("item", "h"), False).unionByName(
         seeds(short.select("item", "h"), True))).distinct().withColumnRenamed("place", "at")
     n_seeds = of_items.count()
-    found = seeds(_keyed(docs).select("_id", "_text", tokens().alias("h")).where(F.size("h") >= SHORTEST), any_short)
+    found = seeds(_keyed(docs).select("_id", "_text", tokens().alias("h")), any_short)
     known = F.broadcast(of_items) if n_seeds <= BROADCAST_SEEDS else of_items
     hits = cut_lineage(found.join(known, "seed").select("_id", "_text", "item", (F.col("place") - F.col("at")).alias("shift"))
                        .distinct())
