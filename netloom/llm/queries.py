@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, decontaminate, html, neardup, quality, secrets, sharding, toxicity as toxic
+from netloom.llm import bpe, decontaminate, html, neardup, quality, secrets, sharding, substring, suffix, toxicity as toxic
 from netloom.llm.common import table
 
 
@@ -42,6 +42,14 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def tokenizer() -> str:
     """Place of the public vocabulary file of the queries (a parameter of the operator)."""
     from public_tokenizers import path
@@ -50,5 +58,5 @@ def tokenizer() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_bpe, op2_quality_rules, op3_html_extraction, op4_minhash_near_dedup, op5_toxicity, op6_benchmark_decontamination, op7_sharding, op8_secret_scans)}
+    op1_bpe, op2_quality_rules, op3_html_extraction, op4_minhash_near_dedup, op5_toxicity, op6_benchmark_decontamination, op7_sharding, op8_secret_scans, op9_suffix_array_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle_sql()}
