@@ -30,23 +30,28 @@ def _sets(texts, k: int, hashes: near.WordHashes) -> list[np.ndarray]:
 
 
 def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (NULL for the empty set) and keys of the bands."""
+    """doc_id, a hash of the text, n_shingles, node (NULL for the empty set) and keys of the bands."""
     count = near.tune(percent, ROWS, MISS)
 
     def start():
         hashes = near.WordHashes()
 
-        def batch(ids, texts):
+        def batch(ids, text_ids, texts):
             sets = _sets(texts, k, hashes)
-            return (ids, [len(s) for s in sets], [near.set_id(s) if len(s) else None for s in sets],
+            return (ids, text_ids, [len(s) for s in sets], [near.set_id(s) if len(s) else None for s in sets],
                     near.bands(sets, ROWS, count))
         return batch
-    return map_batches(docs.select("doc_id", "text"),
-                       "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>", start)
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text"),
+                       "doc_id bigint, text_id bigint, n_shingles bigint, node bigint, keys array<bigint>", start)
 
 
 def document_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    return _classes(docs, k, percent).drop("text_id", "component")
+
+
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The same with text_id and the component's node (NULL for the empty set)."""
     rows = cut_lineage(sketched(docs, k, percent))  # ids and keys: a small part of the texts' size
     nodes = cut_lineage(rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
@@ -72,14 +77,30 @@ def document_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    member = named.join(names, "component").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(member, "node", "left")
+    member = named.join(names, "component").select("node", "component", "component_id")
+    out = rows.select("doc_id", "text_id", "n_shingles", "node").join(member, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "text_id", "n_shingles", "component", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without rows whose class has a smaller id; of equal ids, the smallest text. All columns."""
-    lost = document_classes(docs, k, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(near.few(cut_lineage(lost)), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class, all columns: the smallest id (rows without come last), of equal ids the smallest hash.
+
+    Rows without words are linked with nothing and all stay.
+    """
+    key = {"_id": F.coalesce(F.col("doc_id"), F.lit(2 ** 63 - 1))}
+    rows = cut_lineage(_classes(docs, k, percent).where("component is not null").withColumns(key)
+                       .select("_id", "text_id", "component"))
+    best = rows.groupBy("component").agg(F.min(F.struct("_id", "text_id")).alias("best"))
+    judged = rows.groupBy("component", "_id", "text_id").agg(F.count("*").alias("n")).join(best, "component")
+    judged = cut_lineage(judged.select("_id", "text_id", (F.struct("_id", "text_id") == F.col("best")).alias("first"), "n"))
+    lost = near.few(judged.where("not first").select("_id", "text_id"))
+    keyed = docs.withColumns(key | {"text_id": F.xxhash64("text")})
+    left = keyed.join(lost, ["_id", "text_id"], "left_anti")
+    repeated = judged.where("first and n > 1").select("_id", "text_id")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    again = near.few(repeated)
+    return (left.join(again, ["_id", "text_id"], "left_anti").unionByName(
+        left.join(again, ["_id", "text_id"], "left_semi").dropDuplicates(["_id", "text_id"])).select(*docs.columns))

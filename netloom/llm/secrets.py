@@ -42,6 +42,7 @@ KINDS = (*BASE, "login", "opaque", "endpoint")
 #: Longest weak part; the join's buckets allow for it.
 WEAK_CHARS = 512
 REACH = 200
+BROADCAST_HITS = 100_000
 
 
 def _lengths(kind: str, pattern: str, ok: Column | None = None) -> Column:
@@ -60,19 +61,20 @@ def _lengths(kind: str, pattern: str, ok: Column | None = None) -> Column:
 
 
 def found_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, parts): a number for each input row, and start, end and kind number of each match in it."""
+    """(rows, parts): a number for each input row, and row, kind number, start and end of each match."""
     mixed = lambda hit: hit.rlike("[0-9]") & hit.rlike("[A-Z]") & hit.rlike("[a-z]")
     long_value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 6
     lists = F.concat(_lengths("assign", ASSIGN, long_value), _lengths("access", ACCESS), _lengths("hex", HEX),
                      _lengths("login", LOGIN), _lengths("opaque", OPAQUE, mixed), _lengths("endpoint", ENDPOINT))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = cut_lineage(docs.select("doc_id", text.alias("text")).select(
-        "doc_id", lists.alias("lists"), F.monotonically_increasing_id().alias("row")))
+        "doc_id", F.xxhash64("text").alias("text_id"), lists.alias("lists"),
+        F.monotonically_increasing_id().alias("row")))
     hits = rows.select("row", F.explode("lists").alias("x")).select("row", "x.*")
     upto = Window.partitionBy("row", "no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     parts = (hits.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).where("ok")
              .select("row", "no", (F.col("end") - F.col("len")).alias("start"), "end"))
-    return rows.select("row", "doc_id"), parts
+    return rows.select("row", "doc_id", "text_id"), parts
 
 
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
@@ -94,12 +96,12 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id and ``found``: all spans as an array of struct(start, no, end), certain ones and linked weak ones."""
+    """doc_id, text_id (a hash) and ``found``: all spans as an array of struct(start, no, end)."""
     rows, parts = found_parts(docs)
     spans = parts.where(F.col("no") < len(BASE)).unionByName(linked(parts, reach))
     lists = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "no", "end"))).alias("found"))
     empty = F.array().cast("array<struct<start:bigint,no:int,end:bigint>>")
-    return rows.join(lists, "row", "left").select("doc_id", F.coalesce("found", empty).alias("found"))
+    return rows.join(lists, "row", "left").select("doc_id", "text_id", F.coalesce("found", empty).alias("found"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -112,3 +114,32 @@ def digest(found: DataFrame) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(F.concat_ws(",", F.transform(base, text)).cast("binary"), 256).alias("base_sha256"),
         F.concat_ws(",", F.transform("found", text)).alias("spans"))
+
+
+def masked(docs: DataFrame, mark: str = "[secret]", reach: int = REACH) -> DataFrame:
+    """``docs`` with every certain span and every linked weak span replaced; same rows and columns.
+
+    Only texts with a span are rebuilt. A column ``n_chars`` follows the text.
+    """
+    key = {"_id": F.coalesce(F.col("doc_id"), F.lit(-1)), "text_id": F.xxhash64(F.coalesce("text", F.lit("")))}
+    hits = cut_lineage(scan_secrets(docs, reach).where(F.size("found") > 0).select(
+        F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), "text_id", "found").dropDuplicates(["_id", "text_id"]))
+    known = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(done, x):  # text up to the span, then the mark, unless the span begins inside the last one
+        fresh = x["start"] >= done["at"]
+        gap = F.substring(F.col("text"), (done["at"] + 1).cast("int"), (x["start"] - done["at"]).cast("int"))
+        return F.struct(F.greatest(done["at"], x["end"]).alias("at"),
+                        F.when(fresh, F.concat(done["out"], gap, F.lit(mark))).otherwise(done["out"]).alias("out"))
+    whole = F.aggregate("found", start, step, lambda d: F.concat(
+        d["out"], F.substring(F.col("text"), (d["at"] + 1).cast("int"), F.length("text"))))
+    out = docs.withColumns(key).join(known, ["_id", "text_id"], "left")
+    columns = {"text": F.when(F.col("found").isNull(), F.col("text")).otherwise(whole)}
+    if "n_chars" in docs.columns:
+        out = out.withColumn("_changed", F.col("found").isNotNull()).withColumns(columns)
+        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType))
+                             .otherwise(F.col("n_chars")))
+    else:
+        out = out.withColumns(columns)
+    return out.select(*docs.columns)

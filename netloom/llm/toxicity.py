@@ -20,12 +20,11 @@ is NULL are not learned from; without labels of both kinds every score is 0; an
 scored in each and learned from once; NULL ids are not held out; further columns are ignored.
 """
 
-from __future__ import annotations
-
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
@@ -253,15 +252,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
     return score(docs, train(docs, labels, rows))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns; one pass."""
-    lexicon, weights, intercept = train(docs, labels, rows)
+def without_toxic(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None,
+                  rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns; one pass.
+
+    ``labelled`` has the texts to learn from, if they are not in ``docs``.
+    """
+    lexicon, weights, intercept = train(docs if labelled is None else labelled, labels, rows)
     words, stems = lexicon.words, lexicon.stems
     limit = math.log(THRESHOLD / (1 - THRESHOLD))
 
     @F.pandas_udf("boolean")
-    def clean(texts):
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Lexicon(words, stems)
-        return texts.map(lambda t: not weights or intercept + sum(
-            w * x for w, x in zip(weights, features(own, t or ""))) < limit)
+        for texts in batches:
+            yield texts.map(lambda t: not weights or intercept + sum(
+                w * x for w, x in zip(weights, features(own, t or ""))) < limit).astype(bool)
     return docs.where(clean("text"))
