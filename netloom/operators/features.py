@@ -31,7 +31,9 @@ def _accumulate(pieces: DataFrame, sliced: bool) -> DataFrame:
     columns = dict(KINDS) | ({"sample": "gather"} if "sample" in pieces.columns else {})
     kept = joined_squares(pieces).select(
         *FLOW, "part", "position", "emit", *CONSTANTS, ends.alias("is_last"),
-        *[F.col(name).alias(f"_{name}") for name in columns])
+        # an empty sample is NULL, so that only the few pieces with payload are gathered
+        *[(F.when(F.size(name) > 0, F.col(name)) if name == "sample" else F.col(name)).alias(f"_{name}")
+          for name in columns])
     runs = {name: Running(kind, F.col(f"_{name}")) for name, kind in columns.items()}
     out = running(kept, FLOW, "position", runs, "part" if sliced else None)
     return out.filter((F.col("emit") > 0) | F.col("is_last")).select(*FLOW, *CONSTANTS, "emit", *columns)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from netloom.functions import constants as K
 from netloom.operators import prepare as prep
 from netloom.operators.scoring import passes_gate
+from netloom.session import cut_lineage
 
 
 def balanced_weights(df: DataFrame, label: str, weight: str | None = None) -> DataFrame:
@@ -100,10 +101,14 @@ def network_probabilities(df: DataFrame, features: list[str], layers: list[tuple
 
 def cascade(df: DataFrame, stage1: PipelineModel, stage2: PipelineModel, bounds: dict, stats: dict,
             classes: int, gate: float = K.STAGE1_THRESHOLD) -> DataFrame:
-    """Only rows above the gate reach stage 2; the others get no probabilities."""
-    scored = attack_probability(stage1, df)
-    low = scored.filter(F.col("p_attack") < gate).withColumn(
-        "probabilities", F.array_repeat(F.lit(0.0), classes))
+    """Only rows above the gate reach stage 2; the others get no probabilities.
+
+    Stage 1 is computed once, for both branches. Rows without a probability stay,
+    with NULL probabilities, for the caller's error table.
+    """
+    scored = cut_lineage(attack_probability(stage1, df))
+    low = scored.filter(F.coalesce(F.col("p_attack") < gate, F.lit(True))).withColumn(
+        "probabilities", F.when(F.col("p_attack").isNotNull(), F.array_repeat(F.lit(0.0), classes)))
     names = list(bounds)
     raw = scored.filter(passes_gate("p_attack", gate)).withColumns({f"_{c}": F.col(f"`{c}`") for c in names})
     high = class_probabilities(stage2, prep.apply_scale(prep.apply_clip(raw, bounds), stats))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
@@ -41,6 +42,10 @@ def remap_classes(df: DataFrame, label: str) -> DataFrame:
     })
 
 
+#: Classes named in an error text, of each problem.
+MESSAGES = 50
+
+
 def class_violations(df: DataFrame, label: str, allowed: list[str]) -> DataFrame:
     """Classes present but not allowed ("unexpected"), allowed but absent ("missing")."""
     spark = df.sparkSession
@@ -53,10 +58,20 @@ def class_violations(df: DataFrame, label: str, allowed: list[str]) -> DataFrame
 
 
 def check_classes(df: DataFrame, label: str, allowed: list[str], strict: bool = True) -> list[str]:
-    """Raise on unexpected classes (strict) and return the messages otherwise."""
-    rows = class_violations(df, label, allowed).orderBy("problem", "class").limit(100).collect()
-    messages = [f"{r['problem']} class: {r['class']}" for r in rows]
-    if strict and any(r["problem"] == "unexpected" for r in rows):
+    """Raise on unexpected classes (strict) and return the messages otherwise, unexpected classes first.
+
+    The decision counts every class; only the text lists no more than ``MESSAGES`` of each problem.
+    """
+    found = class_violations(df, label, allowed)
+    counts = {r["problem"]: r["n"] for r in found.groupBy("problem").agg(F.count("*").alias("n")).collect()}
+    messages = []
+    for problem in ("unexpected", "missing"):
+        if counts.get(problem):
+            rows = found.filter(F.col("problem") == problem).orderBy("class").limit(MESSAGES).collect()
+            messages += [f"{problem} class: {r['class']}" for r in rows]
+            if counts[problem] > MESSAGES:
+                messages.append(f"and {counts[problem] - MESSAGES} more {problem} classes")
+    if strict and counts.get("unexpected"):
         raise ValueError("; ".join(messages))
     return messages
 
@@ -144,25 +159,45 @@ def sample_weight(df: DataFrame, lab_weight: float) -> DataFrame:
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(i, j, left, right, r) for i < j; |r|, NULL when a column is constant.
 
-    One pass either way. Wide inputs use the distributed Gram matrix, whose size
-    depends on the number of columns only.
+    Rows where either value is NULL are left out, pair by pair. One pass at any width: a task adds up
+    the sums and products of its rows, centred on its own first values, and gives one row per pair.
     """
-    spark = df.sparkSession
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    schema = "i int, j int, left string, right string, r double"
-    if len(columns) <= 12:
-        row = df.agg(*[F.stddev_pop(c).alias(f"s_{k}") for k, c in enumerate(columns)],
-                     *[F.covar_pop(columns[i], columns[j]).alias(f"c_{i}_{j}") for i, j in pairs])
-        row = row.select(*[F.try_divide(F.col(f"c_{i}_{j}"), F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"r_{i}_{j}")
-                           for i, j in pairs])
-        items = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(columns[i]).alias("left"),
-                          F.lit(columns[j]).alias("right"), F.abs(f"r_{i}_{j}").alias("r")) for i, j in pairs]
-        long = row.select(F.inline(F.array(*items)))
-        return long.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
-    matrix = Correlation.corr(assemble(df, columns), "features").head()[0].toArray()
-    rows = [(i, j, columns[i], columns[j], abs(float(matrix[i, j])) if matrix[i, j] == matrix[i, j] else None)
-            for i, j in pairs]
-    return spark.createDataFrame(rows, schema)
+    names = [f"c{k}" for k in range(len(columns))]
+    numbers = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)])
+    parts = numbers.mapInPandas(_pair_sums, "i int, j int, n double, mx double, my double, sxx double, syy double, sxy double")
+    # Co-moments about each part's means are joined about the common means.
+    total = parts.groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mx")).alias("x"), F.sum(F.col("n") * F.col("my")).alias("y"),
+        *[F.sum(F.col(s) + F.col("n") * F.col(a) * F.col(b)).alias(s)
+          for s, a, b in (("sxx", "mx", "mx"), ("syy", "my", "my"), ("sxy", "mx", "my"))])
+    spread = {s: F.col(s) - F.try_divide(F.col(a) * F.col(b), F.col("n"))
+              for s, a, b in (("sxx", "x", "x"), ("syy", "y", "y"), ("sxy", "x", "y"))}
+    flat = lambda s, t: F.greatest(spread[s], F.lit(0.0)) <= F.lit(1e-12) * F.col(s)
+    r = F.when(flat("sxx", "x") | flat("syy", "y"), None).otherwise(
+        F.abs(F.try_divide(spread["sxy"], F.sqrt(spread["sxx"] * spread["syy"]))))
+    label = lambda k: F.element_at(F.array(*map(F.lit, columns)), F.col(k) + 1)
+    return total.select("i", "j", label("i").alias("left"), label("j").alias("right"),
+                        F.when(~F.isnan(r), F.when(r > 1, 1.0).otherwise(r)).alias("r"))
+
+
+def _pair_sums(batches):
+    """Per pair of columns and Arrow batch: count, means and co-moments of the rows that have both."""
+    for batch in batches:
+        x = batch.to_numpy(dtype=float)
+        have = ~np.isnan(x)
+        shift = np.where(have.any(axis=0), np.nan_to_num(np.nanmax(np.where(have, x, -np.inf), axis=0)), 0.0)
+        x = np.where(have, x - shift, 0.0)
+        there = have.astype(float)
+        n = there.T @ there
+        first, second = x.T @ there, (x * x).T @ there       # of column i over the rows that also have j
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = first / n
+            sxx, sxy = second - first * mean, x.T @ x - first * mean.T
+        i, j = np.triu_indices(x.shape[1], 1)
+        keep = n[i, j] > 0
+        i, j = i[keep], j[keep]
+        yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "mx": mean[i, j] + shift[i], "my": mean[j, i] + shift[j],
+                            "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j]})
 
 
 def correlated_columns(pairs: DataFrame, limit: float = K.CORRELATION_LIMIT) -> DataFrame:
@@ -206,6 +241,9 @@ def exact_percentiles(df: DataFrame, columns: list[str], percents: tuple[float,
                          for e in (max(p / 100 - margin, 0.0), min(p / 100 + margin, 1.0)))
             # Linear rule: between the 0-based ranks floor(rank) and floor(rank) + 1.
             brackets[c, p] = (low, high, int(rank), rank - int(rank))
+    if not brackets:
+        empty = [(c, float(p), None) for c in columns for p in percents]
+        return spark.createDataFrame(empty, "column string, percent double, bound double")
     checks = []
     for (c, p), (low, high, *_rest) in brackets.items():
         checks += [F.count_if(F.col(c) < low), F.count_if(F.col(c) <= high)]

@@ -38,7 +38,8 @@ class Running:
         if self.kind == "last":
             return F.max_by(self.value, F.when(self.value.isNotNull(), F.col(order)))
         if self.kind == "gather":
-            rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), self.value.alias("value"))))
+            row = F.struct(F.col(order).alias("at"), self.value.alias("value"))
+            rows = F.array_sort(F.collect_list(F.when(self.value.isNotNull(), row)))
             return F.flatten(F.transform(rows, lambda row: row["value"]))
         return self.aggregate(self.value)
 

@@ -17,6 +17,9 @@ LOG_COLUMNS = {
 }
 
 
+ID_TYPE = "decimal(38,0)"
+
+
 def evolve(log: DataFrame) -> DataFrame:
     """Any older log with the full column set; missing ones are typed NULLs."""
     missing = {name: F.lit(None).cast(kind) for name, kind in LOG_COLUMNS.items() if name not in log.columns}
@@ -50,7 +53,9 @@ def log_rows(scored: DataFrame, log_features: bool = False) -> DataFrame:
         pick("source_ip", "string", "0.0.0.0").alias("source_ip"),
         pick("destination_ip", "string", "0.0.0.0").alias("destination_ip"),
         pick("protocol", "string", "TCP").alias("protocol"),
-        F.col("attack_type"), F.ceil(F.greatest(pick("latency_ms", "double", 1.0), F.lit(1.0))).alias("latency_ms"),
+        # NULL where nothing was measured; the latency gate then says so
+        F.col("attack_type"), F.when(pick("latency_ms", "double").isNotNull(), F.ceil(F.greatest(
+            pick("latency_ms", "double"), F.lit(1.0)))).alias("latency_ms"),
         pick("Source Port", "bigint", 0).alias("source_port"),
         pick("Destination Port", "bigint", 0).alias("destination_port"),
         F.col("final_confidence").alias("confidence"), "verdict", "stage_reached",
@@ -67,14 +72,18 @@ def log_rows(scored: DataFrame, log_features: bool = False) -> DataFrame:
 def append(rows: DataFrame, path: str, batch: int = 0) -> None:
     """Append with an id that grows from batch to batch and is unique within one.
 
-    Spark numbers rows per partition; up to 2**20 batches of 2**43 row numbers fit
-    a long (a batch may use 1024 partitions of 2**33 rows).
+    The id is ``batch * 2**63`` plus Spark's row number, as a decimal, so neither the number of
+    batches nor the number of partitions of a batch is bounded by it.
     """
-    numbered = rows.coalesce(1024).withColumn(
-        "id", F.lit(batch << 43) + F.monotonically_increasing_id()).withColumn("batch", F.lit(batch))
+    first = F.lit(str(batch << 63)).cast(ID_TYPE)
+    numbered = rows.withColumn("id", (first + F.monotonically_increasing_id()).cast(ID_TYPE))
     # A batch that is retried replaces its own folder, so it never counts twice.
-    numbered.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    numbered.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return evolve(spark.read.option("mergeSchema", True).parquet(path))
+    """The whole log; columns that a file lacks are NULL. One footer gives the type of the ids."""
+    first = spark.read.parquet(path).schema
+    ids = first["id"].dataType.simpleString() if "id" in first.names else ID_TYPE
+    known = ", ".join(f"{name} {kind}" for name, kind in {"id": ids, **LOG_COLUMNS}.items())
+    return spark.read.schema(f"{known}, batch bigint").parquet(path)

@@ -17,7 +17,10 @@ _COLUMNS = [field.split()[0] for field in HEADERS.split(", ")]
 # File magics -> (byte order, fractions per microsecond).
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1),
          b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
-LINK_ETHERNET, LINK_RAW = 1, (101, 12)
+# Link type -> (bytes before the IP header, where the protocol is, what it is for IPv4).
+LINK_ETHERNET, LINK_RAW = 1, (101, 12, 14, 228)
+LINK_COOKED = {113: (16, slice(14, 16), (b"\x08\x00",)), 276: (20, slice(0, 2), (b"\x08\x00",)),
+               0: (4, slice(0, 4), (b"\x02\0\0\0", b"\0\0\0\x02")), 108: (4, slice(0, 4), (b"\0\0\0\x02",))}
 
 
 def _address(raw: bytes) -> str:
@@ -27,7 +30,10 @@ def _address(raw: bytes) -> str:
 def _ip(frame: bytes, link: int) -> bytes | None:
     if link in LINK_RAW:
         return frame
-    if link != LINK_ETHERNET or len(frame) < 14:
+    if link in LINK_COOKED:
+        start, kind, wanted = LINK_COOKED[link]
+        return frame[start:] if len(frame) > start and frame[kind] in wanted else None
+    if len(frame) < 14:
         return None
     kind, start = frame[12:14], 14
     while kind in (b"\x81\x00", b"\x88\xa8"):
@@ -60,6 +66,8 @@ def _decode(batches: Iterator[pd.DataFrame], chunk: int = 20_000) -> Iterator[pd
             if order is None:
                 raise ValueError(f"not a classic capture file: {path}")
             link = struct.unpack(order + "I", content[20:24])[0] & 0xFFFF
+            if link != LINK_ETHERNET and link not in LINK_RAW and link not in LINK_COOKED:
+                raise ValueError(f"link type {link} is not supported: {path}")
             at, frame, rows = 24, 0, []
             while at + 16 <= len(content):
                 sec, part, kept, _ = struct.unpack(order + "IIII", content[at:at + 16])
