@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 #: A word is a run of anything but a space and the five ASCII controls tab to carriage return.
@@ -15,14 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Tells rows apart that share an id (or have none) but differ in text."""
-    return F.md5(F.concat_ws("\x00", F.coalesce(F.col(doc_id).cast("string"), F.lit("~")),
-                             F.coalesce(F.md5(F.col(text)), F.lit("~"))))
+#: Columns of ``keyed``; the double underscore keeps them apart from the columns of a table.
+ID, TEXT_ID = "__id", "__text_id"
+LAST_ID = 2 ** 63 - 1
 
 
-def lower_ascii(text: str | Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ID (the id; missing ones come last) and TEXT_ID (64-bit hash; a NULL text is empty).
+
+    Together they tell rows apart that share an id, or have none, but differ in text.
+    """
+    return docs.withColumns({ID: F.coalesce(F.col("doc_id"), F.lit(LAST_ID)),
+                             TEXT_ID: F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from netloom.llm.common import ID, TEXT_ID, keyed
 from netloom.session import cut_lineage
 
 WINDOW = 20
@@ -62,12 +63,8 @@ def seeds(df: DataFrame, short: bool) -> DataFrame:
     return df.select(*others, place.alias("place"), "seed")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(-1)), "_text": F.xxhash64("text")})
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """_id, _text, doc_id, item_id, shift, start (in the item), compared and equal: the verified candidates."""
+    """ID, TEXT_ID, doc_id, item_id, shift, start (in the item), compared and equal: the verified candidates."""
     items = cut_lineage(benchmark.select("item_id", tokens().alias("h")).where(F.size("h") >= SHORTEST)
                         .withColumn("item", F.monotonically_increasing_id()))
     short = items.where(F.size("h") < _LONG)
@@ -75,15 +72,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of_items = (seeds(items.select("item", "h"), False).unionByName(
         seeds(short.select("item", "h"), True))).distinct().withColumnRenamed("place", "at")
     n_seeds = of_items.count()
-    found = seeds(_keyed(docs).select("_id", "_text", tokens().alias("h")), any_short)
+    found = seeds(keyed(docs).select(ID, TEXT_ID, tokens().alias("h")), any_short)
     known = F.broadcast(of_items) if n_seeds <= BROADCAST_SEEDS else of_items
-    hits = cut_lineage(found.join(known, "seed").select("_id", "_text", "item", (F.col("place") - F.col("at")).alias("shift"))
+    hits = cut_lineage(found.join(known, "seed").select(ID, TEXT_ID, "item", (F.col("place") - F.col("at")).alias("shift"))
                        .distinct())
     few = hits.count() <= BROADCAST_HITS
     small = F.broadcast if few else (lambda df: df)
-    texts = (_keyed(docs).join(small(hits.select("_id", "_text").distinct()), ["_id", "_text"], "left_semi")
-             .select("_id", "_text", "doc_id", tokens().alias("doc")))
-    pairs = texts.join(small(hits), ["_id", "_text"]).join(items.withColumnRenamed("h", "words"), "item")
+    texts = (keyed(docs).join(small(hits.select(ID, TEXT_ID).distinct()), [ID, TEXT_ID], "left_semi")
+             .select(ID, TEXT_ID, "doc_id", tokens().alias("doc")))
+    pairs = texts.join(small(hits), [ID, TEXT_ID]).join(items.withColumnRenamed("h", "words"), "item")
     # places of the item that lie inside the document under this shift, from 0
     first = F.greatest(F.lit(0), -F.col("shift"))
     beyond = F.least(F.size("words"), F.size("doc") - F.col("shift"))
@@ -97,13 +94,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         (-i).alias("i")))
     best = pairs.withColumn("same", same).withColumn("best", F.array_max(sums))
     return best.where(100 * F.col("best.equal") >= SHARE * F.col("window")).select(
-        "_id", "_text", "doc_id", "item_id", "shift", (F.col("first") - F.col("best.i")).alias("start"),
+        ID, TEXT_ID, "doc_id", "item_id", "shift", (F.col("first") - F.col("best.i")).alias("start"),
         F.col("window").alias("compared"), F.col("best.equal").alias("equal"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item with an overlap: the best window's place in both, its size and equal tokens."""
-    return (overlaps(docs, benchmark).groupBy("_id", "_text", "doc_id", "item_id")
+    return (overlaps(docs, benchmark).groupBy(ID, TEXT_ID, "doc_id", "item_id")
             .agg(F.max_by(F.struct("compared", "equal", "start", "shift"), F.struct(
                 "equal", (-F.col("start")).alias("s"), (-F.col("shift")).alias("d"))).alias("b"),
                 F.count("*").alias("n_places"))
@@ -114,6 +111,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a verified overlap, all columns."""
-    found = cut_lineage(overlaps(docs, benchmark).select("_id", "_text").distinct())
+    found = cut_lineage(overlaps(docs, benchmark).select(ID, TEXT_ID).distinct())
     known = F.broadcast(found) if found.count() <= BROADCAST_HITS else found
-    return _keyed(docs).join(known, ["_id", "_text"], "left_anti").select(*docs.columns)
+    return keyed(docs).join(known, [ID, TEXT_ID], "left_anti").select(*docs.columns)

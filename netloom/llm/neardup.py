@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.llm import near
-from netloom.llm.common import map_batches
+from netloom.llm.common import ID, LAST_ID, TEXT_ID, keyed, map_batches
 from netloom.session import cut_lineage
 
 ROWS, MISS = 4, 1e-7
@@ -41,7 +41,7 @@ def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
             return (ids, text_ids, [len(s) for s in sets], [near.set_id(s) if len(s) else None for s in sets],
                     near.bands(sets, ROWS, count))
         return batch
-    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text"),
+    return map_batches(keyed(docs).select("doc_id", F.col(TEXT_ID).alias("text_id"), "text"),
                        "doc_id bigint, text_id bigint, n_shingles bigint, node bigint, keys array<bigint>", start)
 
 
@@ -89,18 +89,16 @@ def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without words are linked with nothing and all stay.
     """
-    key = {"_id": F.coalesce(F.col("doc_id"), F.lit(2 ** 63 - 1))}
-    rows = cut_lineage(_classes(docs, k, percent).where("component is not null").withColumns(key)
-                       .select("_id", "text_id", "component"))
-    best = rows.groupBy("component").agg(F.min(F.struct("_id", "text_id")).alias("best"))
-    judged = rows.groupBy("component", "_id", "text_id").agg(F.count("*").alias("n")).join(best, "component")
-    judged = cut_lineage(judged.select("_id", "text_id", (F.struct("_id", "text_id") == F.col("best")).alias("first"), "n"))
-    lost = near.few(judged.where("not first").select("_id", "text_id"))
-    keyed = docs.withColumns(key | {"text_id": F.xxhash64("text")})
-    left = keyed.join(lost, ["_id", "text_id"], "left_anti")
-    repeated = judged.where("first and n > 1").select("_id", "text_id")
+    key = [ID, TEXT_ID]
+    rows = cut_lineage(_classes(docs, k, percent).where("component is not null").select(
+        F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias(ID), F.col("text_id").alias(TEXT_ID), "component"))
+    best = rows.groupBy("component").agg(F.min(F.struct(*key)).alias("best"))
+    judged = rows.groupBy("component", *key).agg(F.count("*").alias("n")).join(best, "component")
+    judged = cut_lineage(judged.select(*key, (F.struct(*key) == F.col("best")).alias("first"), "n"))
+    left = keyed(docs).join(near.few(judged.where("not first").select(*key)), key, "left_anti")
+    repeated = judged.where("first and n > 1").select(*key)
     if repeated.isEmpty():
         return left.select(*docs.columns)
     again = near.few(repeated)
-    return (left.join(again, ["_id", "text_id"], "left_anti").unionByName(
-        left.join(again, ["_id", "text_id"], "left_semi").dropDuplicates(["_id", "text_id"])).select(*docs.columns))
+    return (left.join(again, key, "left_anti").unionByName(
+        left.join(again, key, "left_semi").dropDuplicates(key)).select(*docs.columns))

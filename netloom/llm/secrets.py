@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from netloom.llm.common import ID, LAST_ID, TEXT_ID, keyed
 from netloom.session import cut_lineage
 
 # The patterns of the certain kinds. Letters of the keywords count in either case; the
@@ -121,9 +122,10 @@ def masked(docs: DataFrame, mark: str = "[secret]", reach: int = REACH) -> DataF
 
     Only texts with a span are rebuilt. A column ``n_chars`` follows the text.
     """
-    key = {"_id": F.coalesce(F.col("doc_id"), F.lit(-1)), "text_id": F.xxhash64(F.coalesce("text", F.lit("")))}
+    key = [ID, TEXT_ID]
     hits = cut_lineage(scan_secrets(docs, reach).where(F.size("found") > 0).select(
-        F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), "text_id", "found").dropDuplicates(["_id", "text_id"]))
+        F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias(ID), F.col("text_id").alias(TEXT_ID),
+        F.col("found").alias("__found")).dropDuplicates(key))
     known = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -132,14 +134,11 @@ def masked(docs: DataFrame, mark: str = "[secret]", reach: int = REACH) -> DataF
         gap = F.substring(F.col("text"), (done["at"] + 1).cast("int"), (x["start"] - done["at"]).cast("int"))
         return F.struct(F.greatest(done["at"], x["end"]).alias("at"),
                         F.when(fresh, F.concat(done["out"], gap, F.lit(mark))).otherwise(done["out"]).alias("out"))
-    whole = F.aggregate("found", start, step, lambda d: F.concat(
+    whole = F.aggregate("__found", start, step, lambda d: F.concat(
         d["out"], F.substring(F.col("text"), (d["at"] + 1).cast("int"), F.length("text"))))
-    out = docs.withColumns(key).join(known, ["_id", "text_id"], "left")
-    columns = {"text": F.when(F.col("found").isNull(), F.col("text")).otherwise(whole)}
+    changed = F.col("__found").isNotNull()
+    out = keyed(docs).join(known, key, "left").withColumn("text", F.when(changed, whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("_changed", F.col("found").isNotNull()).withColumns(columns)
-        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType))
-                             .otherwise(F.col("n_chars")))
-    else:
-        out = out.withColumns(columns)
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

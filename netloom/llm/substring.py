@@ -23,12 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.llm import near
-from netloom.llm.common import map_batches
+from netloom.llm.common import ID, TEXT_ID, keyed, map_batches
 from netloom.session import cut_lineage, new_folder
 
 LEAST_WORDS, SHINGLE, PERCENT = 20, 5, 80
 ROWS, MISS = 3, 2e-4
-_LAST = 2 ** 63 - 1
 
 
 def _line_id(line: bytes) -> int:
@@ -59,14 +58,10 @@ def sketched(docs: DataFrame) -> DataFrame:
                 keys[i].append(row)
             return ids, text_ids, lines, nodes, keys
         return batch
-    return map_batches(_keyed(docs).select("id", "text_id", "text"),
+    return map_batches(keyed(docs).select(ID, TEXT_ID, "text"),
                        "id bigint, text_id bigint, lines array<int>, nodes array<bigint>, keys array<array<bigint>>", start)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"id": F.coalesce(F.col("doc_id"), F.lit(_LAST)), "text_id": F.xxhash64("text")})
-
-
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """id, text_id and the sorted numbers of the lines to remove."""
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession)
@@ -100,21 +95,22 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
             .groupBy("id", "text_id").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text that is left, and ``removed``: the numbers of the removed lines."""
-    removed = near.few(cut_lineage(repeated_lines(docs)))
-    lines = F.split("text", "\n", -1)
-    left = F.concat_ws("\n", F.filter(lines, lambda x, i: ~F.array_contains("removed", i)))
-    return (_keyed(docs).join(removed, ["id", "text_id"], "left")
-            .withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(left))
-            .select(*docs.columns, F.coalesce("removed", F.array().cast("array<int>")).alias("removed")))
+def without_repeats(docs: DataFrame, removed: str = "removed") -> DataFrame:
+    """``docs`` with the text that is left; column ``removed`` (added or replaced): the numbers of the removed lines."""
+    found = near.few(cut_lineage(repeated_lines(docs).select(
+        F.col("id").alias(ID), F.col("text_id").alias(TEXT_ID), F.col("removed").alias("__removed"))))
+    left = F.concat_ws("\n", F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i)))
+    return (keyed(docs).join(found, [ID, TEXT_ID], "left")
+            .withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left))
+            .select(*[c for c in docs.columns if c != removed],
+                    F.coalesce("__removed", F.array().cast("array<int>")).alias(removed)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, paragraphs removed, runs of them, bytes left and their digest, for every row."""
     text = F.coalesce("text", F.lit(""))
     runs = F.size(F.filter("removed", lambda x: ~F.array_contains("removed", x - 1)))
-    return without_repeats(docs).select(
+    return without_repeats(docs.select("doc_id", "text")).select(
         "doc_id", F.size("removed").cast("bigint").alias("n_removed"), runs.cast("bigint").alias("n_spans"),
         "removed", F.octet_length(text).cast("bigint").alias("n_kept_bytes"),
         F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
