@@ -8,10 +8,9 @@ draws, at the cost of about one pass over the set plus ``size * log(size)`` step
 
 Sets that share a band are candidates. `classes` compares them without listing all pairs of a bucket:
 first each with the smallest and the largest member; what that links becomes one component. Within a
-bucket only members of different components can still matter, and of those only pairs that the
-distances already known allow (Jaccard distance is a metric, so two sets differ at least by the
-difference of their distances to a common third one). The rest is compared in full, so no link between
-sets that share a band is lost.
+bucket only members of different components can still matter. Their pairs are not listed either: an exact
+prefix filter (`prefix_pairs`) gives those that can reach the threshold at all, and these are compared.
+So no link between sets that share a band is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from netloom.llm.components import components
 from netloom.session import cut_lineage
@@ -136,23 +135,40 @@ def classes(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     labels = components(first)
 
     # What is left: members of one bucket in different components.
-    own = (members.join(labels, "node", "left")
-           .withColumn("component", F.coalesce("component", "node")))
+    own = members.select("key", "node").join(labels, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
     mixed = own.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-    near = known.select("a", "b", (F.col("common") / F.col("both")).alias("s"))
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
-    own = own.join(mixed, "key").where("node <> low and node <> high")
-    for end in ("low", "high"):   # NULL: the sizes alone rule a link with that end out
-        own = own.join(near.select(F.col("a").alias("node"), F.col("b").alias(end), F.col("s").alias(f"to_{end}")),
-                       ["node", end], "left")
-    own = cut_lineage(own.select("key", "node", "component", "to_low", "to_high"))
-    x, y = own.alias("x"), own.alias("y")
-    apart = lambda e: F.coalesce(
-        F.abs(F.col(f"x.{e}") - F.col(f"y.{e}")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-                   & apart("to_low") & apart("to_high"))
-            .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+    open_nodes = cut_lineage(own.join(mixed, "key").select("node", "component").distinct())
+    rest = cut_lineage(prefix_pairs(open_nodes, sets, percent))
     more = cut_lineage(verified(rest, sets, percent).where(linked).select("a", "b"))
     if more.isEmpty():
         return labels
     return components(first.unionByName(more))
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of nodes of different components that may reach the threshold, found exactly.
+
+    Elements are ordered by how many of the sets have them, rare ones first. Two sets at the threshold share
+    an element within the first ``size - percent * size`` places, and no more than that many places may lie
+    before the first common element; elements of one set alone take places without being joined. An element's
+    sets meet only across components: those outside its most frequent component, with all of it.
+    """
+    elements = nodes.join(sets, "node").select("node", "component", F.size("set").alias("size"), F.explode("set").alias("x"))
+    common = (elements.groupBy("x").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d"))
+              .where("n > 1").select("x", "n", (F.col("c") < F.col("d")).alias("meets")))
+    by_node = Window.partitionBy("node")
+    placed = (elements.join(common, "x")
+              .withColumn("place", F.col("size") - F.count("*").over(by_node)
+                          + F.row_number().over(by_node.orderBy("n", "x")) - 1)
+              .where("meets").where(100 * F.col("place") <= (100 - percent) * F.col("size"))
+              .select("x", "node", "component", "size", "place"))
+    placed = cut_lineage(placed)
+    most = (placed.groupBy("x", "component").agg(F.count("*").alias("n")).groupBy("x")
+            .agg(F.max(F.struct("n", "component"))["component"].alias("most")))
+    a = placed.join(most, "x").where("component <> most").alias("a")
+    b = placed.alias("b")
+    left = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+    return (a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.component") != F.col("b.component"))
+                   & ((100 + percent) * left >= percent * (F.col("a.size") + F.col("b.size"))))
+            .select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct())
