@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from netloom.session import new_folder
+
 #: A word is a run of anything but a space and the five ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,3 +80,10 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[..., tu
                     [pa.array(c, type=f.type) for c, f in zip(made, arrow)], schema=arrow)
 
     return df.mapInArrow(run, out)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: smaller than a checkpoint of the same rows."""
+    folder = new_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -101,9 +101,9 @@ def set_id(values: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes())).astype(np.int64))
 
 
-def few(df: DataFrame) -> DataFrame:
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with the advice to broadcast it, if it has so few rows; otherwise as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -30,15 +30,23 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from netloom.llm import near
-from netloom.llm.common import map_batches
+from netloom.llm.common import map_batches, written
 from netloom.session import cut_lineage
 
 LENGTH, ANCHOR = 50, 16
+#: So many shared anchors at most are broadcast (32 MB of longs); more are joined by a shuffle.
+BROADCAST_ANCHORS = 4_000_000
 _U = np.uint64
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return near.mix(near.mix(a) + b)
+    """Fingerprint of two ranks, in few passes over the array."""
+    h = a * _U(0x9E3779B97F4A7C15)
+    h += b
+    h ^= h >> _U(32)
+    h *= _U(0xD6E8FEB86659FD93)
+    h ^= h >> _U(29)
+    return h
 
 
 def ranks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -94,18 +102,20 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, no, start and end of removed strings (they may overlap), of documents that are no exact copy."""
     def start():
         def batch(ids, nos, texts):
-            out: list[list] = [[], [], [], [], [], []]
-            for i, no, text in zip(ids, nos, texts):
-                anchor, block, first, last = blocks(text.encode())
-                for column, values in zip(out, ([i] * len(first), [no] * len(first), anchor, block, first, last)):
-                    column.extend(values if isinstance(values, list) else values.tolist())
-            return out
+            found = [blocks(text.encode()) for text in texts]
+            n = [len(f[0]) for f in found]
+            # first and last start in one number: a block has at most 35 of them
+            spans = [first << 6 | last - first for _, _, first, last in found]
+            return (np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(nos, np.int32), n),
+                    *[np.concatenate(c) for c in ([f[0] for f in found], [f[1] for f in found], spans)])
         return batch
     rows = map_batches(docs.select("doc_id", "no", "text"),
-                       "doc_id bigint, no int, anchor bigint, block bigint, first int, last int", start)
-    shared = (rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-              .where("a < b").select("anchor"))
-    met = cut_lineage(rows.join(shared, "anchor"))
+                       "doc_id bigint, no int, anchor bigint, block bigint, span bigint", start)
+    shared = cut_lineage(rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                         .where("a < b").select("anchor"))
+    met = written(rows.join(near.few(shared, BROADCAST_ANCHORS), "anchor").withColumns(
+        {"first": F.expr("cast(shiftright(span, 6) as int)"),
+         "last": F.expr("cast(shiftright(span, 6) + (span & 63) as int)")}).drop("span"))
     leaders = met.groupBy("anchor", "block").agg(F.min("doc_id").alias("least"))
     leaders = cut_lineage(leaders)
     mixed = leaders.groupBy("anchor").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("anchor")
@@ -118,19 +128,20 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
     def start_strings():
         def batch(ids, nos, texts, spans):
-            out: list[list] = [[], [], [], []]
-            for i, no, text, own in zip(ids, nos, texts, spans):
-                _, x50 = ranks(text.encode())
-                at = np.unique(np.concatenate([np.arange(s["first"], s["last"] + 1) for s in own]))
-                for column, values in zip(out, ([i] * len(at), [no] * len(at), x50[at].astype(np.int64).tolist(), at.tolist())):
-                    column.extend(values)
-            return out
+            places, found = [], []
+            for text, own in zip(texts, spans):
+                x50 = ranks(text.encode())[1].astype(np.int64)
+                places.append(np.unique(np.concatenate([np.arange(s["first"], s["last"] + 1) for s in own])))
+                found.append(x50[places[-1]])
+            n = [len(p) for p in places]
+            return (np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(nos, np.int32), n),
+                    np.concatenate(found), np.concatenate(places).astype(np.int32))
         return batch
     ids = near.few(asked.select("doc_id", "no"))
     texts = docs.join(ids, ["doc_id", "no"], "left_semi").join(asked, ["doc_id", "no"])
     strings = map_batches(texts.select("doc_id", "no", "text", "spans"),
                           "doc_id bigint, no int, rank bigint, at int", start_strings)
-    strings = cut_lineage(strings)
+    strings = written(strings)
     earlier = (strings.groupBy("rank").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
                .where("least < most").select("rank", "least"))
     single = strings.join(earlier, "rank").where("doc_id > least").select(
