@@ -69,5 +69,6 @@ def infinity_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
         F.struct(F.lit(c).alias("column"), F.col(f"i_{k}").alias("infinities")) for k, c in enumerate(columns)])))
 
 
-def sample_rows(df: DataFrame, rows: int = 5) -> DataFrame:
-    return df.limit(rows)
+def sample_rows(df: DataFrame, rows: int = 5, by: list[str] | None = None) -> DataFrame:
+    """Any few rows, or the first ones in the order of ``by``."""
+    return (df.orderBy(*by) if by else df).limit(rows)

@@ -81,9 +81,15 @@ SELECT flow_id, h, CASE WHEN {_finite} THEN f_tax ELSE 0 END AS f_tax FROM flows
 query("drop_non_finite_rows", "flows", sql=f"""
 SELECT domain, count(*) AS all_rows, count(*) FILTER ({_finite}) AS kept,
        count(*) FILTER (NOT {_finite}) AS removed FROM flows GROUP BY domain""")(
-    lambda flows: flows.groupBy("domain").agg(
-        F.count("*").alias("all_rows"), F.count_if(prep.all_finite(CLEAN)).alias("kept"),
-        F.count_if(~prep.all_finite(CLEAN)).alias("removed")))
+    lambda flows: _removed_rows(flows))
+
+
+def _removed_rows(flows: DataFrame) -> DataFrame:
+    kept = prep.finite_rows(flows, CLEAN).groupBy("domain").agg(F.count("*").alias("kept"))
+    both = flows.groupBy("domain").agg(F.count("*").alias("all_rows")).join(kept, "domain", "left")
+    kept_rows = F.coalesce("kept", F.lit(0))
+    return both.select("domain", "all_rows", kept_rows.alias("kept"), (F.col("all_rows") - kept_rows).alias("removed"))
+
 
 query("finite_rows", "flows", sql=f"SELECT flow_id, h, f_tax FROM flows WHERE {_finite}")(
     lambda flows: prep.finite_rows(flows, CLEAN, "class_label").select("flow_id", "h", "f_tax"))
@@ -96,11 +102,13 @@ UNION ALL SELECT flow_id, h, 'f_absent', 'missing' FROM flows""")(
     lambda flows: prep.contract_violations(flows, ID, ["f_qty", "f_tax", "class_label", "f_absent"]))
 
 
-@query("ordered_vector", "flows")
+@query("ordered_vector", "flows", sql=f"""
+SELECT flow_id, h, {", ".join(f"CAST({c} AS DOUBLE) AS v{n}" for n, c in enumerate(CLEAN))} FROM flows WHERE {_finite}""")
 def ordered_vector(flows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     vectors = prep.assemble(prep.finite_rows(flows, CLEAN), CLEAN)
-    return vectors.select("flow_id", "h", vector_to_array("features").alias("features"))
+    values = vectors.select("flow_id", "h", vector_to_array("features").alias("features"))
+    return values.select("flow_id", "h", *[F.col("features")[n].alias(f"v{n}") for n in range(len(CLEAN))])
 
 
 query("infinity_counts", "flows", sql="""
@@ -210,14 +218,22 @@ SELECT class_label, "rows", round(balanced, 6) AS balanced,
 
 # ---- dedup, samples, splits -----------------------------------------------------------------------
 
-query("row_dedup", "flows", sql="SELECT DISTINCT f_qty, f_disc, class_label FROM flows")(
-    lambda flows: prep.dedup(flows, ["f_qty", "f_disc", "class_label"]))
+RETAINED = ["f_qty", "f_price", "f_price2", "f_disc", "f_const", "class_label"]
+
+query("row_dedup", "flows", sql=f"SELECT DISTINCT {', '.join(RETAINED)} FROM flows")(
+    lambda flows: prep.dedup(flows, RETAINED))
+
+query("duplicate_rows_removed", "flows", sql=f"""
+SELECT count(*) AS before, count(DISTINCT ({", ".join(RETAINED)})) AS after,
+       count(*) - count(DISTINCT ({", ".join(RETAINED)})) AS removed FROM flows""")(
+    lambda flows: _duplicates(flows))
+
+
+def _duplicates(flows: DataFrame) -> DataFrame:
+    left = prep.dedup(flows, RETAINED).agg(F.count("*").alias("after"), F.lit(1).alias("one"))
+    return flows.agg(F.count("*").alias("before"), F.lit(1).alias("one")).join(left, "one").select(
+        "before", "after", (F.col("before") - F.col("after")).alias("removed"))
 
-query("duplicate_rows_removed", "flows", sql="""
-SELECT count(*) AS before, count(DISTINCT (f_qty, f_disc, class_label)) AS after,
-       count(*) - count(DISTINCT (f_qty, f_disc, class_label)) AS removed FROM flows""")(
-    lambda flows: flows.groupBy("f_qty", "f_disc", "class_label").agg(F.count("*").alias("n")).agg(
-        F.sum("n").alias("before"), F.count("*").alias("after"), (F.sum("n") - F.count("*")).alias("removed")))
 
 _ranked = """
 r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5('42|' || flow_id || '|' || h), flow_id, h) AS rk,
@@ -293,5 +309,6 @@ query("label_column_finder", "flows", sql="""
 SELECT class_label, count(*) AS "rows" FROM flows GROUP BY 1""")(
     lambda flows: flows.groupBy(prof.label_columns(flows)).agg(F.count("*").alias("rows")))
 
-query("sample_rows", "flows")(lambda flows: prof.sample_rows(flows.select("flow_id", "h", "class_label")))
+query("sample_rows", "flows", sql="SELECT flow_id, h, class_label FROM flows ORDER BY flow_id, h LIMIT 5")(
+    lambda flows: prof.sample_rows(flows.select("flow_id", "h", "class_label"), by=["flow_id", "h"]))
 query("approximate_profile", "flows")(lambda flows: prof.approximate_profile(flows, ["class_label", "domain", "f_tax"]))

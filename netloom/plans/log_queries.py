@@ -90,8 +90,8 @@ SELECT id, source_ip FROM alerts WHERE source_ip = (SELECT source_ip FROM t) AND
 
 
 def _related(alerts: DataFrame) -> DataFrame:
-    newest = tel.latest_alert(alerts).select(F.col("id").alias("ref"), "source_ip")
-    return alerts.join(F.broadcast(newest), "source_ip").filter(F.col("id") != F.col("ref")).select("id", "source_ip")
+    newest = tel.latest_alert(alerts).select("id").first()   # one row
+    return tel.related_records(alerts, newest["id"] if newest else -1).select("id", "source_ip")
 
 
 @query("log_schema_evolution", "alerts", sql="""
@@ -298,10 +298,11 @@ SELECT (SELECT count(*) FROM b) AS straddling, count(*) FILTER (split = 'train')
 
 
 def _group_leakage(flows: DataFrame) -> DataFrame:
-    per = prep.group_split(flows, "campaign_id").groupBy("connection_id").agg(
-        F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "validation").alias("validation"))
-    return per.agg(F.count_if((F.col("train") > 0) & (F.col("validation") > 0)).alias("straddling"),
-                   F.sum("train").alias("train"), F.sum("validation").alias("validation"))
+    rows = prep.group_split(flows, "campaign_id")
+    straddling = audit.straddling_groups(rows, "connection_id").agg(F.count("*").alias("straddling"), F.lit(1).alias("one"))
+    sizes = rows.agg(F.count_if(F.col("split") == "train").alias("train"),
+                     F.count_if(F.col("split") == "validation").alias("validation"), F.lit(1).alias("one"))
+    return straddling.join(sizes, "one").drop("one")
 
 
 query("id_set_check", "flows", sql="""

@@ -393,7 +393,7 @@ def test_entry_and_registry(spark, tiny):
     text = {q for q in entry.queries() if re.fullmatch(r"op\d+_\w+|pipeline", q)}   # tested beside the text operators
     names, oracles = set(entry.queries()) - text, set(entry.oracle_sql()) - text
     assert oracles <= names and names - oracles == {
-        "ordered_vector", "sample_rows", "approximate_profile", "stage1_forest", "stage1_boosted", "stage2_network",
+        "approximate_profile", "stage1_forest", "stage1_boosted", "stage2_network",
         "stage2_logistic", "cascade_scoring"}
 
 
