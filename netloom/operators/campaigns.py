@@ -19,7 +19,7 @@ FLOAT_MINIMA = {"interval_seconds": 0.0, "fragment_interval_seconds": 0.001, "du
 ID_PATTERN = r"^[A-Za-z0-9_-]{1,64}\z"
 MODE_PATTERN = r"^[a-z][a-z0-9_]*\z"
 USER_PATTERN = r"^[a-z][a-z0-9_-]{0,23}\z"
-ERRORS_KEPT = 10
+ERRORS_KEPT, DETAIL_CHARS, NOTE_CHARS = 10, 120, 200
 
 
 def events_of(manifests: DataFrame) -> DataFrame:
@@ -28,35 +28,68 @@ def events_of(manifests: DataFrame) -> DataFrame:
         "campaign_id", "worker_id", "source_ip", "event_no", "e.*")
 
 
+def _given(events: DataFrame, name: str, default) -> Column:
+    """A column that older events lack."""
+    return F.coalesce(F.col(name), F.lit(default)) if name in events.columns else F.lit(default)
+
+
+def error_text(events: DataFrame) -> Column:
+    """``action: detail``, the detail cut to its first 120 characters."""
+    return F.concat(F.col("action"), F.lit(": "), F.left(_given(events, "detail", ""), F.lit(DETAIL_CHARS)))
+
+
+def note_text(message: Column) -> Column:
+    """Errors that are no event's (fatal ones, notes) keep 200 characters."""
+    return F.left(message, F.lit(NOTE_CHARS))
+
+
+def utc_text(epoch: Column) -> Column:
+    """Epoch seconds as UTC text in milliseconds: ``2024-01-01T00:00:00.250Z``."""
+    micros = F.round(epoch * 1_000_000).cast("bigint")
+    whole = F.expr("timestamp_ntz '1970-01-01'") + F.make_dt_interval(secs=(micros / 1_000_000).cast("decimal(18,6)"))
+    return F.concat(F.date_format(whole, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+
+
+def epoch_of(text: Column) -> Column:
+    """The inverse of `utc_text`."""
+    moment = F.to_timestamp_ntz(F.rtrim(text, F.lit("Z")), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz '1970-01-01'"), moment) / 1_000_000
+
+
 def first_errors(events: DataFrame, group: list[str], order: str, keep: int = ERRORS_KEPT) -> DataFrame:
     """The first ``keep`` failed actions per group, in order.
 
     A group may be huge, so 64 hash shares are cut to ``keep`` rows first.
     """
-    failed = events.filter(~F.col("success")).withColumn("_share", F.pmod(F.xxhash64(order), F.lit(64)))
+    failed = events.withColumn("_error", error_text(events)).filter(~F.col("success")).withColumn("_share", F.pmod(F.xxhash64(order), F.lit(64)))
     near = Window.partitionBy(*group, "_share").orderBy(order)
     some = failed.withColumn("_place", F.row_number().over(near)).filter(F.col("_place") <= keep)
     top = some.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy(order))).filter(
         F.col("_place") <= keep)
     return top.groupBy(*group).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct(order, F.col("action")))), lambda e: e["action"]).alias("errors"))
+        F.array_sort(F.collect_list(F.struct(order, F.col("_error")))), lambda e: e["_error"]).alias("errors"))
 
 
 def rollup(events: DataFrame, group: list[str], order: str, fatal: Column | None = None,
            benign: bool = False) -> DataFrame:
-    """Attempted, succeeded, bytes, first errors and status per campaign or worker."""
+    """Attempted, succeeded, bytes, first errors and status per campaign or worker.
+
+    Attempted are the actions reserved, succeeded the actions that successful events completed.
+    """
     fatal_seen = F.max(F.coalesce(fatal, F.lit(False))) if fatal is not None else F.lit(False)
     sums = events.groupBy(*group).agg(
-        F.count("*").alias("attempted"), F.count_if("success").alias("succeeded"),
-        F.sum("response_bytes").alias("response_bytes"), fatal_seen.alias("fatal"))
+        F.sum(_given(events, "reserved_actions", 1)).alias("attempted"),
+        F.sum(F.when(F.col("success"), _given(events, "actions_completed", 1)).otherwise(0)).alias("succeeded"),
+        F.sum("response_bytes").alias("response_bytes"), fatal_seen.alias("fatal"),
+        F.bool_and("success").alias("all_successful"))
     out = sums.join(first_errors(events, group, order), group, "left").withColumn(
         "errors", F.coalesce("errors", F.array().cast("array<string>")))
     if benign:
-        status = F.when(F.col("succeeded") == F.col("attempted"), "completed").otherwise("partial")
+        status = F.when(F.col("all_successful"), "completed").otherwise("partial")
     else:
         status = (F.when(F.col("fatal") | (F.col("succeeded") == 0), "failed")
                   .when(F.size("errors") > 0, "partial").otherwise("completed"))
-    return out.withColumn("status", status).drop("fatal")
+    return out.withColumn("status", status).drop("fatal", "all_successful")
 
 
 def distributed_sources(workers: DataFrame) -> DataFrame:
@@ -72,12 +105,12 @@ def budget_breaches(events: DataFrame, group: list[str], order: str, actions_cap
                     elapsed_cap: int, started: str, slice_rows: int = 4_000_000) -> DataFrame:
     """The first event per campaign at which a running total passes its cap.
 
-    Actions are counted one per event, bytes from ``response_bytes``, time since
-    the campaign's first event in the unit of ``started``."""
+    Actions are the reserved ones (one per event if that is not recorded), bytes the estimates of
+    what was sent, time since the campaign's first event in the unit of ``started``."""
     keyed = events.withColumn("_share", F.floor(F.col(order) / slice_rows))
     totals = running(keyed, group, order, {
-        "actions": Running("sum", F.lit(1).cast("bigint")),
-        "bytes": Running("sum", F.col("response_bytes")),
+        "actions": Running("sum", _given(events, "reserved_actions", 1).cast("bigint")),
+        "bytes": Running("sum", _given(events, "outbound_bytes", 0).cast("bigint")),
         "begun": Running("min", F.col(started), whole=True)}, "_share")
     elapsed = F.col(started) - F.col("begun")
     reason = (F.when(elapsed >= elapsed_cap, "deadline").when(F.col("actions") > actions_cap, "actions")

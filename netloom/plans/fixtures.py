@@ -95,7 +95,11 @@ SELECT user_id AS campaign_id, event_id, event_id % 2 AS worker_id,
        CAST(floor([us] / 20000) AS BIGINT) AS started_us,
        CAST(floor([us] / 20000) AS BIGINT) + 500000 AS ended_us,
        event_type <> 'error' AS success,
-       CAST(floor(value) AS BIGINT) AS response_bytes
+       CAST(floor(value) AS BIGINT) AS response_bytes,
+       1 + event_id % 3 AS reserved_actions,
+       CASE WHEN event_id % 5 = 0 THEN 1 ELSE 1 + event_id % 3 END AS actions_completed,
+       40 + event_id % 90 AS outbound_bytes,
+       concat('reply ', CAST(event_id AS VARCHAR(20)), repeat(' more', CAST(event_id % 40 AS INTEGER))) AS detail
 FROM [events]""",
 }
 _PARENT = {"packets": "events", "flows": "lineitem", "scores": "flows", "alerts": "scores",

@@ -131,11 +131,12 @@ SELECT flow_id, h, '{"f_disc":' || f_disc::VARCHAR || ',"f_qty":' || f_qty::VARC
 # ---- campaigns ---------------------------------------------------------------------------------
 
 query("campaign_rollup", "campaign_events", sql="""
-WITH e AS (SELECT campaign_id, worker_id, event_id, action FROM (
+WITH e AS (SELECT campaign_id, worker_id, event_id, action || ': ' || left(detail, 120) AS action FROM (
              SELECT *, row_number() OVER (PARTITION BY campaign_id, worker_id ORDER BY event_id) AS n
              FROM campaign_events WHERE NOT success) q WHERE n <= 10),
 l AS (SELECT campaign_id, worker_id, string_agg(action, ',' ORDER BY event_id) AS errors, count(*) AS n FROM e GROUP BY 1, 2)
-SELECT campaign_id, worker_id, count(*) AS attempted, count(*) FILTER (success) AS succeeded,
+SELECT campaign_id, worker_id, sum(reserved_actions)::BIGINT AS attempted,
+       coalesce(sum(actions_completed) FILTER (success), 0)::BIGINT AS succeeded,
        sum(response_bytes)::BIGINT AS response_bytes, coalesce(any_value(errors), '') AS errors,
        CASE WHEN count(*) FILTER (success) = 0 THEN 'failed' WHEN any_value(l.n) > 0 THEN 'partial' ELSE 'completed' END AS status
 FROM campaign_events LEFT JOIN l USING (campaign_id, worker_id) GROUP BY 1, 2""")(
@@ -157,13 +158,24 @@ FROM (SELECT campaign_id, worker_id, source_ip, count(*) FILTER (success) > coun
         (F.count_if("success") > F.count("*") * 0.78).alias("success"))))
 
 query("budget_breaches", "campaign_events", sql="""
-WITH r AS (SELECT *, row_number() OVER w AS actions, sum(response_bytes) OVER w AS bytes,
+WITH r AS (SELECT *, (sum(reserved_actions) OVER w)::BIGINT AS actions, sum(outbound_bytes) OVER w AS bytes,
                   started_us - min(started_us) OVER (PARTITION BY campaign_id) AS elapsed
            FROM campaign_events WINDOW w AS (PARTITION BY campaign_id ORDER BY event_id)),
-b AS (SELECT *, CASE WHEN elapsed >= 100000000 THEN 'deadline' WHEN actions > 50 THEN 'actions' WHEN bytes > 1500 THEN 'bytes' END AS reason FROM r)
+b AS (SELECT *, CASE WHEN elapsed >= 100000000 THEN 'deadline' WHEN actions > 110 THEN 'actions' WHEN bytes > 4600 THEN 'bytes' END AS reason FROM r)
 SELECT campaign_id, event_id, reason, actions, bytes::BIGINT AS bytes FROM b WHERE reason IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY event_id) = 1""")(
-    lambda events: camp.budget_breaches(events, ["campaign_id"], "event_id", 50, 1500, 100_000_000, "started_us"))
+    lambda events: camp.budget_breaches(events, ["campaign_id"], "event_id", 110, 4600, 100_000_000, "started_us"))
+
+
+@query("event_times", "campaign_events", sql="""
+SELECT event_id, strftime(make_timestamp(1704067200000000 + started_us // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS started,
+       1704067200000 + started_us // 1000 AS epoch_ms FROM campaign_events""")
+def event_times(events: DataFrame) -> DataFrame:
+    """Epoch seconds as UTC text in milliseconds, and back."""
+    epoch = F.floor(F.col("started_us") / 1000) / 1000 + F.lit(1704067200)
+    text = events.select("event_id", camp.utc_text(epoch).alias("started"))
+    return text.withColumn("epoch_ms", F.round(camp.epoch_of(F.col("started")) * 1000).cast("bigint"))
+
 
 
 def _campaign_windows(packets: DataFrame) -> DataFrame:

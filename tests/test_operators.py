@@ -266,7 +266,7 @@ def test_campaign_status(spark):
     df = spark.createDataFrame([(c, n, f"a{n}", s, 10) for c, n, s in data], "c string, n long, action string, success boolean, response_bytes long")
     got = {r["c"]: r for r in camp.rollup(df, ["c"], "n").collect()}
     assert {c: r["status"] for c, r in got.items()} == {"ok": "completed", "part": "partial", "none": "failed", "many": "partial"}
-    assert got["many"]["errors"] == [f"a{n}" for n in range(1, 11)] and got["ok"]["errors"] == []
+    assert got["many"]["errors"] == [f"a{n}: " for n in range(1, 11)] and got["ok"]["errors"] == []
     fatal = camp.rollup(df, ["c"], "n", fatal=F.col("c") == "ok")
     assert {r["c"]: r["status"] for r in fatal.collect()}["ok"] == "failed"
     bad = camp.id_violations(spark.createDataFrame([("a b", "w"), ("ok-1", "x" * 65), ("a\n", "w")], "campaign_id string, worker_id string"))
@@ -453,3 +453,15 @@ def test_unknown_link_is_an_error(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 147))
     with pytest.raises(Exception, match="link type 147"):
         pcap.read_packets(spark, str(tmp_path)).collect()
+
+
+def test_campaign_counts_actions_and_cuts_texts(spark):
+    df = spark.createDataFrame([("c", 1, "scan", True, 9, 4, 3, "x"), ("c", 2, "scan", False, 1, 2, 0, "y" * 130)],
+                               "c string, n long, action string, success boolean, response_bytes long, reserved_actions long, "
+                               "actions_completed long, detail string")
+    got = camp.rollup(df, ["c"], "n").first()
+    assert (got["attempted"], got["succeeded"], got["status"], got["errors"]) == (6, 3, "partial", ["scan: " + "y" * 120])
+    times = spark.createDataFrame([(1704067200.25,), (0.0,)], "t double").select(camp.utc_text(F.col("t")).alias("u"), "t")
+    assert [(r["u"], r["e"]) for r in times.select("u", camp.epoch_of(F.col("u")).alias("e")).collect()] == [
+        ("2024-01-01T00:00:00.250Z", 1704067200.25), ("1970-01-01T00:00:00.000Z", 0.0)]
+    assert spark.range(1).select(camp.note_text(F.lit("z" * 300)).alias("n")).first()["n"] == "z" * 200
