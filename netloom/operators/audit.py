@@ -63,6 +63,37 @@ def schema_problems(classes: list[str], features: list[str]) -> list[str]:
     return out
 
 
+#: The documents of an export: training metadata of both stages, the stage-1 threshold, and the plan's text.
+EXPORT_SCHEMA = """bundle bigint, plan string,
+ml struct<lab_plan_sha256: string, cic_dataset_sha256: string, stage1_threshold: double, lab_train_rows: bigint,
+          lab_validation_rows: bigint>,
+dl struct<classes: array<string>, lab_adaptation: struct<lab_plan_sha256: string, cic_dataset_sha256: string,
+          training_snapshots: bigint, validation_snapshots: bigint>>,
+threshold struct<attack_threshold: double>"""
+
+
+def export_problems(exports: DataFrame) -> DataFrame:
+    """(bundle, problem) for exports (EXPORT_SCHEMA) whose documents do not belong together."""
+    dl = "dl.lab_adaptation"
+    digest = F.sha2(F.col("plan").cast("binary"), 256)
+    count = lambda split: F.get_json_object("plan", f"$.splits.{split}.usable_rows").cast("bigint")
+    differ = lambda a, b: ~a.eqNullSafe(b)
+    classes = F.array(*map(F.lit, K.OUTPUT_CLASSES))
+    rules = {
+        "class set": F.size(F.array_except("dl.classes", classes)) + F.size(F.array_except(classes, F.col("dl.classes"))) != 0,
+        "plans differ": F.col("ml.lab_plan_sha256").isNull() | differ(F.col("ml.lab_plan_sha256"), F.col(f"{dl}.lab_plan_sha256")),
+        "stale plan": differ(F.col("ml.lab_plan_sha256"), digest) | differ(F.col(f"{dl}.lab_plan_sha256"), digest),
+        "data sets differ": F.col("ml.cic_dataset_sha256").isNull() | differ(
+            F.col("ml.cic_dataset_sha256"), F.col(f"{dl}.cic_dataset_sha256")),
+        "threshold": differ(F.col("threshold.attack_threshold"), F.col("ml.stage1_threshold")),
+        "train rows": differ(F.col("ml.lab_train_rows"), count("train")) | differ(F.col(f"{dl}.training_snapshots"), count("train")),
+        "validation rows": differ(F.col("ml.lab_validation_rows"), count("validation")) | differ(
+            F.col(f"{dl}.validation_snapshots"), count("validation")),
+    }
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()]))
+    return exports.select("bundle", F.explode(broken).alias("problem"))
+
+
 def audit_plan(plan: DataFrame, features: int = 57) -> DataFrame:
     """(check_name, expected, actual) for the parts of a split plan that need no data."""
     s = F.col("splits")

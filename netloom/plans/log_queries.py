@@ -359,6 +359,42 @@ def _metadata(flows: DataFrame) -> DataFrame:
     return audit.metadata_disagreements(left, right, "split", ["rows", "even", "cic"])
 
 
+@query("export_agreement", "flows", sql="""
+WITH b AS (SELECT DISTINCT campaign_id AS bundle, campaign_id % 10 AS k FROM flows)
+SELECT bundle, 'plans differ' AS problem FROM b WHERE k = 1
+UNION ALL SELECT bundle, 'stale plan' FROM b WHERE k IN (1, 2)
+UNION ALL SELECT bundle, 'data sets differ' FROM b WHERE k IN (3, 4)
+UNION ALL SELECT bundle, 'threshold' FROM b WHERE k = 5
+UNION ALL SELECT bundle, 'class set' FROM b WHERE k = 6
+UNION ALL SELECT bundle, 'train rows' FROM b WHERE k = 7
+UNION ALL SELECT bundle, 'validation rows' FROM b WHERE k = 8""")
+def export_agreement(flows: DataFrame) -> DataFrame:
+    """One export per campaign, written as documents with a fault that its number tells, and read back."""
+    path = scratch(flows.sparkSession)
+    fault = F.col("bundle") % 10
+    sizes = flows.groupBy(F.col("campaign_id").alias("bundle")).agg(
+        F.count_if(F.col("h") % 5 != 0).alias("train"), F.count_if(F.col("h") % 5 == 0).alias("validation"))
+    rows = lambda c: F.struct(F.col(c).alias("usable_rows"))
+    plan = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.struct(
+        rows("train").alias("train"), rows("validation").alias("validation")).alias("splits")))
+    given = sizes.withColumn("plan", plan).withColumn("sha", F.sha2(F.col("plan").cast("binary"), 256))
+    classes = F.array(*map(F.lit, K.OUTPUT_CLASSES))
+    data = F.sha2(F.lit("data").cast("binary"), 256)
+    ml = F.struct(
+        F.when(fault.isin(1, 2), "old").otherwise(F.col("sha")).alias("lab_plan_sha256"),
+        F.when(fault != 3, data).alias("cic_dataset_sha256"), F.lit(0.1).alias("stage1_threshold"),
+        F.col("train").alias("lab_train_rows"),
+        F.when(fault == 8, F.lit(-1)).otherwise(F.col("validation")).alias("lab_validation_rows"))
+    adaptation = F.struct(
+        F.when(fault == 2, "old").otherwise(F.col("sha")).alias("lab_plan_sha256"),
+        F.when(fault == 4, "other").otherwise(data).alias("cic_dataset_sha256"),
+        (F.col("train") + (fault == 7).cast("int")).alias("training_snapshots"), F.col("validation").alias("validation_snapshots"))
+    given.select("bundle", "plan", ml.alias("ml"), F.struct(
+        F.when(fault == 6, F.slice(classes, 1, 6)).otherwise(classes).alias("classes"), adaptation.alias("lab_adaptation")).alias("dl"),
+        F.struct(F.when(fault == 5, 0.2).otherwise(0.1).alias("attack_threshold")).alias("threshold")).write.json(path)
+    return audit.export_problems(flows.sparkSession.read.schema(audit.EXPORT_SCHEMA).json(path))
+
+
 @query("split_plan_audit", "flows", sql=f"""
 WITH s AS (SELECT *, {GROUP_SQL} AS split FROM flows), v AS (SELECT * FROM s WHERE split = 'validation')
 SELECT 'feature hash' AS check_name, sha256('["f_qty", "f_price"]') AS expected, 'stale' AS actual
