@@ -152,7 +152,8 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Elements are ordered by how many of the sets have them, rare ones first. Two sets at the threshold share
     an element within the first ``size - percent * size`` places, and no more than that many places may lie
     before the first common element; elements of one set alone take places without being joined. An element's
-    sets meet only across components: those outside its most frequent component, with all of it.
+    sets meet only across components: those outside its most frequent component, with all of it. Where both
+    sets have the same element before this one, they have met there already.
     """
     elements = nodes.join(sets, "node").select("node", "component", F.size("set").alias("size"), F.explode("set").alias("x"))
     common = (elements.groupBy("x").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d"))
@@ -161,14 +162,16 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = (elements.join(common, "x")
               .withColumn("place", F.col("size") - F.count("*").over(by_node)
                           + F.row_number().over(by_node.orderBy("n", "x")) - 1)
+              .withColumn("previous", F.lag("x").over(by_node.orderBy("n", "x")))
               .where("meets").where(100 * F.col("place") <= (100 - percent) * F.col("size"))
-              .select("x", "node", "component", "size", "place"))
+              .select("x", "previous", "node", "component", "size", "place"))
     placed = cut_lineage(placed)
     most = (placed.groupBy("x", "component").agg(F.count("*").alias("n")).groupBy("x")
             .agg(F.max(F.struct("n", "component"))["component"].alias("most")))
     a = placed.join(most, "x").where("component <> most").alias("a")
     b = placed.alias("b")
     left = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
-    return (a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.component") != F.col("b.component"))
+    new = F.coalesce(F.col("a.previous") != F.col("b.previous"), F.lit(True))
+    return (a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.component") != F.col("b.component")) & new
                    & ((100 + percent) * left >= percent * (F.col("a.size") + F.col("b.size"))))
             .select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct())
