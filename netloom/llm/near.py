@@ -16,6 +16,7 @@ So no link between sets that share a band is lost.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -59,6 +60,28 @@ class WordHashes(dict):
         return np.unique(mix(total + _U(min(k, len(words)))))
 
 
+    def sets(self, texts: list[list[bytes]], k: int) -> list[np.ndarray]:
+        """`shingles` of many texts in one go: windows that would cross from one text to the next are left out."""
+        lengths = np.array([len(words) for words in texts], np.int64)
+        if not len(lengths) or lengths.sum() < k:
+            return [self.shingles(words, k) for words in texts]
+        h = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), _U, int(lengths.sum()))
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        n = len(h) - k + 1
+        total = np.zeros(n, _U)
+        for i in range(k):
+            total = mix(total + _U(i + 1)) + h[i:i + n]
+        inside = owner[:n] == owner[k - 1:]
+        values, owner = mix(total + _U(k))[inside], owner[:n][inside]
+        order = np.lexsort((values, owner))
+        values, owner = values[order], owner[order]
+        fresh = np.ones(len(values), bool)
+        fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+        values, owner = values[fresh], owner[fresh]
+        parts = np.split(values, np.searchsorted(owner, np.arange(1, len(texts))))
+        return [part if size >= k else self.shingles(words, k) for part, size, words in zip(parts, lengths, texts)]
+
+
 def tune(percent: int, rows: int, miss: float) -> int:
     """Bands of ``rows`` coordinates so that a pair at the threshold is missed with probability ``miss`` at most."""
     return int(np.ceil(np.log(miss) / np.log1p(-(percent / 100) ** rows)))

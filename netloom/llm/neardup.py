@@ -26,7 +26,7 @@ ROWS, MISS = 4, 1e-7
 
 def _sets(texts, k: int, hashes: near.WordHashes) -> list[np.ndarray]:
     # bytes.lower() changes A-Z alone, and bytes.split() splits at exactly space and \x09-\x0d
-    return [hashes.shingles((t or "").encode().lower().split(), k) for t in texts]
+    return hashes.sets([(t or "").encode().lower().split() for t in texts], k)
 
 
 def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:

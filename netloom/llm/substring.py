@@ -44,17 +44,17 @@ def sketched(docs: DataFrame) -> DataFrame:
         hashes = near.WordHashes()
 
         def batch(ids, text_ids, texts):
-            lines, nodes, sets, owner = [[] for _ in ids], [[] for _ in ids], [], []
+            lines, nodes, found, owner = [[] for _ in ids], [[] for _ in ids], [], []
             for i, text in enumerate(texts):
                 for at, line in enumerate((text or "").encode().split(b"\n")):
                     words = line.lower().split()
                     if len(words) >= LEAST_WORDS:
                         lines[i].append(at)
                         nodes[i].append(_line_id(line))
-                        sets.append(hashes.shingles(words, SHINGLE))
+                        found.append(words)
                         owner.append(i)
             keys: list[list] = [[] for _ in ids]
-            for i, row in zip(owner, near.bands(sets, ROWS, count)):
+            for i, row in zip(owner, near.bands(hashes.sets(found, SHINGLE), ROWS, count)):
                 keys[i].append(row)
             return ids, text_ids, lines, nodes, keys
         return batch
@@ -72,8 +72,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     def start():
         hashes = near.WordHashes()
-        return lambda nodes, lines: (nodes, [
-            hashes.shingles(x.encode().lower().split(), SHINGLE).astype(np.int64).tolist() for x in lines])
+        return lambda nodes, lines: (nodes, [s.astype(np.int64).tolist() for s in hashes.sets(
+            [x.encode().lower().split() for x in lines], SHINGLE)])
 
     def sets_of(asked: DataFrame) -> DataFrame:
         lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
