@@ -1,14 +1,15 @@
 """Benchmark decontamination by spaced seeds.
 
-Tokens (runs of letters and digits, lower case) are hashed; a seed is a hash of eight tokens under a
-fixed mask that ignores the tokens between them, so a replaced token spoils only the seeds that look
-at it. Training and benchmark seeds are joined; hits that agree in the shift between document and item
-form one candidate, which is compared token by token: it counts if some window of WINDOW tokens (or
-the whole item, if shorter) agrees in SHARE of its places or more.
-
-The masks are (0,1,3,4,6,7,9,10) and (0,1,4,5,7,8,11,12); both grow from the same pairs of neighbours, so a
-document's seeds are five passes over its tokens. Items of 5 to 12 tokens are found by the shorter mask
-(0,1,3,4). All of it is column expressions: seeds are made and joined row by row in one stage, and only
+Tokens (runs of letters and digits, lower case) are hashed; a seed is a hash of the tokens under a mask
+that ignores the tokens between them, so a replaced token spoils only the seeds that look at it. Training
+and benchmark seeds are joined; hits that agree in the shift between document and item form one candidate,
+which is compared token by token: it counts if some window of WINDOW tokens (or the whole item, if shorter)
+agrees in SHARE of its places or more.
+
+The masks lose nothing the rule would count: MASKS has a set for each range of item lengths, and wherever
+the tokens of a window that may be replaced lie, some placement of some mask of the set meets none of them
+(tested over all placements for every length). Documents get the seeds of the ranges that the benchmark
+has items in. All of it is column expressions: seeds are made and joined row by row in one stage, and only
 hits move. The benchmark's seeds are broadcast up to BROADCAST_SEEDS, beyond that both sides are
 shuffled by seed; likewise the hits on their way back to the texts.
 
@@ -20,6 +21,8 @@ side gives no hits; further columns are ignored, or kept by `without_benchmark`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netloom.llm.common import ID, TEXT_ID, keyed
@@ -30,7 +33,15 @@ SHARE = 80          # percent
 SHORTEST = 5
 BROADCAST_SEEDS = 1_000_000
 BROADCAST_HITS = 300_000
-_LONG = 13          # tokens of the longer mask's span
+#: Masks by the smallest length of the items they are for, up to the next one. Found by a greedy search.
+MASKS = {
+    5: ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 4), (0, 2, 3, 4)),
+    10: ((0, 1, 3, 4, 5), (0, 1, 4, 6, 7), (0, 1, 5, 6, 7)),
+    15: ((0, 1, 3, 4, 5, 6), (0, 1, 2, 6, 9, 10), (0, 2, 7, 9, 11, 12)),
+    20: ((0, 1, 3, 5, 6, 9, 10), (0, 1, 5, 11, 12, 13, 14), (0, 1, 2, 3, 8, 10, 13), (0, 1, 3, 4, 7, 8, 10),
+         (0, 2, 3, 6, 12, 15, 17)),
+}
+_WEIGHT = max(len(mask) for masks in MASKS.values() for mask in masks)
 
 
 def tokens(text: str = "text") -> Column:
@@ -38,41 +49,34 @@ def tokens(text: str = "text") -> Column:
     return F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w))
 
 
-def _with_next(df: DataFrame, new: str, old: str, step: int) -> DataFrame:
-    """Column ``new``: each element of ``old`` hashed with the one ``step`` places on."""
-    later = F.slice(F.col(old), F.lit(1 + step), F.greatest(F.size(old) - step, F.lit(0)))
-    this = F.slice(F.col(old), F.lit(1), F.greatest(F.size(old) - step, F.lit(0)))
-    return df.withColumn(new, F.zip_with(this, later, lambda a, b: F.xxhash64(a, b)))
-
-
-def seeds(df: DataFrame, short: bool) -> DataFrame:
-    """``df`` (with token hashes ``h``) as rows of its other columns, place and seed."""
+def seeds(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """``df`` (with token hashes ``h``) as rows of its other columns, place and seed, for these keys of MASKS."""
     others = [c for c in df.columns if c != "h"]
-    df = _with_next(df, "_p", "h", 1)
-    df = _with_next(df, "_q", "_p", 3)
-    df = _with_next(df, "_q2", "_p", 4)
-    df = _with_next(df, "_r", "_q", 6)
-    df = _with_next(df, "_r2", "_q2", 7)
-    masks = ["_r", "_r2", "_q"] if short else ["_r", "_r2"]
-    df = df.select(*others, F.size("_r").alias("_a"), F.size("_r2").alias("_b"), F.concat(*masks).alias("_all"))
+    # lighter masks repeat their first place; the number keeps seeds of different masks apart
+    masks = F.array(*[
+        F.struct(F.lit(100 * length + i).alias("no"), F.lit(mask[-1]).alias("last"),
+                 *[F.lit(mask[k] if k < len(mask) else 0).alias(f"o{k}") for k in range(_WEIGHT)])
+        for length in lengths for i, mask in enumerate(MASKS[length])])
+    df = df.select(*others, "h", F.explode(masks).alias("_m"))
     # outer: else a filter on the size is inferred and carried below, where it computes all of this again
-    df = df.select(*others, "_a", "_b", F.posexplode_outer("_all").alias("_i", "seed"))
-    place = (F.when(F.col("_i") < F.col("_a"), F.col("_i"))
-             .when(F.col("_i") < F.col("_a") + F.col("_b"), F.col("_i") - F.col("_a"))
-             .otherwise(F.col("_i") - F.col("_a") - F.col("_b")))
-    return df.select(*others, place.alias("place"), "seed")
+    df = df.select(*others, "h", "_m", F.posexplode_outer("h").alias("place", "_t"))
+    return df.where(F.col("place") + F.col("_m.last") < F.size("h")).select(*others, "place", F.xxhash64(
+        "_m.no", *[F.get("h", F.col("place") + F.col(f"_m.o{k}")) for k in range(_WEIGHT)]).alias("seed"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """ID, TEXT_ID, doc_id, item_id, shift, start (in the item), compared and equal: the verified candidates."""
     items = cut_lineage(benchmark.select("item_id", tokens().alias("h")).where(F.size("h") >= SHORTEST)
                         .withColumn("item", F.monotonically_increasing_id()))
-    short = items.where(F.size("h") < _LONG)
-    any_short = not short.isEmpty()
-    of_items = (seeds(items.select("item", "h"), False).unionByName(
-        seeds(short.select("item", "h"), True))).distinct().withColumnRenamed("place", "at")
+    size, bounds = F.size("h"), sorted(MASKS)
+    length_class = F.greatest(*[F.when(size >= n, n) for n in bounds])
+    lengths = sorted(r[0] for r in items.select(length_class).distinct().collect())  # one row per key of MASKS at most
+    if not lengths:
+        lengths = bounds[:1]
+    of_items = reduce(DataFrame.unionByName, [seeds(items.where(length_class == n).select("item", "h"), [n]) for n in lengths])
+    of_items = cut_lineage(of_items.distinct().withColumnRenamed("place", "at"))
     n_seeds = of_items.count()
-    found = seeds(keyed(docs).select(ID, TEXT_ID, tokens().alias("h")), any_short)
+    found = seeds(keyed(docs).select(ID, TEXT_ID, tokens().alias("h")), lengths)
     known = F.broadcast(of_items) if n_seeds <= BROADCAST_SEEDS else of_items
     hits = cut_lineage(found.join(known, "seed").select(ID, TEXT_ID, "item", (F.col("place") - F.col("at")).alias("shift"))
                        .distinct())

@@ -1,6 +1,7 @@
 """The ten text operators against brute force, with the odd rows every operator must take."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -322,6 +323,37 @@ def test_contaminated(spark, odd, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0
 
 
+def allowed(n):
+    """How many tokens of a window of n may be replaced."""
+    return next(m for m in range(n, -1, -1) if 100 * (n - m) >= decontaminate.SHARE * n)
+
+
+def test_masks_lose_no_placement():
+    for n in range(decontaminate.SHORTEST, decontaminate.WINDOW + 1):
+        masks = decontaminate.MASKS[max(k for k in decontaminate.MASKS if k <= n)]
+        places = [sum(1 << i + o for o in mask) for mask in masks for i in range(n - mask[-1])]
+        for replaced in itertools.combinations(range(n), allowed(n)):
+            spoilt = sum(1 << i for i in replaced)
+            assert any(not p & spoilt for p in places), (n, replaced)
+
+
+def test_replaced_tokens_anywhere(spark):
+    rng = random.Random(14)
+    items, rows = [], []
+    for n in [*range(5, 21), 33] * 3:
+        words = [f"{w}{len(items)}" for w in prose(rng, n).split()]
+        window = min(n, decontaminate.WINDOW)
+        at = rng.randrange(n - window + 1)
+        for more in (0, 1):                        # as many as allowed, and one more
+            gone = rng.sample(range(at, at + window), allowed(window) + more)
+            copy = ["zzz" if i in gone else w for i, w in enumerate(words)][at:at + window]
+            rows.append((2 * len(items) + more, f"{prose(rng, 7)} {' '.join(copy)} {prose(rng, 7)}"))
+        items.append((len(items), " ".join(words)))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(2 * i, i) for i, _ in items}
+
+
 # ---- 7 ---------------------------------------------------------------------------------
 
 def test_shards(spark, odd, empty, tmp_path):
