@@ -58,6 +58,7 @@ class Lexicon:
         self.words, self.stems = frozenset(words), frozenset(stems)
         self.trie: dict = {}
         self.halves: set[tuple[bool, str]] = set()
+        self.middles: dict[tuple[int, int], set[str]] = {}
         for word in self.words:
             node = self.trie
             for c in word:
@@ -66,7 +67,12 @@ class Lexicon:
             # k errors leave one of k + 1 parts of a term whole; the outer ones are looked up first.
             part = len(word) // (self.errors(len(word)) + 1)
             self.halves |= {(True, word[:part]), (False, word[-part:])} if part else set()
+            # With k = 2 and an error in each outer part the middle is whole, moved by one letter at most.
+            if self.errors(len(word)) == 2:
+                for at in (part - 1, part, part + 1):
+                    self.middles.setdefault((at, at + len(word) - 2 * part), set()).add(word[part:len(word) - part])
         self.part_sizes = sorted({len(h) for _, h in self.halves})
+        self.longest = max(map(len, self.words), default=0) + 2
         self.stem_sizes = sorted({len(s) for s in self.stems})
         self.known: dict[str, int] = {}
 
@@ -88,8 +94,9 @@ class Lexicon:
         for w in {word, plain}:
             if w in self.words or any(w[:n] in self.stems for n in self.stem_sizes if len(w) >= n):
                 return 1
-        if len(plain) < 4 or len(plain) > 40 or not any(
-                (True, plain[:n]) in self.halves or (False, plain[-n:]) in self.halves for n in self.part_sizes):
+        if len(plain) < 4 or len(plain) > self.longest or not (any(
+                (True, plain[:n]) in self.halves or (False, plain[-n:]) in self.halves for n in self.part_sizes)
+                or any(plain[i:j] in parts for (i, j), parts in self.middles.items())):
             return 0
         return 2 if self.near(plain) else 0
 

@@ -259,6 +259,21 @@ def test_automaton_finds_all_within_distance():
         assert lexicon.near(word) == want or any(word == t for t in terms)
 
 
+def test_every_misspelling_within_distance_has_a_kind():
+    rng, letters = random.Random(15), "abcdefghijklmnop"
+    terms = ["".join(rng.choices(letters, k=n)) for n in [*range(3, 16), 24, 40]]
+    for term in terms:
+        lexicon = toxicity.Lexicon([term], ())     # alone, so that no part of another term fits
+        for _ in range(400):
+            word = list(term)
+            for _ in range(rng.choice((1, 2, 2, 3))):
+                at = rng.randrange(len(word) + 1)
+                word[at:at + rng.randrange(2)] = rng.choice(["", *letters])
+            word = "".join(word)
+            near = distance(word, term) <= lexicon.errors(len(term))
+            assert lexicon.kind(word) == (1 if word == term else 2 if near else 0), (term, word)
+
+
 def test_quotation_is_told_from_abuse():
     lexicon = toxicity.Lexicon(["idiot"], ["grob"])
     direct, quoted, told = (toxicity.features(lexicon, t) for t in (
