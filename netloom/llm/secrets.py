@@ -9,9 +9,10 @@ a weak part is reported only when
 * an opaque value has an identifier or access key in reach, and
 * an endpoint has both an identifier or access key and a secret in reach.
 
-Positions are code points, ends are exclusive. Scopes are buckets of ``reach`` characters: a part meets
-the parts of its own and the two neighbouring buckets, whose number the bucket length bounds, so no
-document and no key gives a large group. Everything is column expressions and joins.
+Positions are code points, ends are exclusive. Scopes are buckets of ``reach`` characters. Parts have no
+longest length: each lies in every bucket it covers, and the others meet it there or in a bucket next to
+it. A bucket holds few parts, since its length bounds them, so no document and no key gives a large group.
+Everything is column expressions and joins.
 
 Edge cases: a NULL or empty text has no spans and the digest of the empty string; NULL ids are kept;
 rows that agree in id and text are scanned each for itself and share their links; an empty table
@@ -33,15 +34,13 @@ ASSIGN = rf"""({KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"      # a shorter run fails as a whole, so the length may stand in the pattern
 HEX = r"[0-9a-f]{24,}+"            # likewise; the possessive end keeps a run from being cut
 # Weak parts.
-LOGIN = r"""\b(?:user|username|login|account|client_id|key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}"""
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}+(?![A-Za-z0-9+/_=-])"  # with a digit and both cases
-ENDPOINT = r"""(?:https?|ftp|s3|jdbc:[a-z]+|[a-z]+ql|amqps?|rediss?)://[^\x20\x09-\x0D"'<>]{4,256}"""
+LOGIN = r"""\b(?:user|username|login|account|client_id|key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}+"""
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+(?![A-Za-z0-9+/_=-])"  # with a digit and both cases
+ENDPOINT = r"""(?:https?|ftp|s3|jdbc:[a-z]+|[a-z]+ql|amqps?|rediss?)://[^\x20\x09-\x0D"'<>]{4,}+"""
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "login", "opaque", "endpoint")
 
 
-#: Longest weak part; the join's buckets allow for it.
-WEAK_CHARS = 512
 REACH = 200
 BROADCAST_HITS = 100_000
 
@@ -82,9 +81,11 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     """The weak parts that have their complements in reach and touch no certain span."""
     identifier, secret, endpoint = (F.col("p.no").isin([KINDS.index(k) for k in kinds]) for kinds in (
         ("access", "login"), ("assign", "hex", "opaque"), ("endpoint",)))
-    weak = parts.where(F.col("no") >= len(BASE)).withColumn("bucket", F.floor(F.col("start") / reach)).alias("c")
-    near = parts.withColumn("bucket", F.explode(F.sequence(
-        F.floor((F.col("start") - reach - WEAK_CHARS) / reach), F.floor((F.col("end") + reach) / reach)))).alias("p")
+    # Parts within reach have points in one bucket, once one of them is widened by reach to either side.
+    buckets = lambda more: F.explode(F.sequence(
+        F.floor((F.col("start") - more) / reach), F.floor((F.col("end") + more) / reach)))
+    weak = parts.where(F.col("no") >= len(BASE)).withColumn("bucket", buckets(0)).alias("c")
+    near = parts.withColumn("bucket", buckets(reach)).alias("p")
     gap = F.greatest(F.col("p.start") - F.col("c.end"), F.col("c.start") - F.col("p.end"))
     met = (weak.join(near, (F.col("c.row") == F.col("p.row")) & (F.col("c.bucket") == F.col("p.bucket")) & (gap <= reach))
            .groupBy("c.row", "c.no", "c.start", "c.end")

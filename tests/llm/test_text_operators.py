@@ -431,6 +431,24 @@ def test_weak_parts_need_their_complements(spark):
     assert left[9]["text"] == "é [secret] b" and left[9]["n_chars"] == 12 and left[9]["found"] == 3
 
 
+def test_weak_parts_of_any_length(spark):
+    rng = random.Random(16)
+    opaque, login, place = "Zx9Kq2Lm7Rt4Wp8Yb3Vn" * 50, "user=" + "alice" * 30, "https://db.example.net/" + "x" * 700
+    key = "AKIA" + "Q7" * 8
+    orders = [list(x) for x in itertools.permutations((opaque, login, place))]
+    texts = [f"{' ' * rng.randrange(400)}{(' ' * rng.randrange(1, 190)).join(x)}" for x in orders * 3]
+    texts += [f"{opaque}{' ' * 199}{key}", f"{opaque}{' ' * 201}{key}", f"{key}{' ' * 200}{opaque}", f"{key}{' ' * 201}{opaque}"]
+    left = {r["doc_id"]: r["text"].split() for r in secrets.masked(frame(spark, list(enumerate(texts)))).collect()}
+    # in reach of each other: all three where the gaps and the part between them allow it
+    for i, text in enumerate(texts[:-4]):
+        at = {k: (text.index(v), text.index(v) + len(v)) for k, v in (("i", login), ("s", opaque), ("e", place))}
+        met = lambda a, b: max(at[a][0] - at[b][1], at[b][0] - at[a][1]) <= 200
+        want = {login: met("i", "s") and met("i", "e"), opaque: met("i", "s"), place: met("e", "i") and met("e", "s")}
+        assert left[i] == ["[secret]" if want[x] else x for x in text.split()], i
+    n = len(texts)
+    assert [left[i].count("[secret]") for i in range(n - 4, n)] == [2, 1, 2, 1]
+
+
 # ---- 9 ---------------------------------------------------------------------------------
 
 def test_repeated_strings(spark, odd, empty):
