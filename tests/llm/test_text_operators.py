@@ -150,6 +150,17 @@ def test_main_text():
     assert html.main_text("") == "" and html.main_text("plain") == "plain"
 
 
+def test_classes_lose_no_article():
+    page = '<html class="search"><body class="{}"><div class="sidebar">side</div><div id="page" class="{}"><{} class="{}">a<p>b</{}></div></body>'
+    for word in ("has-sidebar", "no-sidebar", "sidebar", "comments-open", "comments", "post related", "search"):
+        for tag in ("article", "main"):
+            assert html.main_text(page.format(word, word, tag, word, tag)) == "a b", (word, tag)
+    assert html.main_text('<article><p class="related">a <span class="search">b</span><section class="social">c</section>'
+                          '<div class="ad">no</div><div class="ad-free">d</div></article>') == "a b c d"
+    assert html.main_text("<article>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, so</article>") == "if x=2, so"
+    assert html.main_text('<body class="search"><div class="menu">no</div>all') == "all"
+
+
 def test_common_lines_is_longest():
     rng = random.Random(5)
     for _ in range(800):
