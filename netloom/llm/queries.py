@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, decontaminate, html, neardup, quality, secrets, sharding, substring, suffix, toxicity as toxic
+from netloom.llm import alignment, bpe, decontaminate, html, neardup, quality, secrets, sharding, substring, suffix, toxicity as toxic
 from netloom.llm.common import table
 
 
@@ -50,6 +50,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer(), path("piece_bpe_32k.model"))
+
+
 def tokenizer() -> str:
     """Place of the public vocabulary file of the queries (a parameter of the operator)."""
     from public_tokenizers import path
@@ -58,5 +64,6 @@ def tokenizer() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_bpe, op2_quality_rules, op3_html_extraction, op4_minhash_near_dedup, op5_toxicity, op6_benchmark_decontamination, op7_sharding, op8_secret_scans, op9_suffix_array_dedup, op10_substring_dedup)}
+    op1_bpe, op2_quality_rules, op3_html_extraction, op4_minhash_near_dedup, op5_toxicity, op6_benchmark_decontamination,
+    op7_sharding, op8_secret_scans, op9_suffix_array_dedup, op10_substring_dedup, op11_cross_tokenizer_alignment)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle_sql()}
