@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -82,6 +82,41 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[..., tu
     return df.mapInArrow(run, out)
 
 
+def map_stream(df: DataFrame, schema: str, rows_of: Callable[[Iterable], Iterable[tuple]]) -> DataFrame:
+    """Rows that ``rows_of(batches)`` makes of a partition's Arrow batches, sent on a few at a time."""
+    out = StructType.fromDDL(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
+
+        def batch():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+        rows: list[tuple] = []
+        size = 0
+        for row in rows_of(batches):
+            rows.append(row)
+            size += 64 + sum(len(x) for x in row if isinstance(x, (str, bytes)))
+            if size > 1 << 22:
+                yield batch()
+                rows, size = [], 0
+        if rows:
+            yield batch()
+
+    return df.mapInArrow(run, out)
+
+
+def plain_rows(batches) -> Iterator[tuple]:
+    """The rows of Arrow batches as tuples, few at a time in Python."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            yield from zip(*[c.to_pylist() for c in batch.slice(at, 64).columns])
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: smaller than a checkpoint of the same rows."""
     folder = new_folder(df.sparkSession)

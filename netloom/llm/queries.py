@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import alignment, bpe, decontaminate, html, neardup, quality, secrets, sharding, substring, suffix, toxicity as toxic
+from netloom.llm import alignment, bpe, decontaminate, filter_audit, html, licenses, neardup, quality, secrets, sharding, substring, suffix, toxicity as toxic
 from netloom.llm.common import table
 
 
@@ -56,6 +56,14 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer(), path("piece_bpe_32k.model"))
 
 
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer() -> str:
     """Place of the public vocabulary file of the queries (a parameter of the operator)."""
     from public_tokenizers import path
@@ -65,5 +73,7 @@ def tokenizer() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_bpe, op2_quality_rules, op3_html_extraction, op4_minhash_near_dedup, op5_toxicity, op6_benchmark_decontamination,
-    op7_sharding, op8_secret_scans, op9_suffix_array_dedup, op10_substring_dedup, op11_cross_tokenizer_alignment)}
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle_sql()}
+    op7_sharding, op8_secret_scans, op9_suffix_array_dedup, op10_substring_dedup, op11_cross_tokenizer_alignment,
+    op12_license_scans, op13_filter_interaction_audit)}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle_sql(),
+                           "op13_filter_interaction_audit": filter_audit.oracle_sql()}
