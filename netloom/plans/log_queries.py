@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from netloom.functions import constants as K
 from netloom.operators import audit, campaigns as camp, features as feat, prepare as prep, telemetry as tel
@@ -474,18 +474,43 @@ def _frame(row) -> bytes:
     return bytes(12) + b"\x08\x00" + ip + head + data
 
 
-def captures(packets: DataFrame) -> DataFrame:
-    """Packets -> capture files of 1000 arrivals each (path, content)."""
+def _classic(rows: list[tuple[int, bytes]]) -> bytes:
+    return b"\xd4\xc3\xb2\xa1" + struct.pack("<HHiIII", 2, 4, 0, 0, 65535, 1) + b"".join(
+        struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000, len(frame), len(frame)) + frame for ts, frame in rows)
+
+
+def _sections(rows: list[tuple[int, bytes]]) -> bytes:
+    """Two sections in either byte order; the second counts nanoseconds."""
+    def block(order: str, kind: int, body: bytes) -> bytes:
+        body += bytes(-len(body) % 4)
+        size = struct.pack(order + "I", 12 + len(body))
+        return struct.pack(order + "I", kind) + size + body + size
+
+    out = []
+    for order, ticks, part in (("<", 1, rows[:len(rows) // 2]), (">", 1000, rows[len(rows) // 2:])):
+        clock = struct.pack(order + "HHB3xHH", 9, 1, 6 if ticks == 1 else 9, 0, 0)
+        out += [block(order, pcap.SECTION, struct.pack(order + "IHHq", pcap.ORDER_MARK, 1, 0, -1)),
+                block(order, pcap.INTERFACE, struct.pack(order + "HHI", pcap.LINK_ETHERNET, 0, 65535) + clock)]
+        out += [block(order, pcap.ENHANCED, struct.pack(order + "IIIII", 0, ts * ticks >> 32, ts * ticks & 0xFFFFFFFF,
+                                                        len(frame), len(frame)) + frame) for ts, frame in part]
+    return b"".join(out)
+
+
+def store_captures(packets: DataFrame, folder: str) -> int:
+    """Packets -> capture files of 1000 arrivals each, classic and block-structured by turns; the number of files."""
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out = [b"\xd4\xc3\xb2\xa1" + struct.pack("<HHiIII", 2, 4, 0, 0, 65535, 1)]
-        for row in pdf.itertuples():
-            frame = _frame(row)
-            out.append(struct.pack("<IIII", row.ts_us // 1_000_000, row.ts_us % 1_000_000, len(frame), len(frame)) + frame)
-        return pd.DataFrame({"path": [f"cap-{int(pdf['chunk'].iloc[0]):09d}"], "content": [b"".join(out)]})
+        from pyarrow import fs
+
+        chunk = int(pdf["chunk"].iloc[0])
+        rows = [(int(row.ts_us), _frame(row)) for row in pdf.sort_values("seq").itertuples()]
+        store, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(at, recursive=True)
+        with store.open_output_stream(f"{at}/cap-{chunk:09d}") as file:
+            file.write(_sections(rows) if chunk % 2 else _classic(rows))
+        return pd.DataFrame({"chunk": [chunk]})
 
     return packets.withColumn("chunk", F.floor(F.col("seq") / 1000)).groupBy("chunk").applyInPandas(
-        build, "path string, content binary")
+        build, "chunk bigint").count()
 
 
 def _octets(address: str) -> str:
@@ -500,6 +525,10 @@ SELECT 'cap-' || lpad((seq // 1000)::VARCHAR, 9, '0') AS path, seq % 1000 AS fra
 
 
 def _capture_scan(packets: DataFrame) -> DataFrame:
-    headers = pcap.decode(captures(packets))
-    rows = pcap.normalise(headers.withColumn("seq", F.struct("path", "frame")))
-    return rows.select("seq.path", "seq.frame", *[c for c in rows.columns if c not in ("seq", "payload")])
+    """Through the files, read in ranges far below their size."""
+    folder = scratch(packets.sparkSession)
+    store_captures(packets, folder)
+    headers = pcap.read_headers(packets.sparkSession, folder, range_bytes=40_000, payload=False)
+    rows = pcap.normalise(headers.withColumn("seq", F.struct(F.regexp_extract("path", "[^/]*$", 0).alias("path"), "at")))
+    frame = F.row_number().over(Window.partitionBy("seq.path").orderBy("seq.at")) - 1   # 1000 of a file
+    return rows.select("seq.path", frame.cast("bigint").alias("frame"), *[c for c in rows.columns if c not in ("seq", "payload")])
