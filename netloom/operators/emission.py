@@ -178,7 +178,7 @@ def _carried(packets: DataFrame) -> DataFrame:
 
 
 def mark(packets: DataFrame, config: FlowConfig) -> DataFrame:
-    """Ordinary keys: rows of a key share a partition, sorted by arrival."""
+    """Ordinary keys: rows of a key share a partition and arrive in order, as the walk that made them left them."""
     rows = _carried(packets).withColumns({
         "is_tcp": F.col("protocol") == "TCP",
         "is_fin": (F.col("protocol") == "TCP") & has_flag(FIN),
@@ -186,7 +186,7 @@ def mark(packets: DataFrame, config: FlowConfig) -> DataFrame:
         "entry_ts": F.lit(0).cast("bigint"), "entry_count": F.lit(0).cast("bigint"),
         "part": F.lit(0).cast("bigint"),
     })
-    return _apply(rows.sortWithinPartitions(*KEY, "seq"), config)
+    return _apply(rows, config)
 
 
 def _apply(rows: DataFrame, config: FlowConfig) -> DataFrame:

@@ -1,22 +1,22 @@
 """Flow reconstruction: which packets belong to which flow instance.
 
-Everything here is a running aggregate over one canonical key in arrival order
-(``seq``), so ordinary keys need one shuffle and one sort. Keys above
-``hot_rows`` packets are cut into slices of arrival numbers (see ``running``).
-
-The FIN/FIN rule is a two-state machine: a FIN from the same side as the one
-before leaves "one side has finished"; a FIN from the other side toggles between
-that and "closed". The state is therefore the parity of toggles since the last
-FIN that was not a toggle, which running sums can express.
+A key's packets are walked in arrival order (``seq``) by one small state machine
+(see ``walk``): ordinary keys need one shuffle, one sort and one pass. Keys above
+``hot_rows`` packets are cut into pieces at places where only one thing is unknown,
+which side has finished. A piece is then a table from the state before it to the
+state after it; tables are composed in order, and all pieces walked in parallel.
+Flow context of hot keys is a set of running aggregates over slices (see ``running``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from netloom.operators.packets import FIN, KEY, PSH, RST, has_flag, is_pure_ack, with_key
+from netloom.operators import walk
+from netloom.operators.packets import FIN, KEY, PSH, has_flag, is_pure_ack, with_key
 from netloom.operators.running import Running, running
 from netloom.session import cut_lineage
 
@@ -44,116 +44,84 @@ LIVE = FlowConfig(inactivity_us=1_500_000)
 SMALL = FlowConfig(inactivity_us=5_000_000, emit_after_us=8_000_000, emit_packets=3)
 
 
-def label(packets: DataFrame, config: FlowConfig, sliced: bool) -> DataFrame:
-    """Instance boundaries, dropped teardown ACKs and per-packet flow context.
+def _cut_in_pieces(packets: DataFrame, config: FlowConfig) -> DataFrame:
+    """``packets`` with ``piece``, the first packet of a part of its key, and ``clock``, the key's time before it.
 
-    ``packets`` carries the canonical key and a ``dropped`` column: the packets
-    believed dropped when measuring inactivity (none at first).
+    A piece begins where little of what came before matters: the latest time was set by a packet that is no pure
+    ACK, and since the last FIN both sides have sent one, which ends the dropping of teardown ACKs. So only one
+    thing is unknown there, who has finished. The first such place of each slice of arrival numbers is taken.
     """
-    slice_column = "arrival_slice" if sliced else None
-    if sliced:
-        packets = packets.withColumn("arrival_slice", F.floor(F.col("seq") / config.slice_rows))
-
-    def run(df: DataFrame, **columns: Running) -> DataFrame:
-        if sliced:
-            df = cut_lineage(df)
-        return running(df, KEY, "seq", columns, slice_column)
-
-    tcp = F.col("protocol") == "TCP"
-    ts, seq, side = F.col("ts_us"), F.col("seq"), F.col("side")
-
-    # Inactivity: a gap since the latest accepted packet of the key.
-    if config.inactivity_us is None:
-        df = packets.withColumn("expired", F.lit(False))
-    else:
-        df = run(packets, clock=Running("max", F.when(~F.col("dropped"), ts), inclusive=False))
-        df = df.withColumn("expired", ~F.col("dropped") & F.coalesce(
-            ts - F.col("clock") > config.inactivity_us, F.lit(False))).drop("clock")
-
-    # FIN/FIN and RST termination.
-    rst = tcp & has_flag(RST)
-    fin = tcp & has_flag(FIN) & ~rst
-    mark = F.when(rst, -1).when(fin, side).when(F.col("expired"), -1)
-    df = run(df, fin_before=Running("last", mark, inclusive=False),
-             fins=Running("sum", fin.cast("bigint")),
-             expiries=Running("sum", F.col("expired").cast("bigint")))
-    fresh = F.col("expired") | F.coalesce(F.col("fin_before") == -1, F.lit(True))
-    begins = fin & (fresh | (F.col("fin_before") == side) | F.col("self_connection"))
-    df = run(df, fins_at_start=Running("last", F.when(begins, F.col("fins"))))
-    # Every FIN since that start toggles the state; an odd count closes.
-    closed_by_fin = fin & ((F.col("fins") - F.col("fins_at_start")) % 2 == 1)
-    df = df.withColumn("closed_by_fin", F.coalesce(closed_by_fin, F.lit(False))).withColumn(
-        "closes", rst | F.col("closed_by_fin")).drop("fin_before", "fins", "fins_at_start")
-
-    # Teardown ACKs: a FIN/FIN close arms the direction opposite to its last FIN.
-    arm = F.struct(seq.alias("seq"), (ts + config.grace_us).alias("until"))
-    df = run(
-        df,
-        arm_0=Running("last", F.when(F.col("closed_by_fin") & (side == 1), arm), inclusive=False),
-        arm_1=Running("last", F.when(F.col("closed_by_fin") & (side == 0), arm), inclusive=False),
-        closings=Running("sum", F.col("closes").cast("bigint"), inclusive=False),
-    )
-    armed = F.when(side == 0, F.col("arm_0")).otherwise(F.col("arm_1"))
-    df = df.withColumn("armed_at", armed["seq"]).withColumn(
-        "droppable", is_pure_ack() & F.coalesce(ts <= armed["until"], F.lit(False)))
-    df = run(
-        df.drop("arm_0", "arm_1"),
-        stop_0=Running("last", F.when((side == 0) & ~F.col("droppable"), seq), inclusive=False),
-        stop_1=Running("last", F.when((side == 1) & ~F.col("droppable"), seq), inclusive=False),
-    )
-    stop = F.when(side == 0, F.col("stop_0")).otherwise(F.col("stop_1"))
-    df = df.withColumn("was_dropped", F.col("dropped")).withColumn(
-        "dropped", F.col("droppable") & F.coalesce(stop < F.col("armed_at"), F.lit(True)))
-    df = df.withColumn("epoch", F.col("expiries") + F.coalesce("closings", F.lit(0)))
-
-    # Context of the accepted packets within the key.
-    accepted = ~F.col("dropped")
-    seen = F.struct("epoch", ts.alias("ts"), F.col("expiries").alias("expiries"))
-    return run(
-        df.drop("stop_0", "stop_1", "closings", "droppable"),
-        before=Running("last", F.when(accepted, seen), inclusive=False),
-        before_0=Running("last", F.when(accepted & (side == 0), seen), inclusive=False),
-        before_1=Running("last", F.when(accepted & (side == 1), seen), inclusive=False),
-        flow_clock=Running("max", F.when(accepted, F.struct("epoch", ts.alias("ts"))), inclusive=False),
-        accepted_clock=Running("max", F.when(accepted, ts), inclusive=False),
-        accepted_no=Running("sum", accepted.cast("bigint")),
-    )
-
-
-def _hidden_gap(config: FlowConfig):
-    """An accepted packet after too long a gap that the raw gaps did not show."""
-    return (
-        ~F.col("dropped")
-        & (F.col("ts_us") - F.col("accepted_clock") > config.inactivity_us)
-        & (F.col("before")["expiries"] == F.col("expiries"))
-    )
-
-
-def settle(packets: DataFrame, config: FlowConfig, sliced: bool) -> DataFrame:
-    """Labels with inactivity measured between accepted packets only.
-
-    Dropped ACKs may hide a gap, and a gap found later changes what is dropped.
-    Each round is right at least up to the first packet the previous round had
-    wrong, so repeating until nothing changes is exact. Only keys with a hidden
-    gap (needs a dropped ACK inside it) take part.
+    sliced = packets.withColumn("arrival_slice", F.floor(F.col("seq") / config.slice_rows))
+    ts, seq, side, sure = F.col("ts_us"), F.col("seq"), F.col("side"), ~is_pure_ack()
+    finish = (F.col("protocol") == "TCP") & has_flag(FIN)
+    df = running(cut_lineage(sliced), KEY, "seq", {
+        "clock": Running("max", ts, inclusive=False),
+        "sure_clock": Running("max", F.when(sure, ts), inclusive=False),
+        "fin_at": Running("last", F.when(finish, seq), inclusive=False),
+        "sure_0": Running("last", F.when(sure & (side == 0), seq), inclusive=False),
+        "sure_1": Running("last", F.when(sure & (side == 1), seq), inclusive=False)}, "arrival_slice")
+    unarmed = F.col("fin_at").isNull() | F.col("self_connection") | (
+        (F.col("sure_0") > F.col("fin_at")) & (F.col("sure_1") > F.col("fin_at")))
+    df = df.withColumn("clear", F.coalesce((F.col("sure_clock") == F.col("clock")) & unarmed, F.lit(False)))
+    df = cut_lineage(df.drop("sure_clock", "fin_at", "sure_0", "sure_1"))
+    # one row for each slice: its first clear place, and the last one of the slices before
+    cuts = df.groupBy(*KEY, "arrival_slice").agg(F.min(F.when(F.col("clear"), F.struct("seq", "clock"))).alias("cut"))
+    earlier = Window.partitionBy(*KEY).orderBy("arrival_slice").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.withColumn("earlier", F.last("cut", ignorenulls=True).over(earlier))
+    own = F.when(F.col("cut.seq") <= seq, F.col("cut")).otherwise(F.col("earlier"))
+    return (df.drop("clock", "clear").join(cuts, [*KEY, "arrival_slice"]).withColumn("own", own)
+            .select("*", F.coalesce("own.seq", F.lit(-1)).alias("piece"), F.col("own.clock").alias("clock"))
+            .drop("own", "cut", "earlier"))
+
+
+def _entries(pieces: DataFrame) -> DataFrame:
+    """KEY, piece and ``finished``, the state before each piece: the pieces' exits composed in order, one row each."""
+    def after(state: Column, item: Column) -> Column:
+        at = F.array_position(F.lit(list(walk.ENTRIES)), state).cast("int") - 1
+        return F.get(item["exits"], at)
+
+    begin = F.struct(F.lit(walk.NOBODY).alias("state"), F.array().cast("array<int>").alias("before"))
+    chains = pieces.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("piece", "exits"))).alias("items"))
+    walked = chains.withColumn("before", F.aggregate("items", begin, lambda s, item: F.struct(
+        after(s["state"], item).alias("state"), F.concat(s["before"], F.array(s["state"])).alias("before")), lambda s: s["before"]))
+    return walked.select(*KEY, F.explode(F.arrays_zip("items", "before")).alias("e")).select(
+        *KEY, F.col("e.items.piece").alias("piece"), F.col("e.before").alias("finished"))
+
+
+def settle_sliced(packets: DataFrame, config: FlowConfig) -> DataFrame:
+    """Decisions and context of hot keys: pieces are walked in parallel, twice and never more.
+
+    The first walk gives each piece's transition (who has finished after it, for every state before it); composed
+    along the key these give the state before each piece, from which the second walk decides its packets.
     """
-    first = packets.withColumn("dropped", F.lit(False))
-    if config.inactivity_us is None:
-        return label(first, config, sliced)
-    narrow = first.select(*KEY, "seq", "ts_us", "side", "self_connection", "flags",
-                          "pkt_len", "payload_len", "dropped").filter(F.col("protocol") == "TCP")
-    keys = cut_lineage(
-        label(narrow, config, sliced).filter(_hidden_gap(config)).select(*KEY).distinct())
-    if keys.isEmpty():
-        return label(first, config, sliced)
-    rest = label(first.join(keys, KEY, "left_anti"), config, sliced)
-    current = cut_lineage(label(first.join(keys, KEY, "left_semi"), config, sliced))
-    while True:
-        again = cut_lineage(label(current.select(*first.columns), config, sliced))
-        moved = again.filter(F.col("dropped") != F.col("was_dropped"))
-        current = again
-        if moved.isEmpty():
-            return rest.unionByName(current)
+    part = [*KEY, "piece"]
+    pieces = cut_lineage(_cut_in_pieces(packets, config))
+    limits = (config.inactivity_us, config.grace_us)
+    narrow = pieces.select(*part, "seq", "ts_us", "side", "self_connection", "flags", "pkt_len", "payload_len", "clock")
+    schema = StructType([*narrow.select(*part).schema.fields, StructField("exits", ArrayType(IntegerType()))])
+    transitions = narrow.repartition(*part).sortWithinPartitions(*part, "seq").mapInArrow(
+        lambda batches: walk.exits(batches, part, *limits), schema)
+    known = pieces.join(_entries(cut_lineage(transitions)), part)
+    schema = StructType([*known.schema.fields, StructField("code", IntegerType()), StructField("armed_at", LongType())])
+    df = known.repartition(*part).sortWithinPartitions(*part, "seq").mapInArrow(
+        lambda batches: walk.with_codes(batches, part, *limits), schema)
+    bit = lambda b: F.col("code").bitwiseAND(F.lit(b)) != 0
+    df = cut_lineage(df.withColumns({
+        "dropped": bit(walk.DROPPED), "expired": bit(walk.EXPIRED), "closes": bit(walk.CLOSES),
+        "closed_by_fin": bit(walk.BY_FIN)}).drop("code", "piece", "clock", "finished"))
+    df = cut_lineage(running(df, KEY, "seq", {
+        "expiries": Running("sum", F.col("expired").cast("bigint")),
+        "closings": Running("sum", F.col("closes").cast("bigint"), inclusive=False)}, "arrival_slice"))
+    df = df.withColumn("epoch", F.col("expiries") + F.coalesce("closings", F.lit(0)))
+    accepted, side = ~F.col("dropped"), F.col("side")
+    seen = F.struct("epoch", F.col("ts_us").alias("ts"))
+    return running(
+        df.drop("closings", "expiries"), KEY, "seq", {
+            "before": Running("last", F.when(accepted, seen), inclusive=False),
+            "before_0": Running("last", F.when(accepted & (side == 0), seen), inclusive=False),
+            "before_1": Running("last", F.when(accepted & (side == 1), seen), inclusive=False),
+            "flow_clock": Running("max", F.when(accepted, seen), inclusive=False),
+            "accepted_no": Running("sum", accepted.cast("bigint"))}, "arrival_slice")
 
 
 def hot_keys(packets: DataFrame, config: FlowConfig) -> DataFrame:
@@ -177,14 +145,10 @@ def split_hot(packets: DataFrame, config: FlowConfig) -> tuple[DataFrame, DataFr
     return packets.join(side, KEY, "left_anti"), packets.join(side, KEY, "left_semi")
 
 
-def _with_flow(labels: DataFrame, config: FlowConfig, sliced: bool) -> DataFrame:
+def _with_flow_sliced(labels: DataFrame, config: FlowConfig) -> DataFrame:
     """Accepted packets with their flow's first packet, position and gaps."""
-    slice_column = "arrival_slice" if sliced else None
-
     def run(df: DataFrame, **columns: Running) -> DataFrame:
-        if sliced:
-            df = cut_lineage(df)
-        return running(df, KEY, "seq", columns, slice_column)
+        return running(cut_lineage(df), KEY, "seq", columns, "arrival_slice")
 
     starts = F.coalesce(F.col("before")["epoch"] != F.col("epoch"), F.lit(True))
     open_before = F.coalesce(F.col("before")["epoch"] == F.col("epoch") - F.col("expired").cast("int"), F.lit(False))
@@ -215,7 +179,7 @@ def _with_flow(labels: DataFrame, config: FlowConfig, sliced: bool) -> DataFrame
     active = F.col("clock_us") - F.col("active_from")
     return df.select(
         *[name for name in df.columns if name not in (
-            "before", "before_0", "before_1", "flow_clock", "accepted_clock", "first", "clock_us", "active_from")],
+            "before", "before_0", "before_1", "flow_clock", "first", "clock_us", "active_from")],
         F.col("first")["seq"].alias("flow_seq"),
         F.col("first")["ts_us"].alias("first_ts"),
         F.col("first")["side"].alias("first_side"),
@@ -232,14 +196,36 @@ def _with_flow(labels: DataFrame, config: FlowConfig, sliced: bool) -> DataFrame
     )
 
 
+#: Columns of a packet that the walk needs, and those it passes on beside its own.
+_NEEDED = [*KEY, "seq", "ts_us", "side", "self_connection", "flags", "pkt_len", "payload_len"]
+_CARRIED = [*_NEEDED, "header_len", "win_size"]
+_FLOW_SCHEMA = ("flow_seq bigint, position bigint, forward boolean, closes boolean, closed_by_fin boolean, expired boolean, "
+                "starts boolean, after_open boolean, gap_us bigint, side_gap_us bigint, idle_us bigint, active_us bigint, "
+                "first_ts bigint, first_side int, first_len bigint, first_win bigint, first_psh boolean")
+
+
+def _in_order(packets: DataFrame, names: list[str]) -> DataFrame:
+    """Whole keys in one partition each, packets in arrival order: the only shuffle and sort of ordinary keys."""
+    return packets.select(*names).repartition(*KEY).sortWithinPartitions(*KEY, "seq")
+
+
+def _with_flow(packets: DataFrame, config: FlowConfig) -> DataFrame:
+    """Accepted packets of ordinary keys with their flow's first packet, position and gaps, by one walk."""
+    extra = [name for name in ("payload",) if name in packets.columns]
+    rows = _in_order(packets, [*_CARRIED, *extra])
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = StructType([*[fields[name] for name in _CARRIED], *StructType.fromDDL(_FLOW_SCHEMA).fields, *[fields[n] for n in extra]])
+    return rows.mapInArrow(lambda batches: walk.with_flow(
+        batches, _CARRIED, config.inactivity_us, config.grace_us, config.active_gap_us, PAYLOAD_SAMPLE), schema)
+
+
 def assign(packets: DataFrame, config: FlowConfig) -> list[tuple[DataFrame, bool]]:
     """Accepted packets with flow context: ordinary keys, then hot keys if any."""
     keyed = with_key(packets)
     ordinary, hot = split_hot(keyed, config)
-    parts = [(_with_flow(settle(ordinary, config, False), config, False), False)]
+    parts = [(_with_flow(ordinary, config), False)]
     if hot is not None:
-        hot = cut_lineage(hot)
-        parts.append((_with_flow(settle(hot, config, True), config, True), True))
+        parts.append((_with_flow_sliced(settle_sliced(hot, config), config), True))
     return parts
 
 
@@ -257,11 +243,13 @@ def flow_packets(packets: DataFrame, config: FlowConfig) -> DataFrame:
 def dropped_acks(packets: DataFrame, config: FlowConfig) -> DataFrame:
     """Teardown ACKs that belong to an already closed connection."""
     ordinary, hot = split_hot(with_key(packets), config)
-    out = settle(ordinary, config, False)
-    columns = [*KEY, "seq", "ts_us", "armed_at"]
-    out = out.filter("dropped").select(*columns)
+    columns = [*KEY, "seq", "ts_us"]
+    rows = _in_order(ordinary, _NEEDED)
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = StructType([*[fields[name] for name in columns], StructField("armed_at", LongType())])
+    out = rows.mapInArrow(lambda batches: walk.dropped(batches, columns, config.inactivity_us, config.grace_us), schema)
     if hot is not None:
-        out = out.unionByName(settle(cut_lineage(hot), config, True).filter("dropped").select(*columns))
+        out = out.unionByName(settle_sliced(hot, config).filter("dropped").select(*columns, "armed_at"))
     return out
 
 

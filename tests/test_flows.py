@@ -172,3 +172,53 @@ def test_time_emission_and_many_keys(spark):
     assert len(got) == 1 and got[0]["reason"] == "time" and got[0]["Total Fwd Packets"] == 2
     many = [packet(i, i, ("10.2.0.%d" % (i % 40), 5), pkt_len=1) for i in range(1000)]
     assert flow_packets(frame(spark, many), FlowConfig()).select("flow_seq").distinct().count() == 40
+
+
+def gap_chain(depth, seed=0):
+    """Each hidden gap resets who has finished, so that the next close, its dropped ACK and the next gap differ."""
+    rng = random.Random(seed)
+    rows, now, side = [], 0, 0
+    ends = [(C, S), (S, C)]
+    for _ in range(depth):
+        rows.append((now, *ends[side], 17, 0))
+        rows.append((now + 1_000, *ends[1 - side], 17, 0))
+        rows.append((now + 50_000, *ends[1 - side], 24, 5))
+        rows.append((now + 900_000, *ends[side], 16, 0))                 # dropped if the FINs above closed
+        now += 1_700_000 + rng.choice([0, 0, 1_000, 600_000])            # a gap only if the ACK was dropped
+        if rng.random() < 0.5:
+            side = 1 - side
+    return [packet(i, ts, a, b, flags=flags, pkt_len=size) for i, (ts, a, b, flags, size) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot_rows": 20, "slice_rows": 10}])
+def test_gap_chains_of_any_depth(spark, limits):
+    config = FlowConfig(inactivity_us=1_500_000, emit_packets=3, **limits)
+    want, dropped = compare(spark, gap_chain(40), config)
+    assert len(dropped) > 5 and len(want) > 40
+
+
+def test_decisions_match_the_plain_fold():
+    """The state machine alone, whole and cut in pieces, on many small adversarial keys."""
+    from netloom.operators import walk
+
+    rng = random.Random(4)
+    for round_ in range(300):
+        rows = gap_chain(6, round_) if round_ % 3 == 0 else [
+            dict(r, src_ip=a[0], src_port=a[1], dst_ip=b[0], dst_port=b[1], protocol="TCP")
+            for r in traffic(round_, 40, 2, step=rng.choice([60_000, 400_000])) for a, b in [(C, S) if rng.random() < 0.5 else (S, C)]]
+        inactivity = rng.choice([None, 700_000, 1_500_000])
+        if round_ % 3:
+            inactivity = None if any(b["ts_us"] < a["ts_us"] for a, b in zip(rows, rows[1:])) else inactivity
+        _, dropped = fold(rows, inactivity, 10 ** 12, 10 ** 6)
+
+        def kind(r):
+            flags = r["flags"]
+            return (walk.RESET if flags & 4 else walk.FINISH if flags & 1 else
+                    walk.PURE_ACK if flags & 63 == 16 and not r["pkt_len"] else walk.PLAIN)
+        given = [(r["seq"], r["ts_us"], int((r["src_ip"], r["src_port"]) != C), kind(r), False) for r in rows]
+        codes, _ = walk.decide(given, walk.Rules(), inactivity, 1_000_000)
+        assert [g[0] for g, code in zip(given, codes) if code & walk.DROPPED] == dropped
+        rules, again = walk.Rules(), []
+        for at in range(0, len(given), 7):
+            again += walk.decide(given[at:at + 7], rules, inactivity, 1_000_000)[0]
+        assert again == codes
