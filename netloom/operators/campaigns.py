@@ -120,34 +120,42 @@ def budget_breaches(events: DataFrame, group: list[str], order: str, actions_cap
     return hit.groupBy(*group).agg(F.min(order).alias(order), first.alias("f")).select(*group, order, "f.*")
 
 
-def label_snapshots(snapshots: DataFrame, campaigns: DataFrame, key: list[str], start: str,
-                    bucket_us: int = 120_000_000) -> DataFrame:
+def _level(low: Column, high: Column) -> Column:
+    """The smallest power of two (as exponent) that a span is no longer than."""
+    return F.ceil(F.log2((high - low + 1).cast("double"))).cast("int")
+
+
+def label_snapshots(snapshots: DataFrame, campaigns: DataFrame, key: list[str], start: str) -> DataFrame:
     """Ground truth by time range, addresses and protocol (either direction).
 
     ``campaigns``: campaign_id, source_ip, target_ip, protocol (NULL = any),
-    started_us, ended_us, class_label. A campaign covers few time buckets (its
-    length is limited), so the range join becomes an equality on (addresses,
-    bucket) and no pair of rows meets outside its bucket. Unmatched snapshots
-    stay unlabelled; of several matches the earliest campaign counts.
+    started_us, ended_us, class_label. Time is cut dyadically: a campaign lies in one or two
+    cells of the level whose cells are about as long as itself, and a snapshot has one cell
+    on each level that any campaign uses (64 at most). So spans of seconds and of months meet
+    their snapshots in one equality join, and what meets without matching is bounded by the
+    cells' length, less than twice the campaign's. Only (key, campaign) pairs are reduced; whole
+    rows are joined once, at the end. Unmatched snapshots stay unlabelled; of several matches the
+    earliest campaign counts.
     """
-    buckets = F.sequence(F.floor(F.col("started_us") / bucket_us), F.floor(F.col("ended_us") / bucket_us))
-    spans = campaigns.filter(F.col("ended_us") >= F.col("started_us")).withColumn("bucket", F.explode(buckets))
+    spans = campaigns.filter(F.col("ended_us") >= F.col("started_us")).withColumn(
+        "_level", _level(F.col("started_us"), F.col("ended_us")))
+    levels = sorted(r[0] for r in spans.select("_level").distinct().collect())   # 64 at most
+    cells = F.array_distinct(F.array(*[F.expr(f"shiftright({c}, _level)") for c in ("started_us", "ended_us")]))
     spans = spans.select(
-        F.array_sort(F.array("source_ip", "target_ip")).alias("_c_ends"), F.col("bucket").alias("_c_bucket"),
-        F.col("started_us").alias("_c_start"), F.col("ended_us").alias("_c_end"), F.col("protocol").alias("_c_protocol"),
+        F.array_sort(F.array("source_ip", "target_ip")).alias("_ends"), "_level", F.explode(cells).alias("_cell"),
+        F.col("started_us").alias("_from"), F.col("ended_us").alias("_to"), F.col("protocol").alias("_protocol"),
         "campaign_id", F.col("class_label").alias("ground_truth"))
-    keyed = snapshots.withColumns({
-        "_ends": F.array_sort(F.array("source_ip", "destination_ip")),
-        "_bucket": F.floor(F.col(start) / bucket_us)})
-    joined = keyed.join(
-        spans, (F.col("_ends") == F.col("_c_ends")) & (F.col("_bucket") == F.col("_c_bucket"))
-        & F.col(start).between(F.col("_c_start"), F.col("_c_end"))
-        & (F.col("_c_protocol").isNull() | (F.col("_c_protocol") == F.col("protocol"))), "left")
-    # A snapshot meets a handful of campaigns at most, so this window sorts tiny groups.
-    earliest = Window.partitionBy(*key).orderBy("_c_start", "campaign_id")
-    return joined.withColumn("_place", F.row_number().over(earliest)).filter("_place = 1").drop(
-        "_place", "_ends", "_bucket", "_c_ends", "_c_bucket", "_c_start", "_c_end", "_c_protocol")
-
+    narrow = snapshots.select(*key, F.array_sort(F.array("source_ip", "destination_ip")).alias("_ends"),
+                              F.col(start).cast("bigint").alias("_at"), F.col("protocol").alias("_kind"))
+    chain = narrow.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn(
+        "_cell", F.expr("shiftright(_at, _level)"))
+    matches = chain.join(spans, ["_ends", "_level", "_cell"]).where(
+        F.col("_at").between(F.col("_from"), F.col("_to"))
+        & (F.col("_protocol").isNull() | (F.col("_protocol") == F.col("_kind"))))
+    found = matches.groupBy(*key).agg(F.min(F.struct("_from", "campaign_id", "ground_truth")).alias("_m")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_m.campaign_id", "_m.ground_truth")
+    same = [snapshots[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    return snapshots.join(found, same, "left").drop(*[f"_k{i}" for i in range(len(key))])
 
 def profile_violations(profiles: DataFrame) -> DataFrame:
     """(mode, rule) for every broken profile rule. Limits and parameters hold JSON text,

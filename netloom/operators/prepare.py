@@ -6,13 +6,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from netloom.functions import constants as K
 from netloom.functions.exprs import clip, is_finite, shuffle_key, strip
-from netloom.operators.running import Running, running
+from netloom.session import cut_lineage
 
 
 # ---- schema checks and labels -------------------------------------------------
@@ -181,23 +182,32 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _pair_sums(batches):
-    """Per pair of columns and Arrow batch: count, means and co-moments of the rows that have both."""
+    """Per pair of columns and task: count, means and co-moments of the rows that have both."""
+    shift, sums = None, None
     for batch in batches:
         x = batch.to_numpy(dtype=float)
+        if not len(x):
+            continue
         have = ~np.isnan(x)
-        shift = np.where(have.any(axis=0), np.nan_to_num(np.nanmax(np.where(have, x, -np.inf), axis=0)), 0.0)
+        if shift is None:
+            shift, sums = np.full(x.shape[1], np.nan), np.zeros((4, x.shape[1], x.shape[1]))
+        fresh = np.isnan(shift) & have.any(axis=0)       # a column is centred on its first value
+        shift[fresh] = x[have.argmax(axis=0), np.arange(x.shape[1])][fresh]
         x = np.where(have, x - shift, 0.0)
         there = have.astype(float)
-        n = there.T @ there
-        first, second = x.T @ there, (x * x).T @ there       # of column i over the rows that also have j
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mean = first / n
-            sxx, sxy = second - first * mean, x.T @ x - first * mean.T
-        i, j = np.triu_indices(x.shape[1], 1)
-        keep = n[i, j] > 0
-        i, j = i[keep], j[keep]
-        yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "mx": mean[i, j] + shift[i], "my": mean[j, i] + shift[j],
-                            "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j]})
+        # of column i over the rows that also have j: count, sum, sum of squares; and the sum of products
+        sums += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+    if shift is None:
+        return
+    n, first, second, both = sums
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = first / n
+        sxx, sxy = second - first * mean, both - first * mean.T
+    i, j = np.triu_indices(len(shift), 1)
+    keep = n[i, j] > 0
+    i, j = i[keep], j[keep]
+    yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "mx": mean[i, j] + shift[i], "my": mean[j, i] + shift[j],
+                        "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j]})
 
 
 def correlated_columns(pairs: DataFrame, limit: float = K.CORRELATION_LIMIT) -> DataFrame:
@@ -215,62 +225,91 @@ def prune_correlated(df: DataFrame, columns: list[str], fit_on: DataFrame | None
 
 # ---- percentiles, scaling, weights ---------------------------------------------------
 
+def _radix_counts(batches, level: int, prefixes: dict[int, list[int]]):
+    """(column, prefix, digit, n): a task's values that begin with an open prefix, by their next DIGIT_BITS bits.
+
+    A double's bits become an unsigned number in the order of the values: NaN last, -0.0 as 0.0.
+    """
+    shift, counts = np.uint64(64 - DIGIT_BITS * (level + 1)), {}
+    for batch in batches:
+        for c, column in enumerate(batch.columns):
+            open_ = prefixes.get(c)
+            x = column.drop_null().to_numpy(zero_copy_only=False) + 0.0
+            if not open_ or not len(x):
+                continue
+            bits = np.where(np.isnan(x), np.nan, x).view(np.uint64)
+            ordered = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+            digit = (ordered >> shift).astype(np.uint64) & np.uint64((1 << DIGIT_BITS) - 1)
+            upper = ordered >> shift >> np.uint64(DIGIT_BITS) if level else np.zeros(len(x), np.uint64)
+            for prefix in open_:
+                some, n = np.unique(digit[upper == np.uint64(prefix)] if level else digit, return_counts=True)
+                if len(some):
+                    dense = counts.setdefault((c, prefix), np.zeros(1 << DIGIT_BITS, np.int64))
+                    dense[some.astype(np.int64)] += n
+    for (c, prefix), dense in counts.items():
+        some = np.flatnonzero(dense)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(some), c, np.int32)), pa.array(np.full(len(some), prefix, np.int64)),
+             pa.array(some.astype(np.int32)), pa.array(dense[some])], names=["column", "prefix", "digit", "n"])
+
+
+def _ranks(counts: DataFrame, wanted: list[tuple[int, int, int]]) -> dict[tuple[int, int, int], tuple[int, int]]:
+    """(column, prefix, rank below it) -> (digit at that rank, rank below the digit)."""
+    spark = counts.sparkSession
+    asked = F.broadcast(spark.createDataFrame(sorted(set(wanted)), "column int, prefix long, rank long"))
+    upto = F.sum("n").over(Window.partitionBy("column", "prefix").orderBy("digit"))   # a prefix has 65,536 digits
+    hit = counts.withColumn("upto", upto).join(asked, ["column", "prefix"]).where(
+        (F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+    return {(r["column"], r["prefix"], r["rank"]): (r["digit"], r["rank"] - (r["upto"] - r["n"])) for r in hit.collect()}
+
+
+#: Bits of a level of the radix selection; four levels make a double.
+DIGIT_BITS = 16
+
+
 def exact_percentiles(df: DataFrame, columns: list[str], percents: tuple[float, ...] = K.CLIP_PERCENTILES,
-                      accuracy: int = 10_000) -> DataFrame:
-    """Exact linear-interpolated percentiles, one row per (column, percent).
+                      accuracy: int | None = None) -> DataFrame:
+    """Exact linear-interpolated percentiles, one row per (column, percent), by radix selection.
 
-    An approximate sketch brackets every wanted rank; a second pass counts what
-    lies below the bracket and ranks only the distinct values inside it. Ranks
-    the sketch failed to bracket fall back to the whole range, so the answer is
-    exact whatever the sketch's error.
+    Values are taken as 64-bit numbers in the same order. A pass counts the next 16 bits of all values
+    that begin like a wanted one, for all columns and ranks at once, so four passes give every value bit
+    by bit, however they are spread: no range of values is assumed and none is gathered. ``accuracy``
+    has no effect; callers of the earlier, sketch-based form may still give it.
     """
     spark = df.sparkSession
-    margin = 2.0 / accuracy
-    edges = sorted({edge for p in percents for edge in (max(p / 100 - margin, 0.0), min(p / 100 + margin, 1.0))})
-    listed = ", ".join(f"{edge!r}D" for edge in edges)
-    sketch = df.agg(*[column.alias(f"{name}_{k}") for k, c in enumerate(columns) for name, column in (
-        ("n", F.count(c)), ("low", F.min(c)), ("high", F.max(c)),
-        ("edges", F.expr(f"percentile_approx(`{c}`, array({listed}), {accuracy})")))]).first()
-    counts = {c: sketch[f"n_{k}"] for k, c in enumerate(columns)}
-    span = {c: (sketch[f"low_{k}"], sketch[f"high_{k}"]) for k, c in enumerate(columns)}
-    brackets = {}
-    for k, c in enumerate(columns):
-        for p in percents if counts[c] else ():
-            rank = (counts[c] - 1) * p / 100
-            low, high = (sketch[f"edges_{k}"][edges.index(e)]
-                         for e in (max(p / 100 - margin, 0.0), min(p / 100 + margin, 1.0)))
-            # Linear rule: between the 0-based ranks floor(rank) and floor(rank) + 1.
-            brackets[c, p] = (low, high, int(rank), rank - int(rank))
-    if not brackets:
-        empty = [(c, float(p), None) for c in columns for p in percents]
-        return spark.createDataFrame(empty, "column string, percent double, bound double")
-    checks = []
-    for (c, p), (low, high, *_rest) in brackets.items():
-        checks += [F.count_if(F.col(c) < low), F.count_if(F.col(c) <= high)]
-    seen = df.agg(*[check.alias(f"c{n}") for n, check in enumerate(checks)]).first()
-    items, plan = [], []
-    for n, ((c, p), (low, high, rank, part)) in enumerate(brackets.items()):
-        below, upto = seen[f"c{2 * n}"], seen[f"c{2 * n + 1}"]
-        last = min(rank + 1, counts[c] - 1)
-        if not (below <= rank and last < upto):
-            (low, high), below = span[c], 0
-        inside = F.col(c).between(low, high)
-        width = (high - low) / 1000 if high > low else 1.0
-        slot = F.floor((F.col(c) - F.lit(low)) / width)
-        items.append(F.when(inside, F.struct(
-            F.lit(n).alias("bracket"), F.col(c).cast("double").alias("value"), slot.cast("bigint").alias("slot"))))
-        plan.append((n, c, float(p), below, rank, last, part))
-    present = F.filter(F.array(*items), lambda item: item.isNotNull())
-    values = df.select(F.explode(present).alias("v")).select("v.*").groupBy("bracket", "slot", "value").count()
-    ranked = running(values, ["bracket"], "value", {"upto": Running("sum", F.col("count"))}, "slot")
-    wanted_ranks = spark.createDataFrame(
-        plan, "bracket int, column string, percent double, below long, low_rank long, high_rank long, part double")
-    reach = F.col("below") + F.col("upto")
-    begin = reach - F.col("count")
-    hit = ranked.join(F.broadcast(wanted_ranks), "bracket").groupBy("column", "percent", "part").agg(
-        F.max(F.when((begin <= F.col("low_rank")) & (F.col("low_rank") < reach), F.col("value"))).alias("low"),
-        F.max(F.when((begin <= F.col("high_rank")) & (F.col("high_rank") < reach), F.col("value"))).alias("high"))
-    return hit.select("column", "percent", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("bound"))
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
+
+    def counted(level: int, prefixes: dict[int, list[int]]) -> DataFrame:
+        parts = numbers.mapInArrow(lambda batches: _radix_counts(batches, level, prefixes),
+                                   "column int, prefix bigint, digit int, n bigint")
+        return cut_lineage(parts.groupBy("column", "prefix", "digit").agg(F.sum("n").alias("n")))
+
+    counts = counted(0, {c: [0] for c in range(len(columns))})
+    total = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    plan, state = [], {}
+    for c in total:
+        for p in percents:
+            rank = (total[c] - 1) * p / 100            # between the 0-based ranks floor(rank) and floor(rank) + 1
+            ends = int(rank), min(int(rank) + 1, total[c] - 1)
+            plan.append((c, p, *ends, rank - int(rank)))
+            state |= {(c, r): (0, r) for r in ends}
+    for level in range(64 // DIGIT_BITS):
+        if level and state:
+            prefixes: dict[int, list[int]] = {}
+            for (c, _), (prefix, _) in state.items():
+                prefixes.setdefault(c, []).append(prefix)
+            counts = counted(level, {c: sorted(set(p)) for c, p in prefixes.items()})
+        found = _ranks(counts, [(c, *at) for (c, _), at in state.items()]) if state else {}
+        state = {(c, r): (at[0] << DIGIT_BITS | found[c, *at][0], found[c, *at][1]) for (c, r), at in state.items()}
+
+    def value(c: int, rank: int) -> float:
+        bits = np.uint64(state[c, rank][0])
+        bits = bits & np.uint64((1 << 63) - 1) if bits >> np.uint64(63) else ~bits
+        return float(np.array([bits]).view(np.float64)[0])
+
+    rows = [(columns[c], float(p), value(c, a) + (value(c, b) - value(c, a)) * part) for c, p, a, b, part in plan]
+    rows += [(name, float(p), None) for c, name in enumerate(columns) if c not in total for p in percents]
+    return spark.createDataFrame(rows, "column string, percent double, bound double")
 
 
 def clip_bounds(train: DataFrame, columns: list[str], percents: tuple[float, float] = K.CLIP_PERCENTILES) -> DataFrame:
@@ -323,40 +362,79 @@ def dedup(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
-def ranked(df: DataFrame, stratum: str, key: list[str], seed: int = 42) -> DataFrame:
-    """``rank`` of every row within its stratum in md5 order, and the stratum's size.
+#: Strata (classes) so many of which may be broadcast with their cut rows.
+BROADCAST_STRATA = 10_000
+
+
+def _order(key: list[str], seed: int) -> Column:
+    return F.struct(shuffle_key(seed, *key).alias("digest"), *key)
+
+
+def _range_counts(df: DataFrame, stratum: str, key: list[str], seed: int) -> DataFrame:
+    """Rows of each stratum by the first 16 bits of the rows' md5, with the stratum's size and what lies before."""
+    counts = df.groupBy(F.col(stratum).alias("_stratum"), F.substring(shuffle_key(seed, *key), 1, 4).alias("_range")).agg(
+        F.count("*").alias("rows"))
+    own = Window.partitionBy("_stratum")          # 65,536 ranges at most
+    return counts.select("*", F.sum("rows").over(own).alias("n"),
+                         (F.sum("rows").over(own.orderBy("_range")) - F.col("rows")).alias("before"))
+
 
-    A stratum may hold most of the rows, so it is ranked in 65,536 hash ranges.
+def _cut_rows(df: DataFrame, counts: DataFrame, stratum: str, key: list[str], cuts: list[Column], seed: int) -> DataFrame:
+    """Per _stratum _cut_0, _cut_1, ...: the row (its order) up to which as many rows lie in md5 order as ``cuts`` say.
+
+    A histogram of hash ranges tells which range holds a cut; only the rows of those ranges are ranked, one in 65,536.
     """
-    digest = shuffle_key(seed, *key)
-    keyed = df.withColumn("_order", F.struct(digest.alias("digest"), *key)).withColumn(
-        "_range", F.substring(digest, 1, 4))
-    out = running(keyed, [stratum], "_order", {
-        "rank": Running("sum", F.lit(1).cast("bigint")),
-        "stratum_rows": Running("sum", F.lit(1).cast("bigint"), whole=True),
-    }, "_range")
-    return out.drop("_order", "_range")
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), (c.cast("bigint") - F.col("before")).alias("place")) for i, c in enumerate(cuts)]))
+    borders = counts.select("_stratum", "_range", "rows", at.alias("c")).select("_stratum", "_range", "rows", "c.*").where(
+        "place between 1 and rows").groupBy("_stratum", "_range").agg(F.collect_list(F.struct("cut", "place")).alias("cuts"))
+    borders = F.broadcast(borders) if borders.count() <= BROADCAST_STRATA else borders
+    narrow = df.select(F.col(stratum).alias("s"), _order(key, seed).alias("order"))
+    inside = narrow.join(borders, narrow["s"].eqNullSafe(borders["_stratum"]) & (F.substring("order.digest", 1, 4) == F.col("_range")))
+    place = F.row_number().over(Window.partitionBy("_stratum", "_range").orderBy("order"))
+    hits = inside.withColumn("place", place).select("_stratum", "order", "place", F.explode("cuts").alias("c")).where("place = c.place")
+    return hits.groupBy("_stratum").agg(*[F.max(F.when(F.col("c.cut") == i, F.col("order"))).alias(f"_cut_{i}") for i in range(len(cuts))])
+
+
+def _decided(df: DataFrame, stratum: str, cut_rows: DataFrame) -> DataFrame:
+    """``df`` with its stratum's cut rows; few strata travel to the rows, so these are not shuffled."""
+    cut_rows = cut_lineage(cut_rows)
+    cut_rows = F.broadcast(cut_rows) if cut_rows.count() <= BROADCAST_STRATA else cut_rows
+    return df.join(cut_rows, df[stratum].eqNullSafe(cut_rows["_stratum"]), "left").drop("_stratum")
+
+
+def _upto(order: Column, cut: str) -> Column:
+    return F.coalesce(order <= F.col(cut), F.lit(False))
 
 
 def balanced_sample(df: DataFrame, label: str, key: list[str], size: int, keep: int = 10_000,
                     floor: int = 15_000, seed: int = 42) -> DataFrame:
-    """Per class: all rows up to ``keep``, else min(n, max(floor, int(size * n / total)))."""
-    total = df.count()
+    """Per class: all rows up to ``keep``, else min(n, max(floor, int(size * n / total))), the first in md5 order.
+
+    Rows equal in ``key`` stay together.
+    """
+    counts = cut_lineage(_range_counts(df, label, key, seed))
+    total = counts.agg(F.sum("rows")).first()[0] or 0
     if size >= total:
         return df
-    n = F.col("stratum_rows")
+    n = F.col("n")
     share = F.floor(F.lit(size) * n / F.lit(total))
     quota = F.when(n <= keep, n).otherwise(F.least(n, F.greatest(F.lit(floor), share)))
-    return ranked(df, label, key, seed).filter(F.col("rank") <= quota).drop("rank", "stratum_rows")
+    chosen = _decided(df, label, _cut_rows(df, counts, label, key, [quota], seed))
+    return chosen.where(_upto(_order(key, seed), "_cut_0")).drop("_cut_0")
 
 
 def stratified_split(df: DataFrame, label: str, key: list[str], train: int, validation: int,
                      seed: int = 42) -> DataFrame:
-    """Column ``split``; ``train`` and ``validation`` are percentages, the rest is test."""
-    r, n = F.col("rank") * 100, F.col("stratum_rows")
-    return ranked(df, label, key, seed).withColumn(
-        "split", F.when(r <= n * train, "train").when(r <= n * (train + validation), "validation")
-        .otherwise("test")).drop("rank", "stratum_rows")
+    """Column ``split``; ``train`` and ``validation`` are percentages in md5 order, the rest is test.
+
+    Rows equal in ``key`` stay together.
+    """
+    counts = cut_lineage(_range_counts(df, label, key, seed))
+    cuts = [(F.col("n") * p - F.col("n") * p % 100) / 100 for p in (train, train + validation)]
+    order = _order(key, seed)
+    return _decided(df, label, _cut_rows(df, counts, label, key, cuts, seed)).withColumn(
+        "split", F.when(_upto(order, "_cut_0"), "train").when(_upto(order, "_cut_1"), "validation").otherwise("test")
+    ).drop("_cut_0", "_cut_1")
 
 
 def group_split(df: DataFrame, group: str, validation: int = 20, seed: int = 42) -> DataFrame:

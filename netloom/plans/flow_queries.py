@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.operators import features as feat
@@ -132,6 +134,11 @@ FROM st WHERE rn > 0 AND NOT dropped GROUP BY flow_seq""")(
         lambda packets, c=_config: flow_instances(packets, c))
 
 
+query("flow_snapshots_hot", "packets", sql=f"""{fold_sql(LIVE)}
+SELECT flow_seq, last_seq, reason FROM snap""")(
+    lambda packets: feat.snapshots(packets, replace(LIVE, hot_rows=50, slice_rows=4_000)).select("flow_seq", "last_seq", "reason"))
+
+
 def flow_instances(packets: DataFrame, config: FlowConfig) -> DataFrame:
     """One row per flow; ``after_expiry``: its key's previous flow was still open and expired."""
     rows = flow_packets(packets, config)
