@@ -8,20 +8,23 @@ draws, at the cost of about one pass over the set plus ``size * log(size)`` step
 
 Sets that share a band are candidates. `classes` compares them without listing all pairs of a bucket:
 first each with the smallest and the largest member; what that links becomes one component. Within a
-bucket only members of different components can still matter. Their pairs are not listed either: an exact
-prefix filter (`prefix_pairs`) gives those that can reach the threshold at all, and these are compared.
-So no link between sets that share a band is lost.
+bucket only members of different components can still matter. Their pairs are not listed either: each is
+compared with the majority of its group, and its difference tells with whom it can be linked at all
+(`differences`, `candidates`). So no link between sets that share a band is lost, and a group of copies that
+lie just below the threshold costs some combinations of its differences for each member.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, combinations
+from math import comb
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from netloom.llm.common import map_batches
 from netloom.llm.components import components
 from netloom.session import cut_lineage
 
@@ -160,41 +163,117 @@ def classes(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     # What is left: members of one bucket in different components.
     own = members.select("key", "node").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-    open_nodes = cut_lineage(own.join(mixed, "key").select("node", "component").distinct())
-    rest = cut_lineage(prefix_pairs(open_nodes, sets, percent))
+    mixed = own.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("node").alias("first")).where(
+        "c < d").select("key", "first")
+    met = cut_lineage(own.join(mixed, "key").select("node", "component", "first").distinct())
+    if met.isEmpty():
+        return labels
+    groups = components(met.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "group")
+    rest = cut_lineage(candidates(met.select("node", "component").distinct().join(groups, "node"), sets, percent))
     more = cut_lineage(verified(rest, sets, percent).where(linked).select("a", "b"))
     if more.isEmpty():
         return labels
     return components(first.unionByName(more))
 
 
-def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every pair of nodes of different components that may reach the threshold, found exactly.
+#: Combinations of difference elements that a set gives at most: of the size it needs, of all sizes; elements in one.
+MOST_COMBINATIONS, MOST_OF_ALL, MOST_SHARED = 500, 500, 6
+
+
+def differences(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """group, node, component, excess, size, shared, and of the group: least, greatest, open_least; each set against the majority.
 
-    Elements are ordered by how many of the sets have them, rare ones first. Two sets at the threshold share
-    an element within the first ``size - percent * size`` places, and no more than that many places may lie
-    before the first common element; elements of one set alone take places without being joined. An element's
-    sets meet only across components: those outside its most frequent component, with all of it. Where both
-    sets have the same element before this one, they have met there already.
+    The hub of a group is what more than half of its sets have. A set's difference D is what it has and the hub
+    has not, or the other way round; so |A xor B| = |Da xor Db|, and with c = (100 - percent) / (100 + percent)
+    sets are linked exactly if |Da| - c |A| + |Db| - c |B| <= 2 |Da and Db|. The excess is |D| - c |A|, times
+    100 + percent; ``least`` and ``greatest`` are the group's. A set is settled if it is linked with the one of the
+    least excess for certain; ``open_least`` is the least excess of those that are not (NULL: all are). ``shared``
+    are the elements of D that other differences of the group have, too, rare ones first.
+    """
+    given = cut_lineage(nodes.join(sets, "node"))
+    sizes = given.groupBy("group").agg(F.count("*").alias("sets"))
+    hubs = (given.select("group", F.explode("set").alias("x")).groupBy("group", "x").agg(F.count("*").alias("n"))
+            .join(sizes, "group").where("2 * n > sets").groupBy("group").agg(F.collect_list("x").alias("hub")))  # twice a set at most
+    hub = F.coalesce("hub", F.array().cast("array<bigint>"))
+    other = F.concat(F.array_except("set", hub), F.array_except(hub, "set"))
+    found = given.join(hubs, "group", "left").select("group", "node", "component", F.size("set").alias("own"), other.alias("d"))
+    found = cut_lineage(found.withColumn("excess", ((100 + percent) * F.size("d") - (100 - percent) * F.col("own")).cast("bigint")))
+    each = found.select("group", "node", F.explode("d").alias("x"))
+    common = each.groupBy("group", "x").agg(F.count("*").alias("n")).where("n > 1")
+    shared = each.join(common, ["group", "x"]).groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct("n", "x"))).alias("shared"))                   # a difference at most
+    ends = found.groupBy("group").agg(F.min("excess").alias("least"), F.max("excess").alias("greatest"))
+    open_ = found.join(ends, "group").where("excess + least > 0").groupBy("group").agg(F.min("excess").alias("open_least"))
+    return (found.join(ends.join(open_, "group", "left"), "group").join(shared, "node", "left").select(
+        "group", "node", "component", "excess", "least", "greatest", "open_least", F.size("d").alias("size"),
+        F.coalesce(F.transform("shared", lambda e: e["x"]), F.array().cast("array<bigint>")).alias("shared")))
+
+
+def levels(size: int, shared: int, need: int, top: int) -> tuple[list[int], int, int]:
+    """Elements from which combinations of k = 1, 2, ... are made, and the smallest and largest k that are given.
+
+    With at least ``need`` elements in common, two sets share k among their first size - need + k ones. ``need`` to
+    ``top`` is what partners may ask for; fewer are given where combinations would be too many.
+    """
+    parts = [max(size - max(need, k) + k - (size - shared), 0) for k in range(MOST_SHARED + 1)]
+    low = high = max(k for k in range(1, min(need, MOST_SHARED) + 1) if k == 1 or comb(parts[k], k) <= MOST_COMBINATIONS)
+    total = comb(parts[low], low)
+    while low == need and high < min(top, MOST_SHARED) and (total := total + comb(parts[high + 1], high + 1)) <= MOST_OF_ALL:
+        high += 1
+    return parts, low, high
+
+
+def _combinations(percent: int):
+    """Rows (k, combination, node, component, excess, low, high, settled) of a set's difference: k is 0, 1 and low to high."""
+    def start():
+        unit = 2 * (100 + percent)
+
+        def batch(groups, nodes, components_, excesses, leasts, greatests, opens, sizes, shares):
+            out: list[list] = [[] for _ in range(8)]
+            for group, node, component, excess, least, greatest, open_least, size, shared in zip(
+                    groups, nodes, components_, excesses, leasts, greatests, opens, sizes, shares):
+                settled = excess + least <= 0
+                given = [(0, ())]
+                low = high = 1
+                if open_least is not None:       # partners of a settled set are open ones, of an open set any
+                    need = max(1, -(-(excess + (open_least if settled else least)) // unit))
+                    parts, low, high = levels(size, len(shared), need, -(-(excess + greatest) // unit))
+                    given += [(k, c) for k in sorted({1, *range(low, high + 1)}) for c in combinations(shared[:parts[k]], k)]
+                for k, elements in given:
+                    key = xxhash.xxh64_intdigest(np.array([group, *sorted(elements)], np.int64).tobytes()) - (1 << 63)
+                    for column, value in zip(out, (k, key, node, component, excess, low, high, settled)):
+                        column.append(value)
+            return out
+        return batch
+    return start
+
+
+def candidates(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a group whose comparison settles which of its sets are linked, few for each set.
+
+    Sets that share k difference elements for certain, and whose excesses do not ask for more, are linked: in the
+    sets of a combination everyone whom that holds for with anyone, it holds for with the one of the smallest
+    excess, so one star of the combination connects them. Pairs are listed only where more is asked for than the
+    longest combinations that both give, or where they give none of one length but single elements.
     """
-    elements = nodes.join(sets, "node").select("node", "component", F.size("set").alias("size"), F.explode("set").alias("x"))
-    common = (elements.groupBy("x").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d"))
-              .where("n > 1").select("x", "n", (F.col("c") < F.col("d")).alias("meets")))
-    by_node = Window.partitionBy("node")
-    placed = (elements.join(common, "x")
-              .withColumn("place", F.col("size") - F.count("*").over(by_node)
-                          + F.row_number().over(by_node.orderBy("n", "x")) - 1)
-              .withColumn("previous", F.lag("x").over(by_node.orderBy("n", "x")))
-              .where("meets").where(100 * F.col("place") <= (100 - percent) * F.col("size"))
-              .select("x", "previous", "node", "component", "size", "place"))
-    placed = cut_lineage(placed)
-    most = (placed.groupBy("x", "component").agg(F.count("*").alias("n")).groupBy("x")
-            .agg(F.max(F.struct("n", "component"))["component"].alias("most")))
-    a = placed.join(most, "x").where("component <> most").alias("a")
-    b = placed.alias("b")
-    left = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
-    new = F.coalesce(F.col("a.previous") != F.col("b.previous"), F.lit(True))
-    return (a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.component") != F.col("b.component")) & new
-                   & ((100 + percent) * left >= percent * (F.col("a.size") + F.col("b.size"))))
-            .select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct())
+    rows = map_batches(differences(nodes, sets, percent),
+                       "k int, combination bigint, node bigint, component bigint, excess bigint, low int, high int, settled boolean",
+                       _combinations(percent))
+    rows = cut_lineage(rows)
+    unit = 2 * (100 + percent) * F.col("k")
+    centre = rows.groupBy("k", "combination").agg(
+        F.min(F.struct("excess", "node", "component")).alias("centre"), F.min("component").alias("c"), F.max("component").alias("d"),
+        F.max("low").alias("longest"), F.bool_and("settled").alias("done")).where("c < d")
+    met = cut_lineage(rows.join(centre, ["k", "combination"]))
+    stars = met.where((F.col("excess") + F.col("centre.excess") <= unit) & (F.col("component") != F.col("centre.component"))).select(
+        F.col("node").alias("p"), F.col("centre.node").alias("q"))
+    # one of a listed pair gives no longer combinations than this one, or none that the other gives
+    asking = met.where("k > 0 and not done")
+    a, b = asking.where("k = high or k = 1 and high < longest").alias("a"), asking.alias("b")
+    length, least = F.least("a.high", "b.high"), F.greatest("a.low", "b.low")
+    listed = a.join(b, (F.col("a.combination") == F.col("b.combination")) & (F.col("a.k") == F.col("b.k"))
+                    & (F.col("a.component") != F.col("b.component")) & ~(F.col("a.settled") & F.col("b.settled"))
+                    & (F.col("a.k") == F.when(length >= least, length).otherwise(1))
+                    & (F.col("a.excess") + F.col("b.excess") > 2 * (100 + percent) * F.col("a.k"))).select(
+        F.col("a.node").alias("p"), F.col("b.node").alias("q"))
+    return stars.unionByName(listed).select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
