@@ -10,21 +10,19 @@ Sets that share a band are candidates. `classes` compares them without listing a
 first each with the smallest and the largest member; what that links becomes one component. Within a
 bucket only members of different components can still matter. Their pairs are not listed either: each is
 compared with the majority of its group, and its difference tells with whom it can be linked at all
-(`differences`, `candidates`). So no link between sets that share a band is lost, and a group of copies that
-lie just below the threshold costs some combinations of its differences for each member.
+(`differences`, `candidates`). So no link between sets that share a band is lost, and copies that lie just
+below the threshold meet, if at all, in the rare elements of their differences, where counts decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain, combinations
-from math import comb
+from itertools import chain
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm.common import map_batches
 from netloom.llm.components import components
 from netloom.session import cut_lineage
 
@@ -176,10 +174,6 @@ def classes(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     return components(first.unionByName(more))
 
 
-#: Combinations of difference elements that a set gives at most: of the size it needs, of all sizes; elements in one.
-MOST_COMBINATIONS, MOST_OF_ALL, MOST_SHARED = 500, 500, 6
-
-
 def differences(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """group, node, component, excess, size, shared, and of the group: least, greatest, open_least; each set against the majority.
 
@@ -209,71 +203,31 @@ def differences(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.coalesce(F.transform("shared", lambda e: e["x"]), F.array().cast("array<bigint>")).alias("shared")))
 
 
-def levels(size: int, shared: int, need: int, top: int) -> tuple[list[int], int, int]:
-    """Elements from which combinations of k = 1, 2, ... are made, and the smallest and largest k that are given.
-
-    With at least ``need`` elements in common, two sets share k among their first size - need + k ones. ``need`` to
-    ``top`` is what partners may ask for; fewer are given where combinations would be too many.
-    """
-    parts = [max(size - max(need, k) + k - (size - shared), 0) for k in range(MOST_SHARED + 1)]
-    low = high = max(k for k in range(1, min(need, MOST_SHARED) + 1) if k == 1 or comb(parts[k], k) <= MOST_COMBINATIONS)
-    total = comb(parts[low], low)
-    while low == need and high < min(top, MOST_SHARED) and (total := total + comb(parts[high + 1], high + 1)) <= MOST_OF_ALL:
-        high += 1
-    return parts, low, high
-
-
-def _combinations(percent: int):
-    """Rows (k, combination, node, component, excess, low, high, settled) of a set's difference: k is 0, 1 and low to high."""
-    def start():
-        unit = 2 * (100 + percent)
-
-        def batch(groups, nodes, components_, excesses, leasts, greatests, opens, sizes, shares):
-            out: list[list] = [[] for _ in range(8)]
-            for group, node, component, excess, least, greatest, open_least, size, shared in zip(
-                    groups, nodes, components_, excesses, leasts, greatests, opens, sizes, shares):
-                settled = excess + least <= 0
-                given = [(0, ())]
-                low = high = 1
-                if open_least is not None:       # partners of a settled set are open ones, of an open set any
-                    need = max(1, -(-(excess + (open_least if settled else least)) // unit))
-                    parts, low, high = levels(size, len(shared), need, -(-(excess + greatest) // unit))
-                    given += [(k, c) for k in sorted({1, *range(low, high + 1)}) for c in combinations(shared[:parts[k]], k)]
-                for k, elements in given:
-                    key = xxhash.xxh64_intdigest(np.array([group, *sorted(elements)], np.int64).tobytes()) - (1 << 63)
-                    for column, value in zip(out, (k, key, node, component, excess, low, high, settled)):
-                        column.append(value)
-            return out
-        return batch
-    return start
-
-
 def candidates(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a group whose comparison settles which of its sets are linked, few for each set.
+    """(a, b): comparisons that settle which sets of a group are linked; beside one for each set, links only.
 
-    Sets that share k difference elements for certain, and whose excesses do not ask for more, are linked: in the
-    sets of a combination everyone whom that holds for with anyone, it holds for with the one of the smallest
-    excess, so one star of the combination connects them. Pairs are listed only where more is asked for than the
-    longest combinations that both give, or where they give none of one length but single elements.
+    Whom any partner without a common difference element would link, the set of the least excess links: a star.
+    Others must share as many difference elements as half their excesses ask for, so at least ``need`` of their
+    own, and one among the first m - need + 1 of their m shared ones. There they meet, and go on only if what lies
+    behind that place can suffice and if the elements they share do, counted at the first of them.
     """
-    rows = map_batches(differences(nodes, sets, percent),
-                       "k int, combination bigint, node bigint, component bigint, excess bigint, low int, high int, settled boolean",
-                       _combinations(percent))
-    rows = cut_lineage(rows)
-    unit = 2 * (100 + percent) * F.col("k")
-    centre = rows.groupBy("k", "combination").agg(
-        F.min(F.struct("excess", "node", "component")).alias("centre"), F.min("component").alias("c"), F.max("component").alias("d"),
-        F.max("low").alias("longest"), F.bool_and("settled").alias("done")).where("c < d")
-    met = cut_lineage(rows.join(centre, ["k", "combination"]))
-    stars = met.where((F.col("excess") + F.col("centre.excess") <= unit) & (F.col("component") != F.col("centre.component"))).select(
+    unit = 2 * (100 + percent)
+    found = cut_lineage(differences(nodes, sets, percent).withColumn("settled", F.col("excess") + F.col("least") <= 0))
+    centre = found.groupBy("group").agg(F.min(F.struct("excess", "node", "component")).alias("centre"))
+    stars = found.where("settled").join(centre, "group").where(F.col("component") != F.col("centre.component")).select(
         F.col("node").alias("p"), F.col("centre.node").alias("q"))
-    # one of a listed pair gives no longer combinations than this one, or none that the other gives
-    asking = met.where("k > 0 and not done")
-    a, b = asking.where("k = high or k = 1 and high < longest").alias("a"), asking.alias("b")
-    length, least = F.least("a.high", "b.high"), F.greatest("a.low", "b.low")
-    listed = a.join(b, (F.col("a.combination") == F.col("b.combination")) & (F.col("a.k") == F.col("b.k"))
-                    & (F.col("a.component") != F.col("b.component")) & ~(F.col("a.settled") & F.col("b.settled"))
-                    & (F.col("a.k") == F.when(length >= least, length).otherwise(1))
-                    & (F.col("a.excess") + F.col("b.excess") > 2 * (100 + percent) * F.col("a.k"))).select(
+    # partners of a settled set are open ones, of an open set any
+    asked = F.col("excess") + F.when(F.col("settled"), F.col("open_least")).otherwise(F.col("least"))
+    some = found.withColumn("need", F.greatest(F.lit(1), F.ceil(asked / unit)).cast("int")).where(
+        (F.col("need") <= F.size("shared")) & F.col("open_least").isNotNull())
+    places = cut_lineage(some.select("group", "node", "component", "excess", "settled", "shared", F.posexplode(
+        F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("place", "x")).withColumn(
+        "left", F.size("shared") - F.col("place")))
+    a, b = places.where("not settled").alias("a"), places.alias("b")
+    asks, common = F.col("a.excess") + F.col("b.excess"), F.array_intersect("a.shared", "b.shared")
+    listed = a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.x") == F.col("b.x"))
+                    & (F.col("a.component") != F.col("b.component")) & (F.col("b.settled") | (F.col("a.node") < F.col("b.node")))
+                    & (asks <= unit * F.least("a.left", "b.left"))
+                    & (asks <= unit * F.size(common)) & (F.get(common, F.lit(0)) == F.col("a.x"))).select(
         F.col("a.node").alias("p"), F.col("b.node").alias("q"))
     return stars.unionByName(listed).select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()

@@ -50,7 +50,7 @@ def test_candidates_connect_what_is_linked(spark, percent, edits):
 
 
 def test_work_follows_the_group(spark):
-    """Four times the copies just below the threshold: no more candidates for each."""
+    """Four times the copies just below the threshold: no more pairs for each."""
     rng = random.Random(11)
     texts = copies(rng, 1200, 150, [3])
     few, *_ = joined(spark, texts[:300], 85)
