@@ -177,6 +177,12 @@ def profile_violations(profiles: DataFrame) -> DataFrame:
     rules.append(("mode syntax", ~mode.rlike(MODE_PATTERN)))
     rules.append(("class label", ~F.coalesce(F.col("class_label").isin(SOURCE_CLASSES), F.lit(False))))
     rules.append(("scenario label", ~F.coalesce(F.col("scenario_label").startswith("lab-"), F.lit(False))))
+    if "reference_label" in profiles.columns:        # JSON text: a string, null or absent
+        label = F.col("reference_label")
+        rules.append(("reference label", label.isNotNull() & (label != "null") & ~label.startswith('"')))
+    # numbers that JSON cannot hold arrive as these words
+    rules.append(("non-finite parameter", F.coalesce(F.exists(
+        F.map_values(p), lambda value: F.coalesce(value.rlike(r'^"?-?(NaN|Infinity)"?\z'), F.lit(False))), F.lit(False))))
     for name, top in (("max_seconds", MAX_SECONDS), ("max_actions", MAX_ACTIONS),
                       ("max_outbound_bytes", MAX_OUTBOUND_BYTES)):
         rules.append((name, ~F.coalesce(whole(F.col(name)).between(1, top), F.lit(False))))

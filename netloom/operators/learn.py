@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -99,6 +103,276 @@ def network_probabilities(df: DataFrame, features: list[str], layers: list[tuple
     return df.withColumn(output, forward(F.array(*[F.col(f"`{f}`").cast("double") for f in features])))
 
 
+class Layer(NamedTuple):
+    """A node of a layer graph: ``kind`` is input, dense, norm, relu, add or softmax.
+
+    Weights of dense: matrix (inputs x units) and bias or None; of norm: gamma, beta, mean, variance, epsilon.
+    """
+
+    name: str
+    kind: str
+    inputs: tuple[str, ...] = ()
+    weights: tuple = ()
+
+
+def residual_graph(weights: dict[str, tuple], blocks: tuple[str, ...] = ("residual_block_1", "residual_block_2")) -> list[Layer]:
+    """The residual network of stage 2 from its layers' weights by name; dropout does nothing when scoring.
+
+    A block is dense, norm, relu, dense, norm, added to its input (or to a projection of it), then relu.
+    """
+    out = [Layer("flow_features", "input"), Layer("input_dense", "dense", ("flow_features",), weights["input_dense"]),
+           Layer("input_batch_norm", "norm", ("input_dense",), weights["input_batch_norm"]), Layer("input_relu", "relu", ("input_batch_norm",))]
+    for block in blocks:
+        last = start = out[-1].name
+        for n in (1, 2):
+            dense, norm = f"{block}_dense_{n}", f"{block}_batch_norm_{n}"
+            out += [Layer(dense, "dense", (last,), weights[dense]), Layer(norm, "norm", (dense,), weights[norm])]
+            last = norm
+            if n == 1:
+                out.append(Layer(f"{block}_relu_1", "relu", (norm,)))
+                last = out[-1].name
+        if f"{block}_projection" in weights:
+            out.append(Layer(f"{block}_projection", "dense", (start,), (weights[f"{block}_projection"][0], None)))
+            start = out[-1].name
+        out += [Layer(f"{block}_add", "add", (last, start)), Layer(f"{block}_relu_2", "relu", (f"{block}_add",))]
+    return out + [Layer("classification_dense", "dense", (out[-1].name,), weights["classification_dense"]),
+                  Layer("classification_relu", "relu", ("classification_dense",)),
+                  Layer("attack_class", "dense", ("classification_relu",), weights["attack_class"]),
+                  Layer("probabilities", "softmax", ("attack_class",))]
+
+
+def folded(graph: list[Layer]) -> list[Layer]:
+    """The same function without norms: one that alone reads a dense layer becomes part of its weights."""
+    readers: dict[str, int] = {}
+    for layer in graph:
+        for name in layer.inputs:
+            readers[name] = readers.get(name, 0) + 1
+    made, out = {}, []
+    for layer in graph:
+        before = made.get(layer.inputs[0]) if layer.inputs else None
+        if layer.kind == "norm" and before is not None and before.kind == "dense" and readers[before.name] == 1:
+            gamma, beta, mean, variance, epsilon = layer.weights
+            scale = np.asarray(gamma) / np.sqrt(np.asarray(variance) + epsilon)
+            matrix, bias = before.weights
+            out.remove(before)
+            layer = Layer(layer.name, "dense", before.inputs,
+                          (np.asarray(matrix) * scale, ((0.0 if bias is None else np.asarray(bias)) - np.asarray(mean)) * scale + np.asarray(beta)))
+        made[layer.name] = layer
+        out.append(layer)
+    return out
+
+
+def evaluated(graph: list[Layer], x: np.ndarray) -> np.ndarray:
+    """The last layer's values for the rows of ``x``."""
+    values: dict[str, np.ndarray] = {}
+    for layer in graph:
+        given = [values[name] for name in layer.inputs]
+        if layer.kind == "input":
+            y = x
+        elif layer.kind == "dense":
+            y = given[0] @ layer.weights[0] + (0.0 if layer.weights[1] is None else layer.weights[1])
+        elif layer.kind == "norm":
+            gamma, beta, mean, variance, epsilon = layer.weights
+            y = (given[0] - mean) / np.sqrt(np.asarray(variance) + epsilon) * gamma + beta
+        elif layer.kind == "relu":
+            y = np.maximum(given[0], 0.0)
+        elif layer.kind == "add":
+            y = sum(given)
+        elif layer.kind == "softmax":
+            y = np.exp(given[0] - given[0].max(axis=1, keepdims=True))
+            y = y / y.sum(axis=1, keepdims=True)
+        else:
+            raise ValueError(f"no such layer: {layer.kind}")
+        values[layer.name] = y
+    return values[graph[-1].name]
+
+
+def graph_probabilities(df: DataFrame, features: list[str], graph: list[Layer], output: str = "probabilities") -> DataFrame:
+    """Probabilities of a network of branches and sums, Arrow batch by batch; its folded weights are broadcast once.
+
+    Rows with a NULL feature get NULL, for the caller's error table.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(folded(graph))
+
+    @F.pandas_udf("array<double>")
+    def forward(rows: pd.Series) -> pd.Series:
+        return pd.Series(list(evaluated(shared.value, np.stack(rows.to_numpy()).astype(float))))
+
+    numbers = [F.col(f"`{f}`").cast("double") for f in features]
+    whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in numbers])
+    given = F.array(*[F.coalesce(c, F.lit(0.0)) for c in numbers])
+    return df.withColumn(output, F.when(whole, forward(given)))
+
+
+# ---- training a network on all executors ----------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Training:
+    """Settings of `train_network`; steps go over all training rows."""
+
+    hidden: tuple[int, ...] = (64, 32)
+    steps: int = 200
+    rate: float = 0.02
+    least_rate: float = 1e-6
+    focal_gamma: float | None = None      # None: cross-entropy
+    l2: float = 1e-5
+    evaluate_every: int = 5
+    patience: int = 8                     # evaluations without gain before it stops,
+    rate_patience: int = 3                # and before the rate is halved
+    seed: int = 42
+
+
+def _layers(training: Training, inputs: int, classes: int) -> list[np.ndarray]:
+    """He-normal weights and zero biases, as one list: matrix, bias, matrix, bias, ..."""
+    rng, sizes, out = np.random.default_rng(training.seed), [inputs, *training.hidden, classes], []
+    for a, b in zip(sizes[:-1], sizes[1:]):
+        out += [rng.normal(0.0, np.sqrt(2.0 / a), (a, b)), np.zeros(b)]
+    return out
+
+
+def _forward(x: np.ndarray, weights: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Values of every layer, and probabilities."""
+    values = [x]
+    for n in range(0, len(weights), 2):
+        z = values[-1] @ weights[n] + weights[n + 1]
+        values.append(np.maximum(z, 0.0) if n < len(weights) - 2 else z)
+    p = np.exp(values[-1] - values[-1].max(axis=1, keepdims=True))
+    return values, p / p.sum(axis=1, keepdims=True)
+
+
+def gradients(x: np.ndarray, y: np.ndarray, w: np.ndarray, weights: list[np.ndarray], gamma: float | None) -> tuple[float, list[np.ndarray]]:
+    """Weighted loss of some rows and its gradient; focal loss weighs a row by (1 - p) ** gamma."""
+    values, p = _forward(x, weights)
+    rows, right = np.arange(len(y)), np.clip(p[np.arange(len(y)), y], 1e-12, 1.0)
+    loss, slope = -np.log(right), np.ones(len(y))
+    if gamma is not None:
+        away = 1.0 - right
+        slope = away ** gamma - gamma * away ** np.maximum(gamma - 1.0, 0.0) * right * np.log(right)
+        loss = away ** gamma * loss
+    delta = p.copy()
+    delta[rows, y] -= 1.0
+    delta *= (slope * w)[:, None]
+    out: list[np.ndarray] = []
+    for n in range(len(weights) - 2, -1, -2):
+        out[:0] = [values[n // 2].T @ delta, delta.sum(axis=0)]
+        if n:
+            delta = (delta @ weights[n].T) * (values[n // 2] > 0)
+    return float((loss * w).sum()), out
+
+
+def _arrays(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.stack(batch.column("x").to_numpy(zero_copy_only=False))
+    return x, batch.column("y").to_numpy(), batch.column("w").to_numpy()
+
+
+def _summed(rows: DataFrame, weights, gamma: float | None, groups: int) -> tuple[float, float, np.ndarray]:
+    """Loss, weight and gradient of all rows: a task adds up its batches, groups of tasks add up theirs."""
+    def task(batches):
+        total, mass, flat = 0.0, 0.0, None
+        for batch in batches:
+            if batch.num_rows:
+                x, y, w = _arrays(batch)
+                loss, grads = gradients(x, y, w, weights.value, gamma)
+                part = np.concatenate([g.ravel() for g in grads])
+                total, mass, flat = total + loss, mass + float(w.sum()), part if flat is None else flat + part
+        if flat is not None:
+            yield pa.RecordBatch.from_pydict({"loss": [total], "mass": [mass], "gradient": [flat.tobytes()]})
+
+    def tree(key, pdf):
+        return pd.DataFrame({"loss": [pdf["loss"].sum()], "mass": [pdf["mass"].sum()],
+                             "gradient": [sum(np.frombuffer(g) for g in pdf["gradient"]).tobytes()]})
+
+    schema = "loss double, mass double, gradient binary"
+    parts = rows.mapInArrow(task, schema)
+    if groups > 1:
+        parts = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("g")).applyInPandas(tree, schema)
+    found = parts.collect()              # a row for each group (or each of few tasks), as large as the network
+    return sum(r["loss"] for r in found), sum(r["mass"] for r in found), sum(np.frombuffer(r["gradient"]) for r in found)
+
+
+def _confusion(rows: DataFrame, weights) -> list:
+    """(domain, truth, predicted, rows), counted."""
+    def task(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y, _ = _arrays(batch)
+                yield pa.RecordBatch.from_pydict({"domain": batch.column("domain"), "truth": y,
+                                                  "predicted": _forward(x, weights.value)[1].argmax(axis=1)})
+    return rows.mapInArrow(task, "domain string, truth bigint, predicted bigint").groupBy(
+        "domain", "truth", "predicted").count().collect()
+
+
+def _weakest_f1(counts: list) -> float:
+    """The smaller macro F1 of the domains, over the classes a domain has."""
+    scores = []
+    for domain in {r["domain"] for r in counts}:
+        own = [r for r in counts if r["domain"] == domain]
+        f1 = []
+        for label in {r["truth"] for r in own}:
+            hit = sum(r["count"] for r in own if r["truth"] == label == r["predicted"])
+            all_ = sum(r["count"] * ((r["truth"] == label) + (r["predicted"] == label)) for r in own)
+            f1.append(2 * hit / all_)
+        scores.append(sum(f1) / len(f1))
+    return min(scores, default=0.0)
+
+
+def train_network(train: DataFrame, validation: DataFrame, features: list[str], index: str, classes: int, weight: str | None = None,
+                  domain: str | None = None, training: Training = Training()) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[dict]]:
+    """Layers of a dense network (for `network_probabilities`) and the history of its training.
+
+    A step is one pass over the training rows: tasks add up gradients of their Arrow batches, which are summed in a
+    tree, and the driver takes one Adam step of the size of the network. Rows count by class weight times ``weight``;
+    none is repeated. Training is judged on the smaller macro F1 of the validation domains: without gain the rate is
+    halved, then training stops, and the best weights are kept.
+    """
+    spark = train.sparkSession
+    weights_of = {r[index]: r["weight"] for r in prep.class_weights(train, index).collect()}   # one row per class
+    each = F.lit(1.0)
+    for label, value in weights_of.items():
+        each = F.when(F.col(index) == label, value).otherwise(each)
+
+    def prepared(df: DataFrame) -> DataFrame:
+        return cut_lineage(df.select(
+            F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("x"), F.col(index).cast("bigint").alias("y"),
+            (each * (F.col(weight) if weight else F.lit(1.0))).cast("double").alias("w"),
+            (F.col(domain).cast("string") if domain else F.lit("all")).alias("domain")))
+
+    rows, held = prepared(train), prepared(validation)
+    tasks = rows.rdd.getNumPartitions()
+    groups = int(np.sqrt(tasks)) if tasks > 64 else 1
+    weights = _layers(training, len(features), classes)
+    shapes = [w.shape for w in weights]
+    moment, square = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
+    rate, best, kept, history, since, since_rate = training.rate, -1.0, weights, [], 0, 0
+    for step in range(1, training.steps + 1):
+        shared = spark.sparkContext.broadcast(weights)
+        loss, mass, flat = _summed(rows, shared, training.focal_gamma, groups)
+        cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+        grads = [g.reshape(s) / mass + (training.l2 * w if w.ndim == 2 else 0.0)
+                 for g, s, w in zip(np.split(flat, cuts), shapes, weights)]
+        moment = [0.9 * m + 0.1 * g for m, g in zip(moment, grads)]
+        square = [0.999 * v + 0.001 * g * g for v, g in zip(square, grads)]
+        weights = [w - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-7)
+                   for w, m, v in zip(weights, moment, square)]
+        shared.unpersist()
+        if step % training.evaluate_every and step < training.steps:
+            continue
+        shared = spark.sparkContext.broadcast(weights)
+        score = _weakest_f1(_confusion(held, shared))
+        shared.unpersist()
+        history.append({"step": step, "loss": loss / mass, "macro_f1": score, "rate": rate})
+        if score > best:
+            best, kept, since, since_rate = score, weights, 0, 0
+            continue
+        since, since_rate = since + 1, since_rate + 1
+        if since_rate >= training.rate_patience:
+            rate, since_rate = max(rate / 2, training.least_rate), 0
+        if since >= training.patience:
+            break
+    return list(zip(kept[::2], kept[1::2])), history
+
+
 def cascade(df: DataFrame, stage1: PipelineModel, stage2: PipelineModel, bounds: dict, stats: dict,
             classes: int, gate: float = K.STAGE1_THRESHOLD) -> DataFrame:
     """Only rows above the gate reach stage 2; the others get no probabilities.

@@ -18,6 +18,12 @@ from netloom.session import cut_lineage
 
 # ---- schema checks and labels -------------------------------------------------
 
+def missing_columns(schemas: DataFrame, names: list[str]) -> DataFrame:
+    """(dataset, column) for every required column that a listed dataset lacks; ``schemas``: dataset, columns."""
+    lacking = F.array_except(F.array(*map(F.lit, names)), "columns")
+    return schemas.select("dataset", F.explode(lacking).alias("column"))
+
+
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     missing = [name for name in names if name not in df.columns]
     if missing:

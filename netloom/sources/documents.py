@@ -25,7 +25,7 @@ MANIFEST = _struct(
     estimated_outbound_bytes=LongType(), application_response_bytes=LongType(), header_pad_bytes=LongType(),
     limits=LIMITS, events=ArrayType(EVENT), errors=ArrayType(StringType()))
 # Limits and parameters of any JSON type; the reader turns them into their JSON text.
-PROFILE = _struct(class_label=StringType(), reference_label=StringType(), scenario_label=StringType(),
+PROFILE = _struct(class_label=StringType(), reference_label=VariantType(), scenario_label=StringType(),
                   max_seconds=VariantType(), max_actions=VariantType(), max_outbound_bytes=VariantType(),
                   parameters=MapType(StringType(), VariantType()))
 PROFILES = _struct(schema_version=LongType(), profiles=MapType(StringType(), PROFILE))
@@ -61,7 +61,7 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
         F.raise_error(F.lit("unsupported campaign profile schema")).cast(raw.schema["profiles"].dataType)))
     rows = checked.select(F.explode("profiles").alias("mode", "p")).select("mode", "p.*")
     return rows.withColumns({
-        **{name: F.to_json(name) for name in ("max_seconds", "max_actions", "max_outbound_bytes")},
+        **{name: F.to_json(name) for name in ("max_seconds", "max_actions", "max_outbound_bytes", "reference_label")},
         "parameters": F.transform_values("parameters", lambda _, value: F.to_json(value))})
 
 
@@ -85,6 +85,27 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+def write_metrics(overall: DataFrame, binary: DataFrame, path: str) -> None:
+    """The metrics document of an evaluation: one row of overall scores, with the binary attack scores nested in it."""
+    nested = binary.select(F.struct(*binary.columns).alias("binary_attack_vs_benign"), F.lit(1).alias("_one"))
+    overall.withColumn("_one", F.lit(1)).join(nested, "_one").drop("_one").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_profile(dataset: DataFrame, columns: DataFrame, infinities: DataFrame, path: str) -> None:
+    """The inspection document of a dataset: its shape, and the columns with NULLs and with infinities, by name.
+
+    ``columns``: column, dtype, null_count (`column_profile`); ``infinities``: column, infinities (`infinity_counts`).
+    Both have a row for each column, so the document is as long as the schema.
+    """
+    pairs = lambda df, count: df.where(F.col(count) > 0).agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("column", count)))).alias("m"), F.lit(1).alias("_one"))
+    shape = dataset.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(dataset.columns)).alias("columns"), F.lit(1).alias("_one"))
+    types = columns.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", "dtype")))).alias("dtypes"), F.lit(1).alias("_one"))
+    nulls = pairs(columns, "null_count").withColumnRenamed("m", "columns_with_nulls")
+    endless = pairs(infinities, "infinities").withColumnRenamed("m", "columns_with_infinities")
+    shape.join(types, "_one").join(nulls, "_one").join(endless, "_one").drop("_one").coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_splits(df: DataFrame, path: str) -> None:
     """Exact rows per split, kept for later evaluation."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)

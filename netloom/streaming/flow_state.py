@@ -8,6 +8,7 @@ same feature formulas.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,16 +25,14 @@ _FLOW_LONGS = ["flow_seq", "first_ts", "first_side", "first_len", "first_win", "
                "emitted", "pending", "mark", "seen", "last_any", "last_0", "last_1", "active_from"]
 _KEY_LONGS = ["arm_0", "arm_1"]
 _SUMS = [name for name in ACCUMULATORS if name not in DECIMAL_SUMS]
-STATE_SCHEMA = ", ".join(
-    [f"{name} bigint" for name in [*_KEY_LONGS, *_FLOW_LONGS, *_SUMS]]
-    + [f"{name} string" for name in DECIMAL_SUMS] + ["sample binary"])
-_STATE_NAMES = [*_KEY_LONGS, *_FLOW_LONGS, *_SUMS, *DECIMAL_SUMS, "sample"]
-_OUT_LONGS = ["flow_seq", "first_ts", "first_side", "first_len", "first_win", "first_psh", *_SUMS]
-OUTPUT_SCHEMA = (
-    "lo_ip string, lo_port bigint, hi_ip string, hi_port bigint, protocol string, emit int, "
-    + ", ".join([f"{name} bigint" for name in _OUT_LONGS] + [f"{name} string" for name in DECIMAL_SUMS])
-    + ", sample binary")
-_OUT_NAMES = [*KEY, "emit", *_OUT_LONGS, *DECIMAL_SUMS, "sample"]
+STATE_LONGS = [*_KEY_LONGS, *_FLOW_LONGS, *_SUMS]
+OUT_LONGS = ["flow_seq", "first_ts", "first_side", "first_len", "first_win", "first_psh", *_SUMS]
+# Numbers travel as arrays: a key's rows and state are a few columns then, whatever is accumulated.
+STATE_SCHEMA = "longs array<bigint>, squares array<string>, sample binary"
+OUTPUT_SCHEMA = ("lo_ip string, lo_port bigint, hi_ip string, hi_port bigint, protocol string, emit int, "
+                 "longs array<bigint>, squares array<string>, sample binary")
+PACKET = ["seq", "ts_us", "side", "self_connection", "flags", "pkt_len", "header_len", "win_size", "payload_len", "payload"]
+Packet = namedtuple("Packet", [*PACKET, "protocol"])
 _FLAGS = {"n_fin": FIN, "n_syn": SYN, "n_rst": RST, "n_psh": PSH, "n_ack": ACK, "n_urg": URG}
 
 
@@ -93,7 +92,7 @@ def _add(flow: dict, p, config: FlowConfig) -> None:
     flow["pending"] += 1
 
 
-def _advance(flow: dict | None, arms: list, p, config: FlowConfig, out: list) -> dict | None:
+def advance(flow: dict | None, arms: list, p, config: FlowConfig, out: list) -> dict | None:
     """One packet through the flow rules; returns the flow still open."""
     armed = arms[p.side]
     if armed is not None:
@@ -101,7 +100,7 @@ def _advance(flow: dict | None, arms: list, p, config: FlowConfig, out: list) ->
         if plain and p.ts_us <= armed:
             return flow
         arms[p.side] = None
-    if flow is not None and p.ts_us - flow["seen"] > config.inactivity_us:
+    if flow is not None and config.inactivity_us is not None and p.ts_us - flow["seen"] > config.inactivity_us:
         _end(flow, out)
         flow = None
     if flow is None:
@@ -130,17 +129,29 @@ def _end(flow: dict, out: list) -> None:
         out.append({**flow, "emit": 0})
 
 
-def _load(state: GroupState) -> tuple[dict | None, list]:
-    if not state.exists:
+def unpacked(state: tuple | None) -> tuple[dict | None, list]:
+    """(open flow or None, until when each side's ACKs are dropped) from the packed state of a key."""
+    if state is None:
         return None, [None, None]
-    raw = dict(zip(_STATE_NAMES, state.get))
+    longs, squares, sample = state
+    raw = dict(zip(STATE_LONGS, [None if value is None else int(value) for value in longs]))
     flow = {name: value for name, value in raw.items() if name not in _KEY_LONGS and value is not None}
-    for name in DECIMAL_SUMS:
-        if name in flow:
-            flow[name] = int(flow[name])
+    flow |= {name: int(value) for name, value in zip(DECIMAL_SUMS, squares) if value is not None}
+    flow["sample"] = bytes(sample or b"")
     return (flow if "flow_seq" in flow else None), [raw["arm_0"], raw["arm_1"]]
 
 
+def packed(flow: dict | None, arms: list) -> tuple:
+    raw = {"arm_0": arms[0], "arm_1": arms[1], **(flow or {})}
+    return ([raw.get(name) for name in STATE_LONGS],
+            [None if raw.get(name) is None else str(raw[name]) for name in DECIMAL_SUMS], raw.get("sample") or b"")
+
+
+def packed_row(row: dict) -> tuple:
+    """A snapshot's accumulators as the columns of OUTPUT_SCHEMA."""
+    return ([row.get(name) for name in OUT_LONGS], [str(row.get(name) or 0) for name in DECIMAL_SUMS], row["sample"])
+
+
 def _save(state: GroupState, flow: dict | None, arms: list, config: FlowConfig, epoch_us: int) -> None:
     until = [arm for arm in arms if arm is not None]
     if flow is not None:
@@ -149,19 +160,25 @@ def _save(state: GroupState, flow: dict | None, arms: list, config: FlowConfig,
         if state.exists:
             state.remove()
         return
-    raw = {"arm_0": arms[0], "arm_1": arms[1], **(flow or {})}
-    for name in DECIMAL_SUMS:
-        if raw.get(name) is not None:
-            raw[name] = str(raw[name])
-    state.update(tuple(raw.get(name) for name in _STATE_NAMES))
+    state.update(packed(flow, arms))
     # Wake at the first moment something may end; the watermark has passed it then.
     wake = (min(until) + epoch_us) // 1000 + 1
     state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
 
 
+def ordered(batches: Iterator[pd.DataFrame], protocol: str, by_time: bool = True) -> list[Packet]:
+    """A key's packets in (time, arrival) order, or in arrival order, column by column out of the Arrow batches."""
+    rows: list[Packet] = []
+    for pdf in batches:
+        columns = [pdf[name].tolist() for name in PACKET]
+        rows += map(Packet._make, zip(*columns, [protocol] * len(pdf)))
+    rows.sort(key=(lambda p: (p.ts_us, p.seq)) if by_time else (lambda p: p.seq))
+    return rows
+
+
 def _step(config: FlowConfig, epoch_us: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flow, arms = _load(state)
+        flow, arms = unpacked(state.get if state.exists else None)
         out: list[dict] = []
         if state.hasTimedOut:
             now = state.getCurrentWatermarkMs() * 1000 - epoch_us
@@ -170,18 +187,13 @@ def _step(config: FlowConfig, epoch_us: int):
                 flow = None
             arms = [arm if arm is not None and arm >= now else None for arm in arms]
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts_us", "seq"])
-            rows["protocol"] = key[4]
-            for p in rows.itertuples(index=False):
-                flow = _advance(flow, arms, p, config, out)
+            for p in ordered(batches, key[4]):
+                flow = advance(flow, arms, p, config, out)
         _save(state, flow, arms, config, epoch_us)
         if out:
-            fields = dict(zip(KEY, key))
-            table = [{**fields, **row, **{n: str(row.get(n) or 0) for n in DECIMAL_SUMS}} for row in out]
-            frame = pd.DataFrame(table).reindex(columns=_OUT_NAMES)
-            for name in _OUT_LONGS:
-                frame[name] = frame[name].astype("Int64")
-            yield frame
+            yield pd.DataFrame({
+                **{name: [value] * len(out) for name, value in zip(KEY, key)}, "emit": [row["emit"] for row in out],
+                **{name: list(column) for name, column in zip(("longs", "squares", "sample"), zip(*map(packed_row, out)))}})
     return step
 
 
@@ -205,9 +217,15 @@ def stream_accumulated(packets: DataFrame, config: FlowConfig, delay: str = "2 s
               "win_size", "payload_len", "payload")
     folded = rows.withWatermark("event_time", delay).groupBy(*KEY).applyInPandasWithState(
         _step(config, epoch_us), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    return folded.withColumns({
-        **{name: F.col(name).cast("decimal(38,0)") for name in DECIMAL_SUMS},
-        "first_psh": F.col("first_psh") != 0, "sample": F.array("sample")})
+    return numbered(folded)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The accumulators as columns again."""
+    number = {name: F.col("longs")[i] for i, name in enumerate(OUT_LONGS)}
+    number["first_psh"] = number["first_psh"] != 0
+    number |= {name: F.col("squares")[i].cast("decimal(38,0)") for i, name in enumerate(DECIMAL_SUMS)}
+    return rows.select(*KEY, "emit", *[c.alias(name) for name, c in number.items()], F.array("sample").alias("sample"))
 
 
 def stream_snapshots(packets: DataFrame, config: FlowConfig, delay: str = "2 seconds", epoch_us: int = 0) -> DataFrame:
