@@ -313,7 +313,9 @@ def exact_percentiles(df: DataFrame, columns: list[str], percents: tuple[float,
         bits = bits & np.uint64((1 << 63) - 1) if bits >> np.uint64(63) else ~bits
         return float(np.array([bits]).view(np.float64)[0])
 
-    rows = [(columns[c], float(p), value(c, a) + (value(c, b) - value(c, a)) * part) for c, p, a, b, part in plan]
+    # a rank that is whole is that value, also beside an infinite one
+    rows = [(columns[c], float(p), value(c, a) + (value(c, b) - value(c, a)) * part if part else value(c, a))
+            for c, p, a, b, part in plan]
     rows += [(name, float(p), None) for c, name in enumerate(columns) if c not in total for p in percents]
     return spark.createDataFrame(rows, "column string, percent double, bound double")
 

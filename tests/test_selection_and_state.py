@@ -15,7 +15,7 @@ from test_flows import frame, traffic
 
 def test_radix_percentiles_on_hostile_values(spark):
     rng = random.Random(1)
-    values = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, 1.0, np.nextafter(1.0, 2.0)] + [7.0] * 400
+    values = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, 1.0, float(np.nextafter(1.0, 2.0))] + [7.0] * 400
     values += [rng.choice([1e-310, 3.5, -3.5, 1e300]) for _ in range(300)] + [rng.gauss(0, 1e-9) for _ in range(200)] + [1e18]
     other = [float(i) for i in range(len(values) - 1)] + [None]
     df = spark.createDataFrame(list(zip(values, other)), "x double, y double").repartition(4)
