@@ -1,13 +1,13 @@
 """Exact removal of repeated strings by distributed prefix doubling over sampled positions.
 
 Every 50-byte string that also starts in a document with a smaller id loses its bytes. Ranks of the
-strings at all positions double in length: 1, 2, 4 and 8 bytes are exact numbers, 16, 25 and 50 bytes are
+strings at all positions double in length: 1, 2, 4 and 8 bytes are exact numbers, 16, 24, 25 and 50 bytes are
 64-bit fingerprints of the pair of ranks at p and p + offset. Inside a text that is array work; what has
 to meet across documents is ranked by Spark, and positions drop out as soon as they are unique:
 
-1. *16 bytes, sampled.* Of the 35 strings of 16 bytes in each 50-byte string, the one with the smallest
+1. *24 bytes, sampled.* Of the 27 strings of 24 bytes in each 50-byte string, the one with the smallest
    fingerprint is its anchor. Equal 50-byte strings have equal anchors, and neighbouring ones mostly share
-   theirs, so about one position in 18 is ranked. Anchors found in one document alone drop out.
+   theirs, so about one position in 14 is ranked. Anchors found in one document alone drop out.
 2. *Blocks.* The 50-byte strings that share an anchor form a block, known by the ranks of its first and
    last string. A block that a smaller document has too is removed as a whole.
 3. *50 bytes.* Only where one anchor has different blocks (the ends of a repeat, or around an edit) the
@@ -33,7 +33,7 @@ from netloom.llm import near
 from netloom.llm.common import map_batches, written
 from netloom.session import cut_lineage
 
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 24
 #: So many shared anchors at most are broadcast (32 MB of longs); more are joined by a shuffle.
 BROADCAST_ANCHORS = 4_000_000
 _U = np.uint64
@@ -50,14 +50,14 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def ranks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the 16-byte and of the 50-byte strings at all positions where they fit."""
+    """Ranks of the 24-byte and of the 50-byte strings at all positions where they fit."""
     x = np.frombuffer(data, np.uint8).astype(_U)
     x = x[:-1] << _U(8) | x[1:]
     x = x[:-2] << _U(16) | x[2:]
     x = x[:-4] << _U(32) | x[4:]
     x16 = _pair(x[:-8], x[8:])
     x25 = _pair(x16[:-9], x16[9:])
-    return x16, _pair(x25[:-25], x25[25:])
+    return _pair(x16[:-8], x[16:]), _pair(x25[:-25], x25[25:])
 
 
 def blocks(data: bytes) -> tuple[np.ndarray, ...]:
@@ -65,9 +65,9 @@ def blocks(data: bytes) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         none = np.empty(0, np.int64)
         return none, none, none, none
-    x16, x50 = ranks(data)
-    # smallest rank in each window of 35, by doubling; of equal ones the first place, found below
-    width, least = LENGTH - ANCHOR + 1, x16
+    x24, x50 = ranks(data)
+    # smallest rank in each window of 27, by doubling; of equal ones the first place, found below
+    width, least = LENGTH - ANCHOR + 1, x24
     span = 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -104,7 +104,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         def batch(ids, nos, texts):
             found = [blocks(text.encode()) for text in texts]
             n = [len(f[0]) for f in found]
-            # first and last start in one number: a block has at most 35 of them
+            # first and last start in one number: a block has at most 27 of them
             spans = [first << 6 | last - first for _, _, first, last in found]
             return (np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(nos, np.int32), n),
                     *[np.concatenate(c) for c in ([f[0] for f in found], [f[1] for f in found], spans)])
