@@ -28,7 +28,7 @@ from netloom.session import cut_lineage
 
 HEADERS = ("path string, at bigint, frame bigint, ts_us bigint, ip_version int, ip_protocol int, src_ip string, "
            "dst_ip string, src_port bigint, dst_port bigint, tcp_flags bigint, tcp_data_offset bigint, tcp_window bigint, "
-           "l4_payload_len bigint, payload binary")
+           "l4_payload_len bigint, payload binary, src_mac bigint, dst_mac bigint")   # hardware addresses as numbers
 # File magics -> (byte order, fractions of a second).
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10 ** 6), b"\xa1\xb2\xc3\xd4": (">", 10 ** 6),
          b"\x4d\x3c\xb2\xa1": ("<", 10 ** 9), b"\xa1\xb2\x3c\x4d": (">", 10 ** 9)}
@@ -283,6 +283,7 @@ def decode_frames(data: bytes, start: np.ndarray, kept: np.ndarray, link: np.nda
         return view[at] << 8 | view[at + 1]
 
     end, ip, ok = start + kept, start.copy(), np.ones(len(start), bool)
+    ether = (link == LINK_ETHERNET) & (kept >= 14)
     for kind in np.unique(link).tolist():
         own = np.flatnonzero(link == kind)
         if kind == LINK_ETHERNET:
@@ -310,7 +311,7 @@ def decode_frames(data: bytes, start: np.ndarray, kept: np.ndarray, link: np.nda
             ip[own] = start[own] + size
     ok &= end - ip >= 20
     ok[ok] &= view[ip[ok]] >> 4 == 4
-    ip, end = ip[ok], end[ok]
+    ip, end, ether, start = ip[ok], end[ok], ether[ok], start[ok]
     size, total = (view[ip] & 15) * 4, two(ip + 2)
     body = ip + size
     room = np.maximum(np.minimum(np.where(total == 0, end, ip + total), end) - body, 0)
@@ -330,6 +331,10 @@ def decode_frames(data: bytes, start: np.ndarray, kept: np.ndarray, link: np.nda
         names = pa.array([f"{v >> 24}.{v >> 16 & 255}.{v >> 8 & 255}.{v & 255}" for v in value.tolist()], pa.string())
         return names.take(pa.array(index))
 
+    def hardware(at: np.ndarray) -> pa.Array:
+        place = np.where(ether, at, 0)
+        return numbers(two(place) << 32 | two(place + 2) << 16 | two(place + 4), ether)
+
     out = {
         "ip_version": pa.array(np.full(len(ip), 4), pa.int32()),
         "ip_protocol": pa.array(np.where(known, proto, 0), pa.int32()),
@@ -337,6 +342,7 @@ def decode_frames(data: bytes, start: np.ndarray, kept: np.ndarray, link: np.nda
         "src_port": numbers(two(at), known), "dst_port": numbers(two(at + 2), known),
         "tcp_flags": numbers(view[at + 13], tcp), "tcp_data_offset": numbers(words, tcp),
         "tcp_window": numbers(two(at + 14), tcp), "l4_payload_len": pa.array(left, pa.int64()),
+        "src_mac": hardware(start + 6), "dst_mac": hardware(start),
     }
     if payload:
         offsets = np.concatenate(([0], np.cumsum(left)))
