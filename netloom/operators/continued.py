@@ -1,14 +1,15 @@
 """Flows over many batches: what is open after one batch is a row for each key, and the next batch takes it up.
 
 A row holds sums and last values only, as in the live state, so daily batches give the snapshots of one long run
-without any packet being read twice. Every batch costs one shuffle of its packets and of the open keys.
+without any packet being read twice. Every batch costs one shuffle of its packets and of the open keys, which are
+walked as sorted partitions, Arrow batch by batch: nothing is paid for a key, nor is a key ever whole in memory.
 """
 
 from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.operators.features import features
@@ -27,21 +28,47 @@ def no_state(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], STATE)
 
 
+_ARROW = pa.schema([("open", pa.bool_()), ("state", pa.string()), ("lo_ip", pa.string()), ("lo_port", pa.int64()), ("hi_ip", pa.string()),
+                    ("hi_port", pa.int64()), ("protocol", pa.string()), ("emit", pa.int32()), ("longs", pa.list_(pa.int64())),
+                    ("squares", pa.list_(pa.string())), ("sample", pa.binary())])
+_SENT = 2_048      # rows of an output batch
+
+
 def _fold(config: FlowConfig):
-    def fold(key: tuple, packets: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        state = None
-        if len(before):
-            longs, squares, sample = json.loads(before["state"].iloc[0])
-            state = longs, squares, bytes.fromhex(sample)
-        flow, arms = live.unpacked(state)
-        out: list[dict] = []
-        for p in live.ordered(iter([packets]), key[4], by_time=False):
-            flow = live.advance(flow, arms, p, config, out)
-        rows = [(False, None, *key, row["emit"], *live.packed_row(row)) for row in out]
-        if flow is not None or any(arm is not None for arm in arms):
-            longs, squares, sample = live.packed(flow, arms)
-            rows.append((True, json.dumps([longs, squares, sample.hex()]), *key, 0, [], [], b""))
-        return pd.DataFrame(rows, columns=["open", "state", *KEY, "emit", "longs", "squares", "sample"])
+    def fold(batches):
+        """Rows of whole keys, a key's state before its packets, those in arrival order."""
+        key, flow, arms, rows = None, None, [None, None], []
+
+        def close():
+            if flow is not None or any(arm is not None for arm in arms):
+                longs, squares, sample = live.packed(flow, arms)
+                rows.append((True, json.dumps([longs, squares, sample.hex()]), *key, 0, [], [], b""))
+
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+        for batch in batches:
+            columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+            packets = map(live.Packet._make, zip(*[columns[name] for name in live.Packet._fields]))
+            for k, before, p in zip(zip(*[columns[name] for name in KEY]), columns["state"], packets):
+                if k != key:
+                    close()
+                    key, state = k, None
+                    if before is not None:
+                        longs, squares, sample = json.loads(before)
+                        state = longs, squares, bytes.fromhex(sample)
+                    flow, arms = live.unpacked(state)
+                if before is not None:
+                    continue
+                out: list[dict] = []
+                flow = live.advance(flow, arms, p, config, out)
+                rows += [(False, None, *key, row["emit"], *live.packed_row(row)) for row in out]
+                if len(rows) >= _SENT:
+                    yield sent()
+                    rows.clear()
+        close()
+        if rows:
+            yield sent()
     return fold
 
 
@@ -52,7 +79,8 @@ def batch_rows(packets: DataFrame, before: DataFrame, config: FlowConfig) -> Dat
         keyed = keyed.withColumn("payload", F.lit(None).cast("binary"))
     tcp = F.col("protocol") == "TCP"
     rows = keyed.withColumn("flags", F.when(tcp, F.col("flags")).otherwise(0).cast("bigint")).select(*KEY, *live.PACKET)
-    return rows.groupBy(*KEY).cogroup(before.groupBy(*KEY)).applyInPandas(_fold(config), _ROWS)
+    given = rows.unionByName(before.select(*KEY, "state"), allowMissingColumns=True)
+    return given.repartition(*KEY).sortWithinPartitions(*KEY, F.col("state").isNull(), "seq").mapInArrow(_fold(config), _ROWS)
 
 
 def open_after(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from netloom.operators import continued
+from netloom.operators.flows import SMALL
 from netloom.plans import log_queries as logs
 
 PACKET_COLUMNS = ("seq bigint, ts_us bigint, src_ip string, dst_ip string, src_port bigint, dst_port bigint, protocol string, "
@@ -31,3 +33,24 @@ def test_number_of_manifest_files_follows_the_events(spark, tmp_path):
     assert len(list(Path(tmp_path / "m").rglob("*.txt"))) <= 3
     found = logs.manifest_scan(events).agg(F.sum("events").alias("n"), F.sum("response_bytes").alias("b"), F.count("*").alias("rows")).first()
     assert found["n"] == 60_000 and found["b"] == sum(i % 7 for i in range(60_000)) and found["rows"] == 900
+
+
+def test_continued_batches_walk_many_keys_in_one_call(spark):
+    """One call folds all keys of a partition, batch by batch, wherever Arrow cuts them."""
+    n = 600
+    df = spark.range(n * 4).select(
+        (F.col("id") * 7919 % (n * 4)).alias("seq"), (F.col("id") * 7919 % (n * 4) * 1000).alias("ts_us"),
+        F.concat(F.lit("10.0.0."), F.col("id") % n).alias("src_ip"), F.lit("h").alias("dst_ip"), F.lit(5).cast("bigint").alias("src_port"),
+        F.lit(80).cast("bigint").alias("dst_port"), F.lit("TCP").alias("protocol"), F.lit(16).cast("bigint").alias("flags"),
+        F.lit(3).cast("bigint").alias("pkt_len"), F.lit(20).cast("bigint").alias("header_len"), F.lit(9).cast("bigint").alias("win_size"))
+    asked = continued.batch_rows(df, continued.no_state(df), SMALL)
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        made = asked.localCheckpoint()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert made.where("open").count() == n and made.where("not open").count() == n   # three packets emit, one stays pending
+    ended = continued.flushed(continued.open_after(made))
+    assert ended.count() == n and ended.agg(F.countDistinct("flow_seq")).first()[0] == n
