@@ -2,12 +2,16 @@
 
 The state holds sums and last values only, never packets. Each trigger folds the
 key's new packets in (time, arrival) order; event-time timeouts end silent flows.
+Keys share calls and stored states: a group of keys (by hash) is one call a trigger,
+so a key costs what its packets and its numbers cost. A trigger rewrites the states of
+the groups it meets, idle keys included; ``groups`` sets how many keys share.
 The output rows carry the same accumulators as the batch path and go through the
 same feature formulas.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import namedtuple
 from collections.abc import Iterator
 
@@ -27,8 +31,10 @@ _KEY_LONGS = ["arm_0", "arm_1"]
 _SUMS = [name for name in ACCUMULATORS if name not in DECIMAL_SUMS]
 STATE_LONGS = [*_KEY_LONGS, *_FLOW_LONGS, *_SUMS]
 OUT_LONGS = ["flow_seq", "first_ts", "first_side", "first_len", "first_win", "first_psh", *_SUMS]
-# Numbers travel as arrays: a key's rows and state are a few columns then, whatever is accumulated.
-STATE_SCHEMA = "longs array<bigint>, squares array<string>, sample binary"
+#: The state of a group: {key: (when to wake, the key's packed state)}, pickled; it holds numbers and text only.
+STATE_SCHEMA = "keys binary"
+GROUPS = 1_024
+# Numbers travel as arrays: a key's rows are a few columns then, whatever is accumulated.
 OUTPUT_SCHEMA = ("lo_ip string, lo_port bigint, hi_ip string, hi_port bigint, protocol string, emit int, "
                  "longs array<bigint>, squares array<string>, sample binary")
 PACKET = ["seq", "ts_us", "side", "self_connection", "flags", "pkt_len", "header_len", "win_size", "payload_len", "payload"]
@@ -152,53 +158,61 @@ def packed_row(row: dict) -> tuple:
     return ([row.get(name) for name in OUT_LONGS], [str(row.get(name) or 0) for name in DECIMAL_SUMS], row["sample"])
 
 
-def _save(state: GroupState, flow: dict | None, arms: list, config: FlowConfig, epoch_us: int) -> None:
+def _wake(flow: dict | None, arms: list, config: FlowConfig, epoch_us: int, watermark: int) -> int | None:
+    """The first moment (ms) something of a key may end, which the watermark has passed then; None: nothing is open."""
     until = [arm for arm in arms if arm is not None]
     if flow is not None:
         until.append(flow["seen"] + config.inactivity_us)
-    if not until:
-        if state.exists:
-            state.remove()
-        return
-    state.update(packed(flow, arms))
-    # Wake at the first moment something may end; the watermark has passed it then.
-    wake = (min(until) + epoch_us) // 1000 + 1
-    state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+    return max((min(until) + epoch_us) // 1000 + 1, watermark + 1) if until else None
 
 
-def ordered(batches: Iterator[pd.DataFrame], protocol: str, by_time: bool = True) -> list[Packet]:
-    """A key's packets in (time, arrival) order, or in arrival order, column by column out of the Arrow batches."""
-    rows: list[Packet] = []
+def _packets(batches: Iterator[pd.DataFrame]) -> dict[tuple, list[Packet]]:
+    """Packets by key in (time, arrival) order, column by column out of the Arrow batches."""
+    out: dict[tuple, list[Packet]] = {}
     for pdf in batches:
-        columns = [pdf[name].tolist() for name in PACKET]
-        rows += map(Packet._make, zip(*columns, [protocol] * len(pdf)))
-    rows.sort(key=(lambda p: (p.ts_us, p.seq)) if by_time else (lambda p: p.seq))
-    return rows
+        columns = {name: pdf[name].tolist() for name in {*KEY, *PACKET}}
+        packets = map(Packet._make, zip(*[columns[name] for name in Packet._fields]))
+        for key, p in zip(zip(*[columns[name] for name in KEY]), packets):
+            out.setdefault(key, []).append(p)
+    for rows in out.values():
+        rows.sort(key=lambda p: (p.ts_us, p.seq))
+    return out
 
 
 def _step(config: FlowConfig, epoch_us: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flow, arms = unpacked(state.get if state.exists else None)
-        out: list[dict] = []
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs() * 1000 - epoch_us
-            if flow is not None and now > flow["seen"] + config.inactivity_us:
-                _end(flow, out)
-                flow = None
-            arms = [arm if arm is not None and arm >= now else None for arm in arms]
-        else:
-            for p in ordered(batches, key[4]):
-                flow = advance(flow, arms, p, config, out)
-        _save(state, flow, arms, config, epoch_us)
-        if out:
-            yield pd.DataFrame({
-                **{name: [value] * len(out) for name, value in zip(KEY, key)}, "emit": [row["emit"] for row in out],
-                **{name: list(column) for name, column in zip(("longs", "squares", "sample"), zip(*map(packed_row, out)))}})
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = pickle.loads(state.get[0]) if state.exists else {}
+        watermark = state.getCurrentWatermarkMs()
+        now = watermark * 1000 - epoch_us
+        arrived = {} if state.hasTimedOut else _packets(batches)
+        made: list[tuple] = []
+        # keys with packets, then those without whose time has come
+        for key in [*arrived, *[key for key, (wake, _) in kept.items() if wake < watermark and key not in arrived]]:
+            flow, arms = unpacked(kept.pop(key)[1] if key in kept else None)
+            out: list[dict] = []
+            if key in arrived:
+                for p in arrived[key]:
+                    flow = advance(flow, arms, p, config, out)
+            else:
+                if flow is not None and now > flow["seen"] + config.inactivity_us:
+                    _end(flow, out)
+                    flow = None
+                arms = [arm if arm is not None and arm >= now else None for arm in arms]
+            if (wake := _wake(flow, arms, config, epoch_us, watermark)) is not None:
+                kept[key] = wake, packed(flow, arms)
+            made += [(*key, row["emit"], *packed_row(row)) for row in out]
+        if kept:
+            state.update((pickle.dumps(kept),))
+            state.setTimeoutTimestamp(max(min(wake for wake, _ in kept.values()), watermark + 1))
+        elif state.exists:
+            state.remove()
+        if made:
+            yield pd.DataFrame(made, columns=[*KEY, "emit", "longs", "squares", "sample"])
     return step
 
 
 def stream_accumulated(packets: DataFrame, config: FlowConfig, delay: str = "2 seconds",
-                       epoch_us: int = 0) -> DataFrame:
+                       epoch_us: int = 0, groups: int = GROUPS) -> DataFrame:
     """Streaming packets (with ``ts_us``) -> snapshot accumulators, append mode.
 
     ``epoch_us`` is the epoch time at which ``ts_us`` is zero. Rows later than the
@@ -215,7 +229,8 @@ def stream_accumulated(packets: DataFrame, config: FlowConfig, delay: str = "2 s
         "flags": F.when(tcp, F.col("flags")).otherwise(0).cast("bigint"),
     }).select(*KEY, "seq", "ts_us", "event_time", "side", "self_connection", "flags", "pkt_len", "header_len",
               "win_size", "payload_len", "payload")
-    folded = rows.withWatermark("event_time", delay).groupBy(*KEY).applyInPandasWithState(
+    shared = rows.withColumn("group", F.pmod(F.xxhash64(*KEY), F.lit(groups)))
+    folded = shared.withWatermark("event_time", delay).groupBy("group").applyInPandasWithState(
         _step(config, epoch_us), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     return numbered(folded)
 

@@ -2,11 +2,14 @@
 
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from netloom.operators import continued
-from netloom.operators.flows import SMALL
+from netloom.operators.flows import LIVE, SMALL
+from netloom.operators.packets import KEY
 from netloom.plans import log_queries as logs
+from netloom.streaming import flow_state
 
 PACKET_COLUMNS = ("seq bigint, ts_us bigint, src_ip string, dst_ip string, src_port bigint, dst_port bigint, protocol string, "
                   "flags bigint, pkt_len bigint, header_len bigint, win_size bigint")
@@ -54,3 +57,44 @@ def test_continued_batches_walk_many_keys_in_one_call(spark):
     assert made.where("open").count() == n and made.where("not open").count() == n   # three packets emit, one stays pending
     ended = continued.flushed(continued.open_after(made))
     assert ended.count() == n and ended.agg(F.countDistinct("flow_seq")).first()[0] == n
+
+
+class KeptState:
+    """The stored state of one group, as Spark hands it to a call."""
+
+    def __init__(self):
+        self.value, self.watermark, self.wake, self.hasTimedOut = None, 0, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.watermark
+        self.wake = at
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+
+def test_keys_of_a_group_share_calls_and_time_out_one_by_one():
+    step, state = flow_state._step(LIVE, 0), KeptState()
+
+    def called(*packets):
+        columns = [*KEY, *flow_state.PACKET]
+        rows = [("a", 1, f"b{key}", 80, "TCP", seq, ts, 0, False, 16, 3, 20, 9, 3, None) for key, seq, ts in packets]
+        return [tuple(r) for out in step((0,), iter([pd.DataFrame(rows, columns=columns)]), state) for r in out[["hi_ip", "emit"]].values]
+
+    assert called(*[(key, key, 1_000_000) for key in range(50)]) == [] and state.wake == 2501
+    # key 7 goes on, the others are silent: their flows end in the call that brings its packets
+    state.watermark = 2_600
+    assert sorted(called((7, 100, 2_450_000), (7, 99, 2_400_000))) == sorted((f"b{key}", 4 if key == 7 else 0) for key in range(50))
+    state.watermark, state.hasTimedOut = 3_950, True
+    assert called() == [] and state.exists           # 7 was seen at 2.45 s
+    state.watermark = 3_952
+    assert called() == [("b7", 0)] and not state.exists
