@@ -2,10 +2,11 @@
 
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from netloom.operators import continued
+from netloom.operators import continued, learn
 from netloom.operators.flows import LIVE, SMALL
 from netloom.operators.packets import KEY
 from netloom.plans import log_queries as logs
@@ -98,3 +99,18 @@ def test_keys_of_a_group_share_calls_and_time_out_one_by_one():
     assert called() == [] and state.exists           # 7 was seen at 2.45 s
     state.watermark = 3_952
     assert called() == [("b7", 0)] and not state.exists
+
+
+def test_training_rows_are_packed_once_in_blocks(spark):
+    """Blocks hold whole Arrow batches by domain; gradients over their pieces add up to those of all rows."""
+    rng = np.random.default_rng(3)
+    x, y, w = rng.normal(size=(5_000, 2)), rng.integers(0, 3, 5_000), rng.uniform(0.5, 2.0, 5_000)
+    rows = [(x[i].tolist(), int(y[i]), float(w[i]), (None, "a", "b")[i % 3]) for i in range(5_000)]
+    blocks = learn._blocked(spark.createDataFrame(rows, "x array<double>, y bigint, w double, domain string").coalesce(1))
+    assert blocks.count() <= 3 and sorted(b["domain"] or "" for b in blocks.collect()) == ["", "a", "b"]
+    weights = learn._layers(learn.Training(hidden=(4,)), 2, 3)
+    shared = spark.sparkContext.broadcast(weights)
+    loss, mass, flat = learn._summed(blocks, shared, 2.0)
+    whole, grads = learn.gradients(x, y, w, weights, 2.0)
+    assert np.isclose(loss, whole) and np.isclose(mass, w.sum()) and np.allclose(flat, np.concatenate([g.ravel() for g in grads]))
+    assert sum(r["count"] for r in learn._confusion(blocks, shared)) == 5_000
