@@ -24,26 +24,38 @@ from netloom.operators.scoring import passes_gate
 from netloom.session import cut_lineage
 
 
-def balanced_weights(df: DataFrame, label: str, weight: str | None = None) -> DataFrame:
+def label_counts(df: DataFrame, label: str) -> dict:
+    return {r[label]: r["count"] for r in df.groupBy(label).count().collect()}   # one row per class
+
+
+def balanced_weights(df: DataFrame, label: str, weight: str | None = None, counts: dict | None = None) -> DataFrame:
     """Column ``train_weight``: balanced class weight times the sample weight."""
-    counts = df.groupBy(label).count().collect()   # one row per class
-    total, classes = sum(r["count"] for r in counts), len(counts)
+    counts = label_counts(df, label) if counts is None else counts
+    total, classes = sum(counts.values()), len(counts)
     expr = F.lit(0.0)
-    for r in counts:
-        expr = F.when(F.col(label) == r[label], total / (classes * r["count"])).otherwise(expr)
+    for value, count in counts.items():
+        expr = F.when(F.col(label) == value, total / (classes * count)).otherwise(expr)
     return df.withColumn("train_weight", expr * (F.col(weight) if weight else F.lit(1.0)))
 
 
+#: Rows of a task in training boosted trees, which keep whole rows in memory between passes (a forest keeps bins of features).
+TREE_ROWS = 250_000
+
+
 def stage1_model(df: DataFrame, features: list[str], target: str, kind: str = "forest", weight: str | None = None,
                  trees: int | None = None, depth: int | None = None, seed: int = 42) -> PipelineModel:
     """Binary gate: random forest (100 trees, depth 20) or boosted trees (150 rounds, depth 6, rate 0.1)."""
-    rows = prep.assemble(balanced_weights(df, target, weight), features)
+    counts = label_counts(df, target)
+    rows = prep.assemble(balanced_weights(df, target, weight, counts), features)
     shared = dict(featuresCol="features", labelCol=target, weightCol="train_weight", seed=seed)
     if kind == "forest":
         learner = RandomForestClassifier(numTrees=trees or 100, maxDepth=depth or 20, **shared)
     else:
         learner = GBTClassifier(maxIter=trees or 150, maxDepth=depth or 6, stepSize=0.1, **shared)
-    model = learner.fit(rows.select("features", target, "train_weight"))
+    given = rows.select("features", target, "train_weight")
+    if kind != "forest" and (total := sum(counts.values())) > TREE_ROWS * df.sparkSession.sparkContext.defaultParallelism:
+        given = given.repartition(-(-total // TREE_ROWS))        # files and their splits may hold any number of rows
+    model = learner.fit(given)
     return PipelineModel([VectorAssembler(inputCols=features, outputCol="features"), model])
 
 

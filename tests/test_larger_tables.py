@@ -114,3 +114,15 @@ def test_training_rows_are_packed_once_in_blocks(spark):
     whole, grads = learn.gradients(x, y, w, weights, 2.0)
     assert np.isclose(loss, whole) and np.isclose(mass, w.sum()) and np.allclose(flat, np.concatenate([g.ravel() for g in grads]))
     assert sum(r["count"] for r in learn._confusion(blocks, shared)) == 5_000
+
+
+def test_boosted_trees_bound_the_rows_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(learn, "TREE_ROWS", 100)
+    seen = []
+    real = learn.GBTClassifier.fit
+    monkeypatch.setattr(learn.GBTClassifier, "fit", lambda self, df: seen.append(df.rdd.glom().map(len).collect()) or real(self, df))
+    df = spark.range(2_000).coalesce(1).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 17 > 8).cast("int").alias("t"))
+    model = learn.stage1_model(df, ["a"], "t", "boosted", None, 2, 2)
+    assert max(seen[0]) <= 120 and sum(seen[0]) == 2_000
+    right = learn.attack_probability(model, df).select(F.avg(((F.col("p_attack") > 0.5) == (F.col("t") == 1)).cast("int"))).first()[0]
+    assert right == 1.0
