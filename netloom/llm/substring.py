@@ -1,10 +1,15 @@
-"""Paragraph near-duplicates: MinHash banding, exact verification, removal by components.
+"""Repeated passages: near-duplicate paragraphs by MinHash banding, and exact runs of 50 words wherever they stand.
 
 A paragraph is a line of a text with LEAST_WORDS words or more; its set is its distinct five-word shingles
 (ASCII letters in lower case). Bands are tuned so that a pair at the threshold escapes with probability
 MISS at most, colliding paragraphs are compared exactly (`near.classes`), and of each component, equal
 paragraphs included, only the first one stays: the one in the document with the smallest id, there the
-first. Shorter lines are never removed; they are too common to be copies of each other.
+first. Shorter lines alone are never removed; they are too common to be copies of each other.
+
+A passage does not keep to lines: it may stand inside a longer one or reach over many short ones. So each run of
+50 words that an earlier document has too is cut out, line breaks and spaces aside, by the sampled prefix doubling of
+`suffix` over words. Both rules judge the input; of a run that reaches into removed lines the rest is cut if that are
+50 words, too (fewer are no passage). A line whose words are all cut goes.
 
 A text is read twice: for sketches, and again only for paragraphs that collide. Tables of paragraphs carry
 ids and keys. Paragraphs are known by 64-bit hashes: two different ones count as equal with probability
@@ -18,12 +23,15 @@ an empty result; further columns are ignored, or kept by `without_repeats`.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm import near
-from netloom.llm.common import ID, TEXT_ID, keyed, map_batches
+from netloom.llm import near, suffix
+from netloom.llm.common import ID, TEXT_ID, WORD, keyed, map_batches
 from netloom.session import cut_lineage, new_folder
 
 LEAST_WORDS, SHINGLE, PERCENT = 20, 5, 80
@@ -95,22 +103,75 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
             .groupBy("id", "text_id").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
-def without_repeats(docs: DataFrame, removed: str = "removed") -> DataFrame:
-    """``docs`` with the text that is left; column ``removed`` (added or replaced): the numbers of the removed lines."""
-    found = near.few(cut_lineage(repeated_lines(docs).select(
-        F.col("id").alias(ID), F.col("text_id").alias(TEXT_ID), F.col("removed").alias("__removed"))))
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """id, text_id and the first and last (excluded) words of runs of 50 words or more that an earlier document has, too."""
+    given = keyed(docs).select(F.col(ID).alias("doc_id"), F.col(TEXT_ID).alias("no"), F.coalesce("text", F.lit("")).alias("text"))
+    several = given.groupBy("doc_id").agg(F.min("no").alias("a"), F.max("no").alias("b")).where("a < b")
+    order = F.col("doc_id") if several.isEmpty() else F.struct("doc_id", "no")
+    spans = suffix.removed_spans(given, suffix.word_ranks, order, keep=True)
+    return spans.groupBy(F.col("doc_id").alias("id"), F.col("no").alias("text_id")).agg(
+        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("words"))
+
+
+def _left(text: str, removed: list[int], words: list) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the lines and the runs of words, and the runs' places (code points) in lines that stay."""
+    places, gone = [m.span() for m in re.finditer(WORD, text)], set(removed)
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    stays = [bisect(breaks, start) not in gone for start, _ in places]
+    runs: list[list[int]] = []
+    for first, end in words:
+        if runs and first <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([first, end])
+    spans = [(places[first][0], places[end - 1][1]) for first, end in runs if sum(stays[first:end]) >= suffix.LENGTH]
+    lines, cut, start, at = [], [], 0, 0
+    for k, line in enumerate(text.split("\n")):
+        end = start + len(line)
+        while at < len(spans) and spans[at][1] <= start:
+            at += 1
+        own, n = [], at
+        while n < len(spans) and spans[n][0] < end:
+            own.append((max(spans[n][0], start), min(spans[n][1], end)))
+            n += 1
+        if k not in gone:
+            edges = [start, *[x for span in own for x in span], end]
+            kept = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+            cut += own
+            if not own or re.search(WORD, kept):
+                lines.append(kept)
+        start = end + 1
+    return "\n".join(lines), cut
+
+
+def without_repeats(docs: DataFrame, removed: str = "removed", cut: str = "cut") -> DataFrame:
+    """``docs`` with the text that is left, and two columns, added or replaced.
+
+    ``removed``: the numbers of the removed lines; ``cut``: (start, end) in code points of the input text of what is cut
+    out of other lines.
+    """
+    lines = repeated_lines(docs).select(F.col("id").alias(ID), F.col("text_id").alias(TEXT_ID), F.col("removed").alias("__removed"))
+    words = repeated_passages(docs).select(F.col("id").alias(ID), F.col("text_id").alias(TEXT_ID), F.col("words").alias("__words"))
+    found = near.few(cut_lineage(lines.join(words, [ID, TEXT_ID], "full")))
+    gone = F.coalesce("__removed", F.array().cast("array<int>"))
+    inside = F.udf(lambda text, lines, words: None if words is None else _left(text, lines, words),
+                   "text string, cut array<struct<start:int,end:int>>", useArrow=False)
+    # texts go to Python only where passages are cut
+    passages = inside(F.when(F.col("__words").isNotNull(), F.col("text")), gone, "__words")
     left = F.concat_ws("\n", F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i)))
-    return (keyed(docs).join(found, [ID, TEXT_ID], "left")
-            .withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left))
-            .select(*[c for c in docs.columns if c != removed],
-                    F.coalesce("__removed", F.array().cast("array<int>")).alias(removed)))
+    return (keyed(docs).join(found, [ID, TEXT_ID], "left").withColumn("__left", passages)
+            .withColumn("text", F.when(F.col("__words").isNotNull(), F.col("__left.text"))
+                        .when(F.col("__removed").isNull(), F.col("text")).otherwise(left))
+            .select(*[c for c in docs.columns if c not in (removed, cut)], gone.alias(removed),
+                    F.coalesce("__left.cut", F.array().cast("array<struct<start:int,end:int>>")).alias(cut)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraphs removed, runs of them, bytes left and their digest, for every row."""
-    text = F.coalesce("text", F.lit(""))
-    runs = F.size(F.filter("removed", lambda x: ~F.array_contains("removed", x - 1)))
-    return without_repeats(docs.select("doc_id", "text")).select(
-        "doc_id", F.size("removed").cast("bigint").alias("n_removed"), runs.cast("bigint").alias("n_spans"),
-        "removed", F.octet_length(text).cast("bigint").alias("n_kept_bytes"),
-        F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+    """doc_id, paragraphs removed, runs of them and of words, bytes before, removed and left, and the digest, for every row."""
+    text, runs = F.coalesce("text", F.lit("")), F.size(F.filter("removed", lambda x: ~F.array_contains("removed", x - 1)))
+    given = docs.select("doc_id", "text", F.octet_length(text).cast("bigint").alias("n_bytes"))
+    kept = F.octet_length(text).cast("bigint")
+    return without_repeats(given).select(
+        "doc_id", F.size("removed").cast("bigint").alias("n_removed"), (runs + F.size("cut")).cast("bigint").alias("n_spans"),
+        "removed", kept.alias("n_kept_bytes"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"),
+        "n_bytes", (F.col("n_bytes") - kept).alias("n_removed_bytes"), "cut")

@@ -25,9 +25,10 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netloom.llm import near
 from netloom.llm.common import map_batches, written
@@ -49,23 +50,43 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def ranks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the 24-byte and of the 50-byte strings at all positions where they fit."""
-    x = np.frombuffer(data, np.uint8).astype(_U)
+def _longer(x8: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of 24 and of 50 units from those of 8, at all positions where 50 fit."""
+    x16 = _pair(x8[:-8], x8[8:])
+    x25 = _pair(x16[:-9], x16[9:])
+    return _pair(x16[:-8], x8[16:]), _pair(x25[:-25], x25[25:])
+
+
+def ranks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the 24-byte and of the 50-byte strings at all positions where they fit; none if no 50 do."""
+    x = np.frombuffer(text.encode(), np.uint8).astype(_U)
+    if len(x) < LENGTH:
+        return np.empty(0, _U), np.empty(0, _U)
     x = x[:-1] << _U(8) | x[1:]
     x = x[:-2] << _U(16) | x[2:]
-    x = x[:-4] << _U(32) | x[4:]
-    x16 = _pair(x[:-8], x[8:])
-    x25 = _pair(x16[:-9], x16[9:])
-    return _pair(x16[:-8], x[16:]), _pair(x25[:-25], x25[25:])
+    return _longer(x[:-4] << _U(32) | x[4:])
+
+
+def word_ranks() -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
+    """The same for runs of 24 and of 50 words (ASCII letters in lower case)."""
+    hashes = near.WordHashes()
 
+    def of(text: str) -> tuple[np.ndarray, np.ndarray]:
+        words = text.encode().lower().split()
+        if len(words) < LENGTH:
+            return np.empty(0, _U), np.empty(0, _U)
+        x = np.fromiter(map(hashes.__getitem__, words), _U, len(words))
+        for step in (1, 2, 4):
+            x = _pair(x[:-step], x[step:])
+        return _longer(x)
+    return of
 
-def blocks(data: bytes) -> tuple[np.ndarray, ...]:
-    """(anchor rank, block rank, first start, last start) of each run of 50-byte strings with one anchor."""
-    if len(data) < LENGTH:
+
+def blocks(x24: np.ndarray, x50: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor rank, block rank, first start, last start) of each run of 50-unit strings with one anchor."""
+    if not len(x50):
         none = np.empty(0, np.int64)
         return none, none, none, none
-    x24, x50 = ranks(data)
     # smallest rank in each window of 27, by doubling; of equal ones the first place, found below
     width, least = LENGTH - ANCHOR + 1, x24
     span = 1
@@ -98,53 +119,67 @@ def _numbered(docs: DataFrame) -> DataFrame:
             .select("doc_id", "text", F.coalesce("no", F.lit(0)).alias("no")))
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, no, start and end of removed strings (they may overlap), of documents that are no exact copy."""
+def removed_spans(docs: DataFrame, start_ranks: Callable[[], Callable] = lambda: ranks, order: Column | None = None,
+                  keep: bool = False) -> DataFrame:
+    """doc_id, no, start and end of removed strings (they may overlap), of documents that are no exact copy.
+
+    ``start_ranks()`` gives, once a task, the function from a text to its ranks, whose units (bytes, words) the places
+    count; ``order``, made of doc_id and no, tells which document comes first (by default doc_id). ``keep`` writes the
+    anchors instead of finding them twice, for units that are few and dear to rank.
+    """
+    order, kind = F.col("doc_id") if order is None else order, docs.schema["no"].dataType
+    key, nos_of = f"doc_id bigint, no {kind.simpleString()}", np.int32 if kind.simpleString() == "int" else np.int64
+
     def start():
+        ranks_of = start_ranks()
+
         def batch(ids, nos, texts):
-            found = [blocks(text.encode()) for text in texts]
+            found = [blocks(*ranks_of(text)) for text in texts]
             n = [len(f[0]) for f in found]
             # first and last start in one number: a block has at most 27 of them
             spans = [first << 6 | last - first for _, _, first, last in found]
-            return (np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(nos, np.int32), n),
+            return (np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(nos, nos_of), n),
                     *[np.concatenate(c) for c in ([f[0] for f in found], [f[1] for f in found], spans)])
         return batch
     rows = map_batches(docs.select("doc_id", "no", "text"),
-                       "doc_id bigint, no int, anchor bigint, block bigint, span bigint", start)
-    shared = cut_lineage(rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                       f"{key}, anchor bigint, block bigint, span bigint", start)
+    rows = written(rows) if keep else rows
+    shared = cut_lineage(rows.groupBy("anchor").agg(F.min(order).alias("a"), F.max(order).alias("b"))
                          .where("a < b").select("anchor"))
     met = written(rows.join(near.few(shared, BROADCAST_ANCHORS), "anchor").withColumns(
         {"first": F.expr("cast(shiftright(span, 6) as int)"),
          "last": F.expr("cast(shiftright(span, 6) + (span & 63) as int)")}).drop("span"))
-    leaders = met.groupBy("anchor", "block").agg(F.min("doc_id").alias("least"))
+    leaders = met.groupBy("anchor", "block").agg(F.min(order).alias("least"))
     leaders = cut_lineage(leaders)
     mixed = leaders.groupBy("anchor").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("anchor")
     judged = met.join(leaders, ["anchor", "block"])
-    whole = judged.where("doc_id > least").select("doc_id", "no", "first", "last")
+    whole = judged.where(order > F.col("least")).select("doc_id", "no", "first", "last")
     # one block of each kind stands for all of them
-    asked = (judged.where("doc_id = least").join(mixed, "anchor").groupBy("doc_id", "no")
+    asked = (judged.where(order == F.col("least")).join(mixed, "anchor").groupBy("doc_id", "no")
              .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")))
     asked = cut_lineage(asked)
 
     def start_strings():
+        ranks_of = start_ranks()
+
         def batch(ids, nos, texts, spans):
             places, found = [], []
             for text, own in zip(texts, spans):
-                x50 = ranks(text.encode())[1].astype(np.int64)
+                x50 = ranks_of(text)[1].astype(np.int64)
                 places.append(np.unique(np.concatenate([np.arange(s["first"], s["last"] + 1) for s in own])))
                 found.append(x50[places[-1]])
             n = [len(p) for p in places]
-            return (np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(nos, np.int32), n),
+            return (np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(nos, nos_of), n),
                     np.concatenate(found), np.concatenate(places).astype(np.int32))
         return batch
     ids = near.few(asked.select("doc_id", "no"))
     texts = docs.join(ids, ["doc_id", "no"], "left_semi").join(asked, ["doc_id", "no"])
     strings = map_batches(texts.select("doc_id", "no", "text", "spans"),
-                          "doc_id bigint, no int, rank bigint, at int", start_strings)
+                          f"{key}, rank bigint, at int", start_strings)
     strings = written(strings)
-    earlier = (strings.groupBy("rank").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    earlier = (strings.groupBy("rank").agg(F.min(order).alias("least"), F.max(order).alias("most"))
                .where("least < most").select("rank", "least"))
-    single = strings.join(earlier, "rank").where("doc_id > least").select(
+    single = strings.join(earlier, "rank").where(order > F.col("least")).select(
         "doc_id", "no", F.col("at").alias("first"), F.col("at").alias("last"))
     return whole.unionByName(single).select("doc_id", "no", F.col("first").alias("start"),
                                             (F.col("last") + LENGTH).alias("end"))
