@@ -13,6 +13,14 @@ to meet across documents is ranked by Spark, and positions drop out as soon as t
 3. *50 bytes.* Only where one anchor has different blocks (the ends of a repeat, or around an edit) the
    strings of one block of each kind are ranked one by one.
 
+Over bytes (`removed_byte_spans`) what drops out is not shuffled. Bitmaps (`marks`) tell the anchors that several rows
+have, the smallest document of each block, and the 50-byte strings that several rows are asked for. Who has a block and
+is not marked as its smallest document loses it; a document marked by mistake is asked string by string like the
+smallest one, which costs rows and changes nothing. Repeated strings side by side form runs, known like blocks, and what
+smaller documents do not have as a run is joined by single strings, exactly. Each bitmap asks for one more pass over the
+texts, which stay where they are. Over words, which are few and dear to rank, anchors are written and joined
+(`removed_spans`).
+
 Exact copies of whole texts are found first, by digest. Groups are only ever counted and joined, never
 gathered; joins back to the texts move only texts that need it. Ranks are 64-bit fingerprints, so
 different strings may be taken for equal with probability 2**-64 a pair.
@@ -30,7 +38,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from netloom.llm import near
+from netloom.llm import marks, near
 from netloom.llm.common import map_batches, written
 from netloom.session import cut_lineage
 
@@ -185,6 +193,118 @@ def removed_spans(docs: DataFrame, start_ranks: Callable[[], Callable] = lambda:
                                             (F.col("last") + LENGTH).alias("end"))
 
 
+def removed_byte_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, no, start and end of removed bytes (they may overlap), of documents that are no exact copy."""
+    texts, key = docs.select("doc_id", "no", "text"), "doc_id bigint, no int"
+    sizes = marks.places_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+    def slices(given):
+        for at in range(0, given.num_rows, 64):
+            yield [c.to_pylist() for c in given.slice(at, 64).columns]
+
+    def anchors(given):
+        for _, _, own in slices(given):
+            for text in own:
+                yield np.unique(blocks(*ranks(text))[0].view(_U))
+    shared = marks.marked(texts, lambda: anchors, sizes, 2)
+
+    def start_blocks():
+        has = marks.reader(shared)
+
+        def batch(ids, texts):
+            found = []
+            for text in texts:
+                anchor, block, _, _ = blocks(*ranks(text))
+                found.append(block[has(anchor.view(_U))])
+            return np.repeat(np.array(ids, np.int64), [len(f) for f in found]), np.concatenate(found)
+        return batch
+
+    # The smallest document of each block. Whoever has the block and is not marked comes later.
+    def of_id(block: np.ndarray, ids: np.ndarray | np.int64) -> np.ndarray:
+        return _pair(block.view(_U), near.mix(ids.astype(_U)))
+
+    def firsts(given):
+        yield of_id(*[c.to_numpy() for c in given.columns])
+    least = (map_batches(texts.select("doc_id", "text"), "doc_id bigint, block bigint", start_blocks)
+             .groupBy("block").agg(F.min("doc_id").alias("least")))
+    first = marks.marked(least, lambda: firsts, sizes, 1)
+
+    def start_judged():
+        has, is_first = marks.reader(shared), marks.reader(first)
+
+        def judged(i: int, text: str) -> tuple[np.ndarray, ...]:
+            """Ranks of 50 bytes; first and last starts of blocks of earlier documents; those of blocks to rank."""
+            x24, x50 = ranks(text)
+            anchor, block, a, b = blocks(x24, x50)
+            met = has(anchor.view(_U))
+            block, a, b = block[met], a[met], b[met]
+            own = is_first(of_id(block, np.full(len(block), i, np.int64)))
+            return x50, a[~own], b[~own], a[own], b[own]
+        return judged
+
+    def start_strings():
+        judged = start_judged()
+
+        def strings_of(given):
+            for ids, _, own in slices(given):
+                for i, text in zip(ids, own):
+                    x50, _, _, a, b = judged(i, text)
+                    yield np.unique(x50[_inside(a, b, len(x50))])
+        return strings_of
+    repeated = marks.marked(texts, start_strings, sizes, 2)
+
+    def start_runs():
+        judged, has = start_judged(), marks.reader(repeated)
+
+        def rows(i, text):
+            x50, a, b, asked, ends = judged(i, text)
+            # what is removed as a whole has no ranks
+            gone = np.flatnonzero(np.diff(_inside(a, b, len(x50)).astype(np.int8), prepend=0, append=0))
+            at = np.flatnonzero(_inside(asked, ends, len(x50)))
+            at = at[has(x50[at])]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | np.isin(at[1:], asked)
+            edge = np.flatnonzero(new)
+            p, q = at[edge], at[np.append(edge[1:], len(at))[:len(edge)] - 1]
+            run = _pair(x50[p], x50[q]) + near.mix((q - p).astype(_U))
+            n = len(gone) // 2
+            return (np.concatenate([gone[::2], p]), np.concatenate([gone[1::2] - 1, q]),
+                    np.concatenate([np.zeros(n, np.int64), run.astype(np.int64)]),
+                    [none] * n + (np.split(x50[at].astype(np.int64), edge[1:]) if len(at) else []))
+
+        def batch(ids, nos, texts):
+            made = [rows(*row) for row in zip(ids, texts)]
+            n = [len(m[0]) for m in made]
+            return (np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(nos, np.int32), n),
+                    *[np.concatenate([m[k] for m in made]).astype(t) for k, t in enumerate((np.int32, np.int32, np.int64))],
+                    [r for m in made for r in m[3]])
+        none = np.empty(0, np.int64)
+        return batch
+    # Repeated strings of a block that stand side by side are a run, judged as a block is.
+    found = written(map_batches(texts, f"{key}, first int, last int, run bigint, ranks array<bigint>", start_runs))
+    ends = F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
+    runs = found.where("size(ranks) > 0")
+    heads = written(runs.groupBy("run").agg(*ends).where("least < most").select("run", "least"))
+    met = runs.join(heads.hint("merge"), "run", "left")
+    later = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
+    strings = written(met.where(~later).select("doc_id", "no", "first", F.posexplode("ranks").alias("k", "rank"))
+                      .select("doc_id", "no", (F.col("first") + F.col("k")).alias("at"), "rank"))
+    earlier = written(strings.groupBy("rank").agg(*ends).where("least < most").select("rank", "least"))
+    single = strings.join(earlier.hint("merge"), "rank").where("doc_id > least")
+    spans = (found.where("size(ranks) = 0").select("doc_id", "no", "first", "last")
+             .unionByName(met.where(later).select("doc_id", "no", "first", "last"))
+             .unionByName(single.select("doc_id", "no", F.col("at").alias("first"), F.col("at").alias("last"))))
+    return spans.select("doc_id", "no", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
+
+
+def _inside(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the ranges; no two of them overlap."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[first] += 1
+    edge[last + 1] -= 1
+    return np.cumsum(edge[:n], dtype=np.int8) > 0
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of the bytes left, for every row."""
     given = _numbered(docs)
@@ -195,7 +315,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     copies = cut_lineage(texts.join(least, "digest").where("doc_id > least").select("doc_id", "no").distinct())
     known = near.few(copies)
     own = given.join(known, ["doc_id", "no"], "left_anti")
-    spans = cut_lineage(removed_spans(own).groupBy("doc_id", "no").agg(
+    spans = written(removed_byte_spans(own).groupBy("doc_id", "no").agg(
         F.collect_list(F.struct("start", "end")).alias("spans")))
     touched = near.few(spans.select("doc_id", "no"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
