@@ -52,7 +52,9 @@ def stage1_model(df: DataFrame, features: list[str], target: str, kind: str = "f
         learner = RandomForestClassifier(numTrees=trees or 100, maxDepth=depth or 20, **shared)
     else:
         learner = GBTClassifier(maxIter=trees or 150, maxDepth=depth or 6, stepSize=0.1, **shared)
-    given = rows.select("features", target, "train_weight")
+    # the classes are counted already; without their number the learner would count them once more
+    classes = {"ml_attr": {"type": "nominal", "num_vals": int(max(counts)) + 1}} if counts and None not in counts else {}
+    given = rows.select("features", F.col(target).alias(target, metadata=classes), "train_weight")
     if kind != "forest" and (total := sum(counts.values())) > TREE_ROWS * df.sparkSession.sparkContext.defaultParallelism:
         given = given.repartition(-(-total // TREE_ROWS))        # files and their splits may hold any number of rows
     model = learner.fit(given)

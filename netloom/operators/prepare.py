@@ -248,10 +248,10 @@ def _radix_counts(batches, level: int, prefixes: dict[int, list[int]]):
             digit = (ordered >> shift).astype(np.uint64) & np.uint64((1 << DIGIT_BITS) - 1)
             upper = ordered >> shift >> np.uint64(DIGIT_BITS) if level else np.zeros(len(x), np.uint64)
             for prefix in open_:
-                some, n = np.unique(digit[upper == np.uint64(prefix)] if level else digit, return_counts=True)
-                if len(some):
+                own = digit[upper == np.uint64(prefix)] if level else digit
+                if len(own):
                     dense = counts.setdefault((c, prefix), np.zeros(1 << DIGIT_BITS, np.int64))
-                    dense[some.astype(np.int64)] += n
+                    dense += np.bincount(own.astype(np.int64), minlength=1 << DIGIT_BITS)
     for (c, prefix), dense in counts.items():
         some = np.flatnonzero(dense)
         yield pa.RecordBatch.from_arrays(
@@ -259,6 +259,26 @@ def _radix_counts(batches, level: int, prefixes: dict[int, list[int]]):
              pa.array(some.astype(np.int32)), pa.array(dense[some])], names=["column", "prefix", "digit", "n"])
 
 
+def _number(ordered: int) -> float:
+    """The double that has these bits in the order of the values."""
+    bits = np.uint64(ordered)
+    bits = bits & np.uint64((1 << 63) - 1) if bits >> np.uint64(63) else ~bits
+    return float(np.array([bits]).view(np.float64)[0])
+
+
+def _open(column: Column, level: int, prefixes: list[int]) -> Column:
+    """The values that may begin like one of the prefixes, others NULL; an end that is no number lets more through."""
+    shift = 64 - DIGIT_BITS * level
+    some = F.lit(False)
+    for prefix in prefixes:
+        low, high = _number(prefix << shift), _number((prefix + 1 << shift) - 1)
+        from_low = column >= low            # so is NaN
+        if np.isnan(low):
+            from_low = F.isnan(column) if prefix << shift >> 63 else F.lit(True)
+        some = some | from_low & (F.lit(True) if np.isnan(high) else column <= high)
+    return F.when(some, column)
+
+
 def _ranks(counts: DataFrame, wanted: list[tuple[int, int, int]]) -> dict[tuple[int, int, int], tuple[int, int]]:
     """(column, prefix, rank below it) -> (digit at that rank, rank below the digit)."""
     spark = counts.sparkSession
@@ -286,7 +306,11 @@ def exact_percentiles(df: DataFrame, columns: list[str], percents: tuple[float,
     numbers = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
 
     def counted(level: int, prefixes: dict[int, list[int]]) -> DataFrame:
-        parts = numbers.mapInArrow(lambda batches: _radix_counts(batches, level, prefixes),
+        given = numbers
+        if level:        # only rows with an open value leave Spark's own scan
+            given = numbers.select(*[_open(F.col(c), level, prefixes.get(k, [])).alias(c) for k, c in enumerate(numbers.columns)])
+            given = given.where(F.coalesce(*given.columns).isNotNull())
+        parts = given.mapInArrow(lambda batches: _radix_counts(batches, level, prefixes),
                                    "column int, prefix bigint, digit int, n bigint")
         return cut_lineage(parts.groupBy("column", "prefix", "digit").agg(F.sum("n").alias("n")))
 
@@ -309,9 +333,7 @@ def exact_percentiles(df: DataFrame, columns: list[str], percents: tuple[float,
         state = {(c, r): (at[0] << DIGIT_BITS | found[c, *at][0], found[c, *at][1]) for (c, r), at in state.items()}
 
     def value(c: int, rank: int) -> float:
-        bits = np.uint64(state[c, rank][0])
-        bits = bits & np.uint64((1 << 63) - 1) if bits >> np.uint64(63) else ~bits
-        return float(np.array([bits]).view(np.float64)[0])
+        return _number(state[c, rank][0])
 
     # a rank that is whole is that value, also beside an infinite one
     rows = [(columns[c], float(p), value(c, a) + (value(c, b) - value(c, a)) * part if part else value(c, a))

@@ -274,6 +274,6 @@ def cascade_scoring(flows: DataFrame) -> DataFrame:
     from netloom.operators.scoring import verdicts
     rows, _, stage2, bounds, stats = _stage2(flows, "logistic")
     stage1 = learn.stage1_model(rows, MODEL_FEATURES, "target", "forest", "weight", 10, 5)
-    scored_rows = learn.cascade(rows, stage1, stage2, bounds, stats, 7, 0.3)
+    scored_rows = learn.cascade(rows.select("flow_id", "h", *MODEL_FEATURES), stage1, stage2, bounds, stats, 7, 0.3)
     return verdicts(scored_rows, "p_attack", "probabilities", gate_threshold=0.3, unknown_threshold=0.3).select(
         "flow_id", "h", "verdict", "attack_type", r6("final_confidence").alias("confidence"), "stage_reached")
