@@ -40,6 +40,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def windows(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` numbers that begin at each place where so many are left."""
+    n = max(len(h) - k + 1, 0)
+    total = np.zeros(n, _U)
+    for i in range(k):
+        total = mix(total + _U(i + 1)) + h[i:i + n]
+    return mix(total + _U(k))
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered for a while."""
 
@@ -69,11 +78,8 @@ class WordHashes(dict):
         h = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), _U, int(lengths.sum()))
         owner = np.repeat(np.arange(len(texts)), lengths)
         n = len(h) - k + 1
-        total = np.zeros(n, _U)
-        for i in range(k):
-            total = mix(total + _U(i + 1)) + h[i:i + n]
         inside = owner[:n] == owner[k - 1:]
-        values, owner = mix(total + _U(k))[inside], owner[:n][inside]
+        values, owner = windows(h, k)[inside], owner[:n][inside]
         order = np.lexsort((values, owner))
         values, owner = values[order], owner[order]
         fresh = np.ones(len(values), bool)
@@ -90,9 +96,12 @@ def tune(percent: int, rows: int, miss: float) -> int:
 
 def sketch(sets: list[np.ndarray], size: int) -> np.ndarray:
     """One row of ``size`` coordinates for each (non-empty) set."""
-    lengths = np.array([len(s) for s in sets])
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
-    out = np.full(len(sets) * size, np.iinfo(_U).max, _U)
+    return sketch_of(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets), size)
+
+
+def sketch_of(values: np.ndarray, owner: np.ndarray, n: int, size: int) -> np.ndarray:
+    """`sketch` of ``n`` sets whose elements, each with its set's number, stand side by side; repeated ones change nothing."""
+    out = np.full(n * size, np.iinfo(_U).max, _U)
     for i in range(2 * size):
         h = mix(values + _U((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         bins = (h >> _U(48)).astype(np.int64) % size if i < size else np.int64(i - size)
@@ -111,15 +120,21 @@ def bands(sets: list[np.ndarray], rows: int, count: int) -> list[list[int]]:
     full = [i for i, s in enumerate(sets) if len(s)]
     out: list[list[int]] = [[] for _ in sets]
     if full:
-        coordinates = sketch([sets[i] for i in full], rows * count).reshape(len(full), count, rows)
-        keys = np.arange(count, dtype=_U)[None, :] * _U(0xD6E8FEB86659FD93)
-        for i in range(rows):
-            keys = mix(keys + coordinates[:, :, i] + _U(i))
-        for i, row in zip(full, keys.astype(np.int64).tolist()):
+        for i, row in zip(full, band_keys(sketch([sets[i] for i in full], rows * count), rows).tolist()):
             out[i] = row
     return out
 
 
+def band_keys(coordinates: np.ndarray, rows: int) -> np.ndarray:
+    """The signed 64-bit keys of each sketch's bands of ``rows`` coordinates."""
+    count = coordinates.shape[1] // rows
+    coordinates = coordinates.reshape(-1, count, rows)
+    keys = np.arange(count, dtype=_U)[None, :] * _U(0xD6E8FEB86659FD93)
+    for i in range(rows):
+        keys = mix(keys + coordinates[:, :, i] + _U(i))
+    return keys.astype(np.int64)
+
+
 def set_id(values: np.ndarray) -> int:
     """Signed 64-bit hash of a whole set."""
     return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes())).astype(np.int64))

@@ -11,9 +11,9 @@ A passage does not keep to lines: it may stand inside a longer one or reach over
 `suffix` over words. Both rules judge the input; of a run that reaches into removed lines the rest is cut if that are
 50 words, too (fewer are no passage). A line whose words are all cut goes.
 
-A text is read twice: for sketches, and again only for paragraphs that collide. Tables of paragraphs carry
-ids and keys. Paragraphs are known by 64-bit hashes: two different ones count as equal with probability
-2**-64 a pair.
+A text is read once for both, sketches and runs (its words are hashed once, in arrays over many texts), and again only
+for paragraphs that collide, where runs differ, and for the result. Tables of paragraphs carry ids and keys. Paragraphs
+are known by 64-bit hashes: two different ones count as equal with probability 2**-64 a pair.
 
 Edge cases: NULL and empty texts have no paragraphs; rows with equal ids and different texts are separate
 documents, ordered by a hash of the text; rows equal in both are one document (none removes the other);
@@ -24,15 +24,15 @@ an empty result; further columns are ignored, or kept by `without_repeats`.
 from __future__ import annotations
 
 import re
-from bisect import bisect
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.llm import near, suffix
-from netloom.llm.common import ID, TEXT_ID, WORD, keyed, map_batches
-from netloom.session import cut_lineage, new_folder
+from netloom.llm.common import ID, TEXT_ID, WORD, keyed, map_arrow, written
+from netloom.llm.words import Words, parts, words
+from netloom.session import cut_lineage
 
 LEAST_WORDS, SHINGLE, PERCENT = 20, 5, 80
 ROWS, MISS = 3, 2e-4
@@ -44,50 +44,53 @@ def _line_id(line: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _shingles(own: Words, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of paragraphs, and for each its paragraph's place in ``lines``."""
+    sizes = np.diff(own.lines)[lines] - SHINGLE + 1
+    places = np.arange(sizes.sum()) + np.repeat(own.lines[lines] - np.cumsum(sizes) + sizes, sizes)
+    return near.windows(own.hashes, SHINGLE)[places], np.repeat(np.arange(len(lines)), sizes)
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """id, text_id and, per paragraph, its line number, id and band keys."""
+    """id, text_id; per paragraph, its line number, id and band keys; anchors, blocks and spans of the runs of 50 words."""
     count = near.tune(PERCENT, ROWS, MISS)
 
-    def start():
-        hashes = near.WordHashes()
-
-        def batch(ids, text_ids, texts):
-            lines, nodes, found, owner = [[] for _ in ids], [[] for _ in ids], [], []
-            for i, text in enumerate(texts):
-                for at, line in enumerate((text or "").encode().split(b"\n")):
-                    words = line.lower().split()
-                    if len(words) >= LEAST_WORDS:
-                        lines[i].append(at)
-                        nodes[i].append(_line_id(line))
-                        found.append(words)
-                        owner.append(i)
-            keys: list[list] = [[] for _ in ids]
-            for i, row in zip(owner, near.bands(hashes.sets(found, SHINGLE), ROWS, count)):
-                keys[i].append(row)
-            return ids, text_ids, lines, nodes, keys
-        return batch
-    return map_batches(keyed(docs).select(ID, TEXT_ID, "text"),
-                       "id bigint, text_id bigint, lines array<int>, nodes array<bigint>, keys array<array<bigint>>", start)
-
-
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """id, text_id and the sorted numbers of the lines to remove."""
-    spark, folder = docs.sparkSession, new_folder(docs.sparkSession)
-    sketched(docs).write.parquet(folder)
-    rows = spark.read.parquet(folder)
+    def batch(given):
+        for part in parts(given, "text"):
+            ids, text_ids, texts = part.columns
+            own = words(texts.cast("binary").to_pylist())
+            long = np.flatnonzero(np.diff(own.lines) >= LEAST_WORDS)
+            bounds = np.searchsorted(long, own.texts)
+            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            nodes = [_line_id(own.data[a:b]) for a, b in zip((own.breaks[long] + 1).tolist(), own.breaks[long + 1].tolist())]
+            keys = near.band_keys(near.sketch_of(*_shingles(own, long), len(long), ROWS * count), ROWS)
+            anchors, blocks, spans, edges = suffix.word_blocks(own)
+            yield (ids, text_ids, (bounds, long - own.texts[text]), (bounds, nodes),
+                   (bounds, (np.arange(len(long) + 1) * count, keys.ravel())), (edges, anchors), (edges, blocks), (edges, spans))
+    return map_arrow(keyed(docs).select(ID, TEXT_ID, "text"),
+                     "id bigint, text_id bigint, lines array<int>, nodes array<bigint>, keys array<array<bigint>>, "
+                     "anchors array<bigint>, blocks array<bigint>, spans array<bigint>", lambda: batch)
+
+
+def repeated_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, text_id and the sorted numbers of the lines to remove; ``rows``: `sketched`, written."""
     keys = rows.select(F.explode(F.arrays_zip("nodes", "keys")).alias("p")).select(
         F.col("p.nodes").alias("node"), F.explode("p.keys").alias("key"))
 
-    def start():
-        hashes = near.WordHashes()
-        return lambda nodes, lines: (nodes, [s.astype(np.int64).tolist() for s in hashes.sets(
-            [x.encode().lower().split() for x in lines], SHINGLE)])
+    def sets(given):
+        for part in parts(given, "line"):
+            own = words(part.column("line").cast("binary").to_pylist())
+            values, owner = _shingles(own, np.arange(part.num_rows))
+            order = np.lexsort((values, owner))
+            values, owner = values[order], owner[order]
+            fresh = np.ones(len(values), bool)
+            fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+            yield (part.column("node"), (np.searchsorted(owner[fresh], np.arange(part.num_rows + 1)), values[fresh].astype(np.int64)))
 
     def sets_of(asked: DataFrame) -> DataFrame:
         lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
         lines = lines.withColumn("node", F.xxhash64("line")).join(near.few(cut_lineage(asked)), "node", "left_semi")
-        return map_batches(lines.groupBy("node").agg(F.first("line").alias("line")),
-                           "node bigint, set array<bigint>", start)
+        return map_arrow(lines.groupBy("node").agg(F.first("line").alias("line")), "node bigint, set array<bigint>", lambda: sets)
 
     labels = near.classes(keys, sets_of, PERCENT)
     place = F.struct("id", "text_id", "line")
@@ -103,28 +106,31 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
             .groupBy("id", "text_id").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """id, text_id and the first and last (excluded) words of runs of 50 words or more that an earlier document has, too."""
-    given = keyed(docs).select(F.col(ID).alias("doc_id"), F.col(TEXT_ID).alias("no"), F.coalesce("text", F.lit("")).alias("text"))
-    several = given.groupBy("doc_id").agg(F.min("no").alias("a"), F.max("no").alias("b")).where("a < b")
+    own = rows.select(F.col("id").alias("doc_id"), F.col("text_id").alias("no"), "anchors", "blocks", "spans")
+    several = own.groupBy("doc_id").agg(F.min("no").alias("a"), F.max("no").alias("b")).where("a < b")
     order = F.col("doc_id") if several.isEmpty() else F.struct("doc_id", "no")
-    spans = suffix.removed_spans(given, suffix.word_ranks, order, keep=True)
+    given = keyed(docs).select(F.col(ID).alias("doc_id"), F.col(TEXT_ID).alias("no"), "text")
+    spans = suffix.removed_word_spans(own, given, order)
     return spans.groupBy(F.col("doc_id").alias("id"), F.col("no").alias("text_id")).agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("words"))
 
 
-def _left(text: str, removed: list[int], words: list) -> tuple[str, list[tuple[int, int]]]:
+def _left(text: str, removed: list[int], passages: list) -> tuple[str, list[tuple[int, int]]]:
     """The text without the lines and the runs of words, and the runs' places (code points) in lines that stay."""
-    places, gone = [m.span() for m in re.finditer(WORD, text)], set(removed)
-    breaks = [m.start() for m in re.finditer("\n", text)]
-    stays = [bisect(breaks, start) not in gone for start, _ in places]
-    runs: list[list[int]] = []
-    for first, end in words:
-        if runs and first <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], end)
-        else:
-            runs.append([first, end])
-    spans = [(places[first][0], places[end - 1][1]) for first, end in runs if sum(stays[first:end]) >= suffix.LENGTH]
+    gone = set(removed)
+    # places of words in code points
+    x = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32)
+    edge = np.flatnonzero(np.diff(((x == 32) | (x - 9 <= 4)).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    stays = ~np.isin(np.searchsorted(np.flatnonzero(x == 10) - 1, starts), removed)
+    staying = np.concatenate(([0], np.cumsum(stays)))
+    first, last = np.array(passages, np.int64).T
+    runs = np.concatenate(([0], np.flatnonzero(first[1:] > np.maximum.accumulate(last)[:-1]) + 1))
+    first, last = first[runs], np.maximum.reduceat(last, runs)
+    cuts = staying[last] - staying[first] >= suffix.LENGTH
+    spans = list(zip(starts[first[cuts]].tolist(), ends[last[cuts] - 1].tolist()))
     lines, cut, start, at = [], [], 0, 0
     for k, line in enumerate(text.split("\n")):
         end = start + len(line)
@@ -150,14 +156,15 @@ def without_repeats(docs: DataFrame, removed: str = "removed", cut: str = "cut")
     ``removed``: the numbers of the removed lines; ``cut``: (start, end) in code points of the input text of what is cut
     out of other lines.
     """
-    lines = repeated_lines(docs).select(F.col("id").alias(ID), F.col("text_id").alias(TEXT_ID), F.col("removed").alias("__removed"))
-    words = repeated_passages(docs).select(F.col("id").alias(ID), F.col("text_id").alias(TEXT_ID), F.col("words").alias("__words"))
+    rows = written(sketched(docs))
+    lines = repeated_lines(docs, rows).select(F.col("id").alias(ID), F.col("text_id").alias(TEXT_ID), F.col("removed").alias("__removed"))
+    words = repeated_passages(docs, rows).select(F.col("id").alias(ID), F.col("text_id").alias(TEXT_ID), F.col("words").alias("__words"))
     found = near.few(cut_lineage(lines.join(words, [ID, TEXT_ID], "full")))
     gone = F.coalesce("__removed", F.array().cast("array<int>"))
-    inside = F.udf(lambda text, lines, words: None if words is None else _left(text, lines, words),
+    inside = F.udf(lambda text, lines, firsts, ends: None if firsts is None else _left(text, lines, list(zip(firsts, ends))),
                    "text string, cut array<struct<start:int,end:int>>", useArrow=False)
     # texts go to Python only where passages are cut
-    passages = inside(F.when(F.col("__words").isNotNull(), F.col("text")), gone, "__words")
+    passages = inside(F.when(F.col("__words").isNotNull(), F.col("text")), gone, "__words.start", "__words.end")
     left = F.concat_ws("\n", F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i)))
     return (keyed(docs).join(found, [ID, TEXT_ID], "left").withColumn("__left", passages)
             .withColumn("text", F.when(F.col("__words").isNotNull(), F.col("__left.text"))

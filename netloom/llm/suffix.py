@@ -18,8 +18,8 @@ have, the smallest document of each block, and the 50-byte strings that several
 is not marked as its smallest document loses it; a document marked by mistake is asked string by string like the
 smallest one, which costs rows and changes nothing. Repeated strings side by side form runs, known like blocks, and what
 smaller documents do not have as a run is joined by single strings, exactly. Each bitmap asks for one more pass over the
-texts, which stay where they are. Over words, which are few and dear to rank, anchors are written and joined
-(`removed_spans`).
+texts, which stay where they are. Over words, which are few and dear to hash, anchors are written and joined
+(`removed_word_spans`).
 
 Exact copies of whole texts are found first, by digest. Groups are only ever counted and joined, never
 gathered; joins back to the texts move only texts that need it. Ranks are 64-bit fingerprints, so
@@ -33,13 +33,12 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netloom.llm import marks, near
-from netloom.llm.common import map_batches, written
+from netloom.llm.common import map_arrow, map_batches, written
+from netloom.llm.words import Words, parts, words
 from netloom.session import cut_lineage
 
 LENGTH, ANCHOR = 50, 24
@@ -75,24 +74,21 @@ def ranks(text: str) -> tuple[np.ndarray, np.ndarray]:
     return _longer(x[:-4] << _U(32) | x[4:])
 
 
-def word_ranks() -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
-    """The same for runs of 24 and of 50 words (ASCII letters in lower case)."""
-    hashes = near.WordHashes()
+def word_ranks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the runs of 24 and of 50 words at all places where 50 fit, from the words' hashes."""
+    if len(hashes) < LENGTH:
+        return np.empty(0, _U), np.empty(0, _U)
+    for step in (1, 2, 4):
+        hashes = _pair(hashes[:-step], hashes[step:])
+    return _longer(hashes)
 
-    def of(text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = text.encode().lower().split()
-        if len(words) < LENGTH:
-            return np.empty(0, _U), np.empty(0, _U)
-        x = np.fromiter(map(hashes.__getitem__, words), _U, len(words))
-        for step in (1, 2, 4):
-            x = _pair(x[:-step], x[step:])
-        return _longer(x)
-    return of
 
+def blocks(x24: np.ndarray, x50: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(anchor rank, block rank, first start, last start) of each run of 50-unit strings with one anchor.
 
-def blocks(x24: np.ndarray, x50: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor rank, block rank, first start, last start) of each run of 50-unit strings with one anchor."""
-    if not len(x50):
+    ``places``: of several texts side by side, the starts at which 50 units lie in one text; a gap ends a run.
+    """
+    if not len(x50) or places is not None and not len(places):
         none = np.empty(0, np.int64)
         return none, none, none, none
     # smallest rank in each window of 27, by doubling; of equal ones the first place, found below
@@ -102,7 +98,11 @@ def blocks(x24: np.ndarray, x50: np.ndarray) -> tuple[np.ndarray, ...]:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     least = np.minimum(least[:len(x50)], least[width - span:width - span + len(x50)])
-    edge = np.flatnonzero(least[1:] != least[:-1]) + 1
+    ends = least[1:] != least[:-1]
+    if places is not None:
+        least, x50 = least[places], x50[places]
+        ends = (least[1:] != least[:-1]) | (places[1:] != places[:-1] + 1)
+    edge = np.flatnonzero(ends) + 1
     first = np.concatenate(([0], edge))
     last = np.concatenate((edge - 1, [len(x50) - 1]))
     # a run of equal anchors may be longer than one anchor's windows, if it repeats: cut it
@@ -111,7 +111,8 @@ def blocks(x24: np.ndarray, x50: np.ndarray) -> tuple[np.ndarray, ...]:
         last = np.concatenate([np.minimum(s + width - 1, b) for s, b in zip(starts, last)])
         first = np.concatenate(starts)
     block = _pair(x50[first], x50[last]) + near.mix((last - first).astype(_U))
-    return least[first].astype(np.int64), block.astype(np.int64), first, last
+    own = least[first].astype(np.int64), block.astype(np.int64)
+    return (*own, first, last) if places is None else (*own, places[first], places[last])
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -127,34 +128,19 @@ def _numbered(docs: DataFrame) -> DataFrame:
             .select("doc_id", "text", F.coalesce("no", F.lit(0)).alias("no")))
 
 
-def removed_spans(docs: DataFrame, start_ranks: Callable[[], Callable] = lambda: ranks, order: Column | None = None,
-                  keep: bool = False) -> DataFrame:
-    """doc_id, no, start and end of removed strings (they may overlap), of documents that are no exact copy.
+def removed_word_spans(rows: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
+    """doc_id, no, start and end (in words) of runs of 50 words that an earlier document has, too (they may overlap).
 
-    ``start_ranks()`` gives, once a task, the function from a text to its ranks, whose units (bytes, words) the places
-    count; ``order``, made of doc_id and no, tells which document comes first (by default doc_id). ``keep`` writes the
-    anchors instead of finding them twice, for units that are few and dear to rank.
+    ``rows``: a written table of doc_id, no and the arrays of `word_blocks`; ``docs``: doc_id, no and text; ``order``, made of doc_id
+    and no, tells which document comes first.
     """
-    order, kind = F.col("doc_id") if order is None else order, docs.schema["no"].dataType
-    key, nos_of = f"doc_id bigint, no {kind.simpleString()}", np.int32 if kind.simpleString() == "int" else np.int64
-
-    def start():
-        ranks_of = start_ranks()
-
-        def batch(ids, nos, texts):
-            found = [blocks(*ranks_of(text)) for text in texts]
-            n = [len(f[0]) for f in found]
-            # first and last start in one number: a block has at most 27 of them
-            spans = [first << 6 | last - first for _, _, first, last in found]
-            return (np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(nos, nos_of), n),
-                    *[np.concatenate(c) for c in ([f[0] for f in found], [f[1] for f in found], spans)])
-        return batch
-    rows = map_batches(docs.select("doc_id", "no", "text"),
-                       f"{key}, anchor bigint, block bigint, span bigint", start)
-    rows = written(rows) if keep else rows
-    shared = cut_lineage(rows.groupBy("anchor").agg(F.min(order).alias("a"), F.max(order).alias("b"))
+    key = f"doc_id bigint, no {docs.schema['no'].dataType.simpleString()}"
+    anchors = rows.select("doc_id", "no", F.explode("anchors").alias("anchor"))
+    shared = cut_lineage(anchors.groupBy("anchor").agg(F.min(order).alias("a"), F.max(order).alias("b"))
                          .where("a < b").select("anchor"))
-    met = written(rows.join(near.few(shared, BROADCAST_ANCHORS), "anchor").withColumns(
+    found = rows.select("doc_id", "no", F.inline(F.arrays_zip("anchors", "blocks", "spans"))).toDF(
+        "doc_id", "no", "anchor", "block", "span")
+    met = written(found.join(near.few(shared, BROADCAST_ANCHORS), "anchor").withColumns(
         {"first": F.expr("cast(shiftright(span, 6) as int)"),
          "last": F.expr("cast(shiftright(span, 6) + (span & 63) as int)")}).drop("span"))
     leaders = met.groupBy("anchor", "block").agg(F.min(order).alias("least"))
@@ -166,25 +152,10 @@ def removed_spans(docs: DataFrame, start_ranks: Callable[[], Callable] = lambda:
     asked = (judged.where(order == F.col("least")).join(mixed, "anchor").groupBy("doc_id", "no")
              .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")))
     asked = cut_lineage(asked)
-
-    def start_strings():
-        ranks_of = start_ranks()
-
-        def batch(ids, nos, texts, spans):
-            places, found = [], []
-            for text, own in zip(texts, spans):
-                x50 = ranks_of(text)[1].astype(np.int64)
-                places.append(np.unique(np.concatenate([np.arange(s["first"], s["last"] + 1) for s in own])))
-                found.append(x50[places[-1]])
-            n = [len(p) for p in places]
-            return (np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(nos, nos_of), n),
-                    np.concatenate(found), np.concatenate(places).astype(np.int32))
-        return batch
     ids = near.few(asked.select("doc_id", "no"))
     texts = docs.join(ids, ["doc_id", "no"], "left_semi").join(asked, ["doc_id", "no"])
-    strings = map_batches(texts.select("doc_id", "no", "text", "spans"),
-                          f"{key}, rank bigint, at int", start_strings)
-    strings = written(strings)
+    strings = written(map_arrow(texts.select("doc_id", "no", "text", F.col("spans.first").alias("firsts"),
+                                             F.col("spans.last").alias("lasts")), f"{key}, rank bigint, at int", lambda: _word_strings))
     earlier = (strings.groupBy("rank").agg(F.min(order).alias("least"), F.max(order).alias("most"))
                .where("least < most").select("rank", "least"))
     single = strings.join(earlier, "rank").where(order > F.col("least")).select(
@@ -193,6 +164,31 @@ def removed_spans(docs: DataFrame, start_ranks: Callable[[], Callable] = lambda:
                                             (F.col("last") + LENGTH).alias("end"))
 
 
+def word_blocks(own: Words) -> tuple[np.ndarray, ...]:
+    """anchors, blocks, spans and, for each text and behind the last one, the first of them; places count from the text's first word."""
+    sizes = np.maximum(np.diff(own.bounds) - LENGTH + 1, 0)
+    places = np.arange(sizes.sum()) + np.repeat(own.bounds[:-1] - np.cumsum(sizes) + sizes, sizes)
+    anchor, block, first, last = blocks(*word_ranks(own.hashes), places)
+    text = np.searchsorted(own.bounds, first, "right") - 1
+    # first and last start in one number: a block has at most 27 of them
+    return anchor, block, first - own.bounds[text] << 6 | last - first, np.searchsorted(text, np.arange(len(sizes) + 1))
+
+
+def _word_strings(given):
+    """doc_id, no, rank and place of the asked runs of 50 words."""
+    for part in parts(given, "text"):
+        ids, nos, texts, firsts, lasts = part.columns
+        own = words(texts.cast("binary").to_pylist())
+        _, x50 = word_ranks(own.hashes)
+        asked = np.repeat(own.bounds[:-1], firsts.value_lengths().to_numpy())
+        n = len(x50) + 1
+        first, last = asked + firsts.flatten().to_numpy(), asked + lasts.flatten().to_numpy()
+        # rows that are there twice ask twice
+        at = np.flatnonzero(np.cumsum(np.bincount(first, minlength=n) - np.bincount(last + 1, minlength=n)))
+        text = np.searchsorted(own.bounds, at, "right") - 1
+        yield ids.to_numpy()[text], nos.to_numpy()[text], x50[at].astype(np.int64), at - own.bounds[text]
+
+
 def removed_byte_spans(docs: DataFrame) -> DataFrame:
     """doc_id, no, start and end of removed bytes (they may overlap), of documents that are no exact copy."""
     texts, key = docs.select("doc_id", "no", "text"), "doc_id bigint, no int"
