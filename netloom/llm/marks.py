@@ -9,16 +9,19 @@ the same first bits), never false negatives: they spare rows, and what they let
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from netloom.llm import near
 
 #: A bitmap has a bit for this many bytes of text, up to 2**MOST_PLACES bits (128 MB); numbers that a task sorts at once.
 TEXT_BYTES, MOST_PLACES, HELD = 4, 30, 1 << 20
+#: Tables of so many ids and keys at most are broadcast instead (some 16 MB in the driver).
+FEW = 100_000
 _U = np.uint64
 
 
@@ -28,6 +31,11 @@ def places_for(text_bytes: int) -> tuple[int, int]:
     return places, min(max((text_bytes >> 25).bit_length(), 8), places - 3)
 
 
+def places_of(numbers: int) -> tuple[int, int]:
+    """`places_for` of so many numbers: four to eight bits for each."""
+    return places_for(4 * TEXT_BYTES * numbers)
+
+
 def marked(df: DataFrame, start: Callable[[], Callable], sizes: tuple[int, int], copies: int) -> Broadcast:
     """Bitmap of the numbers that ``copies`` rows have (one or two), broadcast in parts; `reader` reads it.
 
@@ -36,8 +44,6 @@ def marked(df: DataFrame, start: Callable[[], Callable], sizes: tuple[int, int],
     places, high = sizes
 
     def pack(batches):
-        import pyarrow as pa
-
         make, held, n = start(), [], 0
 
         def packed():
@@ -63,8 +69,6 @@ def marked(df: DataFrame, start: Callable[[], Callable], sizes: tuple[int, int],
             yield packed()
 
     def mark(table):
-        import pyarrow as pa
-
         bucket, bits = table.column("bucket")[0].as_py(), places - high
         x = np.sort(np.concatenate([np.frombuffer(part, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
                                     for part in table.column("numbers").to_pylist()]))
@@ -89,3 +93,23 @@ def reader(shared: Broadcast) -> Callable[[np.ndarray], np.ndarray]:
         at = near.mix(x) >> _U(64 - places)
         return (bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
     return has
+
+
+def member(wanted: DataFrame, *columns: str) -> Callable[..., Column]:
+    """The condition, for such columns of any table, that ``wanted`` has a row of these values (true for a few others, too).
+
+    In place of a broadcast of ``wanted``, which is read twice: a join behind it moves and judges few rows.
+    """
+    n = wanted.count()
+    numbers, sizes = wanted.select(F.xxhash64(*columns)).coalesce(max(1, n // HELD)), places_of(4 * n)
+
+    def of_rows(given):
+        yield given.column(0).to_numpy(zero_copy_only=False).view(_U)
+    bits = marked(numbers, lambda: of_rows, sizes, 1)
+
+    @F.arrow_udf("boolean")
+    def has(given: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = reader(bits)
+        for numbers in given:
+            yield pa.array(known(numbers.to_numpy(zero_copy_only=False).view(_U)))
+    return lambda *own: has(F.xxhash64(*own))

@@ -157,15 +157,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.select("a", "b", "common", (F.col("na") + F.col("nb") - F.col("common")).alias("both"))
 
 
-def classes(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def classes(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """node and component of all nodes that are linked with another one.
 
     ``keys``: (key, node) rows of the bands, read twice, so a written table or checkpoint;
-    ``sets_of(nodes)``: (node, set) of the asked nodes.
+    ``sets_of(nodes)``: (node, set) of the asked nodes; ``most``: rows of a table that may be broadcast.
     """
     linked = F.col("common") * 100 >= F.col("both") * percent
     ends = cut_lineage(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"))
-    members = cut_lineage(keys.join(few(ends), "key").select("key", "node", "low", "high").distinct())
+    members = cut_lineage(keys.join(few(ends, most), "key").select("key", "node", "low", "high").distinct())
     sets = cut_lineage(sets_of(members.select("node").distinct()))
     spokes = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
     spokes = spokes.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

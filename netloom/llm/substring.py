@@ -15,6 +15,9 @@ A text is read once for both, sketches and runs (its words are hashed once, in a
 for paragraphs that collide, where runs differ, and for the result. Tables of paragraphs carry ids and keys. Paragraphs
 are known by 64-bit hashes: two different ones count as equal with probability 2**-64 a pair.
 
+Only tables of bounded size are broadcast. Bitmaps (`marks`) tell which band keys and anchors several rows have, and which
+lines and texts a larger table asks for; the others stay where they are, and what a bitmap lets through is judged exactly.
+
 Edge cases: NULL and empty texts have no paragraphs; rows with equal ids and different texts are separate
 documents, ordered by a hash of the text; rows equal in both are one document (none removes the other);
 rows without id come after all others; repeats within one document are removed, too; an empty table gives
@@ -29,13 +32,16 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm import near, suffix
+from netloom.llm import marks, near, suffix
 from netloom.llm.common import ID, TEXT_ID, WORD, keyed, map_arrow, written
 from netloom.llm.words import Words, parts, words
 from netloom.session import cut_lineage
 
 LEAST_WORDS, SHINGLE, PERCENT = 20, 5, 80
 ROWS, MISS = 3, 2e-4
+#: Lists of lines and runs to remove are broadcast up to so many bytes.
+FEW_BYTES = 1 << 23
+_U = np.uint64
 
 
 def _line_id(line: bytes) -> int:
@@ -72,11 +78,28 @@ def sketched(docs: DataFrame) -> DataFrame:
                      "anchors array<bigint>, blocks array<bigint>, spans array<bigint>", lambda: batch)
 
 
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """key and node of the bands of `sketched` that several paragraphs have (and a few others)."""
+    n = rows.agg(F.sum(F.aggregate("keys", F.lit(0).cast("bigint"), lambda n, k: n + F.size(k)))).first()[0] or 0
+
+    def keys(given):
+        yield given.column("keys").flatten().flatten().to_numpy().view(_U)
+    several = marks.marked(rows.select("keys"), lambda: keys, marks.places_of(n), 2)
+
+    def start():
+        has = marks.reader(several)
+
+        def batch(given):
+            bands = given.column("keys").flatten()
+            values = bands.flatten().to_numpy()
+            at = np.flatnonzero(has(values.view(_U)))
+            yield values[at], np.repeat(given.column("nodes").flatten().to_numpy(), bands.value_lengths())[at]
+        return batch
+    return map_arrow(rows.select("nodes", "keys"), "key bigint, node bigint", start)
+
+
 def repeated_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """id, text_id and the sorted numbers of the lines to remove; ``rows``: `sketched`, written."""
-    keys = rows.select(F.explode(F.arrays_zip("nodes", "keys")).alias("p")).select(
-        F.col("p.nodes").alias("node"), F.explode("p.keys").alias("key"))
-
     def sets(given):
         for part in parts(given, "line"):
             own = words(part.column("line").cast("binary").to_pylist())
@@ -88,11 +111,16 @@ def repeated_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield (part.column("node"), (np.searchsorted(owner[fresh], np.arange(part.num_rows + 1)), values[fresh].astype(np.int64)))
 
     def sets_of(asked: DataFrame) -> DataFrame:
+        asked = cut_lineage(asked)
         lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-        lines = lines.withColumn("node", F.xxhash64("line")).join(near.few(cut_lineage(asked)), "node", "left_semi")
-        return map_arrow(lines.groupBy("node").agg(F.first("line").alias("line")), "node bigint, set array<bigint>", lambda: sets)
-
-    labels = near.classes(keys, sets_of, PERCENT)
+        lines, first = lines.withColumn("node", F.xxhash64("line")), F.first("line").alias("line")
+        if asked.count() <= marks.FEW:
+            found = lines.join(F.broadcast(asked), "node", "left_semi").groupBy("node").agg(first)
+        else:                                           # copies of a line meet as one of each task
+            found = lines.where(marks.member(asked, "node")("node")).groupBy("node").agg(first).join(asked, "node", "left_semi")
+        return map_arrow(found, "node bigint, set array<bigint>", lambda: sets)
+
+    labels = near.classes(written(shared_keys(rows)), sets_of, PERCENT, marks.FEW)
     place = F.struct("id", "text_id", "line")
     places = rows.select("id", "text_id", F.explode(F.arrays_zip("lines", "nodes")).alias("p")).select(
         "id", "text_id", F.col("p.lines").alias("line"), F.col("p.nodes").alias("node"))
@@ -102,7 +130,7 @@ def repeated_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
     firsts = cut_lineage(firsts)
     of_class = firsts.groupBy("component").agg(F.min("first").alias("kept"))
     known = cut_lineage(firsts.join(of_class, "component").select("node", "kept"))
-    return (places.join(near.few(known), "node").where(place != F.col("kept"))
+    return (places.join(near.few(known, marks.FEW), "node").where(place != F.col("kept"))
             .groupBy("id", "text_id").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
@@ -159,18 +187,29 @@ def without_repeats(docs: DataFrame, removed: str = "removed", cut: str = "cut")
     rows = written(sketched(docs))
     lines = repeated_lines(docs, rows).select(F.col("id").alias(ID), F.col("text_id").alias(TEXT_ID), F.col("removed").alias("__removed"))
     words = repeated_passages(docs, rows).select(F.col("id").alias(ID), F.col("text_id").alias(TEXT_ID), F.col("words").alias("__words"))
-    found = near.few(cut_lineage(lines.join(words, [ID, TEXT_ID], "full")))
-    gone = F.coalesce("__removed", F.array().cast("array<int>"))
+    found = cut_lineage(lines.join(words, [ID, TEXT_ID], "full"))
+    given, key = keyed(docs), [ID, TEXT_ID]
+    none = F.array().cast("array<int>"), F.array().cast("array<struct<start:int,end:int>>")
+    gone = F.coalesce("__removed", none[0])
     inside = F.udf(lambda text, lines, firsts, ends: None if firsts is None else _left(text, lines, list(zip(firsts, ends))),
                    "text string, cut array<struct<start:int,end:int>>", useArrow=False)
     # texts go to Python only where passages are cut
     passages = inside(F.when(F.col("__words").isNotNull(), F.col("text")), gone, "__words.start", "__words.end")
     left = F.concat_ws("\n", F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i)))
-    return (keyed(docs).join(found, [ID, TEXT_ID], "left").withColumn("__left", passages)
-            .withColumn("text", F.when(F.col("__words").isNotNull(), F.col("__left.text"))
-                        .when(F.col("__removed").isNull(), F.col("text")).otherwise(left))
-            .select(*[c for c in docs.columns if c not in (removed, cut)], gone.alias(removed),
-                    F.coalesce("__left.cut", F.array().cast("array<struct<start:int,end:int>>")).alias(cut)))
+    names = [c for c in docs.columns if c not in (removed, cut)]
+
+    def judged(rows: DataFrame) -> DataFrame:
+        return (rows.withColumn("__left", passages)
+                .withColumn("text", F.when(F.col("__words").isNotNull(), F.col("__left.text"))
+                            .when(F.col("__removed").isNull(), F.col("text")).otherwise(left))
+                .select(*names, gone.alias(removed), F.coalesce("__left.cut", none[1]).alias(cut)))
+    length = lambda c, n: n * F.greatest(F.size(c), F.lit(0)).cast("bigint")
+    if (found.agg(F.sum(64 + length("__removed", 4) + length("__words", 32))).first()[0] or 0) <= FEW_BYTES:
+        return judged(given.join(F.broadcast(found), key, "left"))
+    of_found = marks.member(found, *key)
+    # texts without repeats stay where they are
+    return judged(given.where(of_found(*key)).join(found, key, "left")).unionByName(
+        given.where(~of_found(*key)).select(*names, none[0].alias(removed), none[1].alias(cut)))
 
 
 def digest(docs: DataFrame) -> DataFrame:

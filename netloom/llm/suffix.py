@@ -18,8 +18,8 @@ have, the smallest document of each block, and the 50-byte strings that several
 is not marked as its smallest document loses it; a document marked by mistake is asked string by string like the
 smallest one, which costs rows and changes nothing. Repeated strings side by side form runs, known like blocks, and what
 smaller documents do not have as a run is joined by single strings, exactly. Each bitmap asks for one more pass over the
-texts, which stay where they are. Over words, which are few and dear to hash, anchors are written and joined
-(`removed_word_spans`).
+texts, which stay where they are. Over words, which are few and dear to hash, anchors are written, and a bitmap tells
+which rows go on (`removed_word_spans`).
 
 Exact copies of whole texts are found first, by digest. Groups are only ever counted and joined, never
 gathered; joins back to the texts move only texts that need it. Ranks are 64-bit fingerprints, so
@@ -42,8 +42,6 @@ from netloom.llm.words import Words, parts, words
 from netloom.session import cut_lineage
 
 LENGTH, ANCHOR = 50, 24
-#: So many shared anchors at most are broadcast (32 MB of longs); more are joined by a shuffle.
-BROADCAST_ANCHORS = 4_000_000
 _U = np.uint64
 
 
@@ -135,14 +133,30 @@ def removed_word_spans(rows: DataFrame, docs: DataFrame, order: Column) -> DataF
     and no, tells which document comes first.
     """
     key = f"doc_id bigint, no {docs.schema['no'].dataType.simpleString()}"
-    anchors = rows.select("doc_id", "no", F.explode("anchors").alias("anchor"))
-    shared = cut_lineage(anchors.groupBy("anchor").agg(F.min(order).alias("a"), F.max(order).alias("b"))
-                         .where("a < b").select("anchor"))
-    found = rows.select("doc_id", "no", F.inline(F.arrays_zip("anchors", "blocks", "spans"))).toDF(
-        "doc_id", "no", "anchor", "block", "span")
-    met = written(found.join(near.few(shared, BROADCAST_ANCHORS), "anchor").withColumns(
-        {"first": F.expr("cast(shiftright(span, 6) as int)"),
-         "last": F.expr("cast(shiftright(span, 6) + (span & 63) as int)")}).drop("span"))
+
+    def anchors(given):
+        own = given.column("anchors")
+        values, text = own.flatten().to_numpy(), np.repeat(np.arange(given.num_rows), own.value_lengths())
+        order = np.lexsort((values, text))
+        values, text = values[order], text[order]
+        fresh = np.ones(len(values), bool)
+        fresh[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+        yield values[fresh].view(_U)
+    # one row's anchors, and a few more, spare rows only: they have one block, or strings that no other document has
+    n = rows.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    shared = marks.marked(rows.select("anchors"), lambda: anchors, marks.places_of(n), 2)
+
+    def start_met():
+        has = marks.reader(shared)
+
+        def batch(given):
+            values, blocks, spans = [given.column(c).flatten().to_numpy() for c in ("anchors", "blocks", "spans")]
+            at = np.flatnonzero(has(values.view(_U)))
+            text = np.repeat(np.arange(given.num_rows), given.column("anchors").value_lengths())[at]
+            yield (given.column("doc_id").take(text), given.column("no").take(text), values[at], blocks[at],
+                   spans[at] >> 6, (spans[at] >> 6) + (spans[at] & 63))
+        return batch
+    met = written(map_arrow(rows, f"{key}, anchor bigint, block bigint, first int, last int", start_met))
     leaders = met.groupBy("anchor", "block").agg(F.min(order).alias("least"))
     leaders = cut_lineage(leaders)
     mixed = leaders.groupBy("anchor").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("anchor")
@@ -152,8 +166,11 @@ def removed_word_spans(rows: DataFrame, docs: DataFrame, order: Column) -> DataF
     asked = (judged.where(order == F.col("least")).join(mixed, "anchor").groupBy("doc_id", "no")
              .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")))
     asked = cut_lineage(asked)
-    ids = near.few(asked.select("doc_id", "no"))
-    texts = docs.join(ids, ["doc_id", "no"], "left_semi").join(asked, ["doc_id", "no"])
+    if asked.count() <= marks.FEW:
+        texts = docs.join(F.broadcast(asked.select("doc_id", "no")), ["doc_id", "no"], "left_semi")
+    else:
+        texts = docs.where(marks.member(asked, "doc_id", "no")("doc_id", "no"))
+    texts = texts.join(asked, ["doc_id", "no"])
     strings = written(map_arrow(texts.select("doc_id", "no", "text", F.col("spans.first").alias("firsts"),
                                              F.col("spans.last").alias("lasts")), f"{key}, rank bigint, at int", lambda: _word_strings))
     earlier = (strings.groupBy("rank").agg(F.min(order).alias("least"), F.max(order).alias("most"))
